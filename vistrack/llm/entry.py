@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdshard, mix, secrets, urls
+from . import bpe, hnsw, kdshard, minhash, mix, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,29 @@ def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_hnsw_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def byte_bpe() -> tuple[str, str]:
+    """The rank file and the pattern that op5 and the pipeline encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), *byte_bpe())
+
+
+def op7_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -32,7 +55,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mix, op2_link_trust, op9_randomness_battery, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_pareto_mix, op2_link_trust, op3_hnsw_near_vectors, op4_neighbour_quality, op5_bpe_merge_replay, op7_bottom_k_near_dedup, op9_randomness_battery, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
