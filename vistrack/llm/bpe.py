@@ -210,7 +210,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
                 for w in words:
                     ids = ",".join(map(c.ids.__getitem__, w))
                     back = hashlib.sha256(b"".join(map(c.back.__getitem__, w))).hexdigest()
-                    rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), back, [int(x) for x in ids.split(",")] if with_ids and ids else []))
+                    rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), back, np.fromstring(ids, np.int32, sep=",") if with_ids else None))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out if with_ids else out.drop(columns="ids")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, kdshard, minhash, mix, quality, secrets, urls
+from . import bpe, covertree, hnsw, kdshard, linededup, minhash, mix, quality, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,9 +54,37 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as z
+  from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(range(1, len(q.z) + 1), lambda i: q.z[i] * c.z[i])) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.z) = len(c.z)
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pareto_mix, op2_link_trust, op3_hnsw_near_vectors, op4_neighbour_quality, op5_bpe_merge_replay, op7_bottom_k_near_dedup, op9_randomness_battery, op10_kd_shards)}
+    own = (
+        op1_pareto_mix, op2_link_trust, op3_hnsw_near_vectors, op4_neighbour_quality, op5_bpe_merge_replay,
+        op6_template_line_dedup, op7_bottom_k_near_dedup, op8_cover_tree_top_k, op9_randomness_battery, op10_kd_shards,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_cover_tree_top_k": OP8_SQL}
