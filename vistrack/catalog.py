@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import inputs, retrieval, tracking, vocabulary  # noqa: F401  the plans register themselves
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """For every frame the three objects that its visual words score best on."""
+    return inputs.QUERIES["r9_retrieve_frames"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(inputs.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(inputs.SQL)
