@@ -101,16 +101,16 @@ def binary_signatures(histograms: np.ndarray, angle: np.ndarray) -> np.ndarray:
     return ((value > histograms.sum((1, 2))[:, None] / 64) << np.arange(16)).sum(1)
 
 
-def describe_patch(patch: Column) -> Column:
-    """Struct of histogram, total, dominant orientation and signature of 256-number patches."""
+def described_patches(rows: DataFrame, key: str = "id", column: str = "patch") -> DataFrame:
+    """key, histo, total, orientation, signature of 256-number patches."""
 
-    @F.pandas_udf("histo array<double>, total double, orientation double, signature int")
-    def run(p: pd.Series) -> pd.DataFrame:
-        h = orientation_histograms(np.array(p.tolist(), float).reshape(-1, SIDE, SIDE))
-        angle = dominant_orientations(h)
-        return pd.DataFrame({"histo": list(h.reshape(len(h), -1)), "total": h.sum((1, 2)), "orientation": angle, "signature": binary_signatures(h, angle).astype("int32")})
+    def run(frames):
+        for f in frames:
+            h = orientation_histograms(np.array(f[column].tolist(), float).reshape(-1, SIDE, SIDE))
+            angle = dominant_orientations(h)
+            yield pd.DataFrame({key: f[key], "histo": list(h.reshape(len(h), -1)), "total": h.sum((1, 2)), "orientation": angle, "signature": binary_signatures(h, angle).astype("int32")})
 
-    return run(patch)
+    return rows.select(key, column).mapInPandas(run, f"{key} long, histo array<double>, total double, orientation double, signature int")
 
 
 def equalise_patch(patch: Column) -> Column:

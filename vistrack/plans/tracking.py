@@ -423,7 +423,7 @@ OBJECTS = "ob as (select o_orderkey as obj_id, o_orderpriority as comment, case
 
 
 @query("io5_load_visual_db", f"""with {OBJ}, {OBJECTS} select ob.obj_id, comment, flags, coalesce(bins, 0) as bins, coalesce(points, 0) as points, img_id, coalesce(notes, 0) as notes from ob
-left join (select obj_id, count(distinct cid) as bins, count(*) as points, max_by(img_id, kpt_id) as img_id from op group by 1) h using (obj_id)
+left join (select obj_id, count(distinct cid) as bins, count(*) as points, max(struct_pack(k := kpt_id, i := img_id)).i as img_id from op group by 1) h using (obj_id)
 left join (select l_orderkey as obj_id, count(*) as notes from lineitem where l_returnflag = 'R' group by 1) n using (obj_id)""")
 def io5(spark, sf):
     notes = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("obj"))

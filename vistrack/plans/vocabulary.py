@@ -40,7 +40,7 @@ def patches(spark, sf):
 
 @query("v2_v3_v7_describe_patch")
 def v2(spark, sf):
-    return patches(spark, sf).select("id", vectors.describe_patch(F.col("patch")).alias("d")).select("id", "d.total", "d.orientation", "d.signature")
+    return vectors.described_patches(patches(spark, sf)).drop("histo")
 
 
 @query("v4_normalise_patch")

@@ -25,8 +25,9 @@ def visibility_sessions(stream: DataFrame, timeout: str, late: str = "10 minutes
     return w.select("obj_id", F.col("session_window.start").alias("start"), "end", "n")
 
 
-def windowed_counts(stream: DataFrame, width: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
-    w = stream.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.count("*").alias("n"))
+def windowed_counts(stream: DataFrame, width: str = "500 milliseconds", late: str | None = "10 minutes") -> DataFrame:
+    """start, n of tumbling windows; `late` is None for a stream that has its watermark, as detections() gives."""
+    w = (stream.withWatermark("ts", late) if late else stream).groupBy(F.window("ts", width)).agg(F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("start"), "n")
 
 
