@@ -8,8 +8,8 @@ bottom-k of the sketches' union estimates, and every survivor is verified on the
 
 Lists are never expanded into all pairs. A first round compares each list with two pivots, which joins most of a
 group of near copies. Then only pairs between different components are left: members outside a list's largest
-component are compared with the whole list, in blocks of bounded size, and a last round verifies every pair that
-passes the estimate and is still in two components. So components come out as if all pairs had been verified.
+component are compared with the whole list, in blocks of bounded size, and pairs that pass the estimate are verified
+unless links found meanwhile join them. So components come out as if all pairs had been verified.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -132,57 +132,82 @@ def open_members(lists: DataFrame, parts: DataFrame) -> DataFrame:
     sizes = at.groupBy("v", "c").count()
     lead = sizes.groupBy("v").agg(F.max(F.struct("count", "c")).alias("top"), F.sum("count").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
     lead = lead.select("v", "m", (F.col("m") - F.col("top.count")).alias("few"), F.col("top.c").alias("lead"))
+    # Near copies share many values: of lists with the same members one is enough.
+    digest = at.groupBy("v").agg(F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
+    lead = lead.join(digest, "v").groupBy("m", "few", "lead", "x", "y").agg(F.min("v").alias("v")).drop("x", "y")
     return at.join(lead, "v").select("v", "id", "c", "m", "few", (F.col("c") != F.col("lead")).alias("minor"))
 
 
-def cross_pairs(members: DataFrame, sets: DataFrame, prefix: DataFrame, k: int, percent: int, most: int | None) -> DataFrame:
-    """a, b: pairs of one list in different components that pass the sketch estimate; `most` per member and block.
+def _marks(sketches: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Which of `values` (sorted) each sketch has."""
+    out = np.zeros((len(sketches), len(values)), np.float32)
+    for i, s in enumerate(sketches):
+        at = np.searchsorted(values, s)
+        at[at == len(values)] = 0
+        out[i, at[values[at] == s]] = 1
+    return out
 
-    Minor members meet every block of their list; a block pair holds at most some 2 x BLOCK sketches. A pair comes
-    from one list only: that of the smallest value in both prefixes.
+
+def _list_links(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: dict[int, int]) -> list[tuple[int, int]]:
+    """Links (id of x, id of y) that connect components of one list, verified on the full sets.
+
+    Pairs whose sketches overlap enough are tried from the most similar on; those whose components `root` already
+    joins are not tried, as nothing would change.
+    """
+
+    def find(c: int) -> int:
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = c = root[up]
+        return c
+
+    xs, ys = x["set"].tolist(), y["set"].tolist()
+    both = np.intersect1d(np.concatenate([s[:k] for s in xs]), np.concatenate([s[:k] for s in ys]))
+    overlap = _marks([s[:k] for s in xs], both) @ _marks([s[:k] for s in ys], both).T
+    (nx, cx, ix), (ny, cy, iy) = ([f[c].to_numpy() for c in ("n", "c", "id")] for f in (x, y))
+    low, high = np.minimum(nx[:, None], ny), np.maximum(nx[:, None], ny)
+    part = overlap / np.minimum(k, low)
+    ok = (part >= percent / 100 - 0.2) & (low * 100 >= high * percent) & (cx[:, None] != cy)
+    ok &= ~(y["minor"].to_numpy() & (ix[:, None] > iy))  # two minor members meet twice
+    i, j = np.nonzero(ok)
+    order = np.lexsort((iy[j], ix[i], -part[i, j]))
+    out = []
+    for r, c in zip(i[order].tolist(), j[order].tolist()):
+        a, b = find(cx[r].item()), find(cy[c].item())
+        if a == b:
+            continue
+        shared = len(np.intersect1d(xs[r], ys[c], assume_unique=True))
+        if shared * 100 >= (len(xs[r]) + len(ys[c]) - shared) * percent:
+            root[max(a, b)] = min(a, b)
+            out.append((ix[r].item(), iy[c].item()))
+    return out
+
+
+def cross_links(members: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """src, dst: links that connect the components which lists still hold apart; enough of them to do so.
+
+    Minor members meet every block of their list; a block pair holds at most some 2 x BLOCK sets. Lists of one block
+    share a call with others, up to some 16 x BLOCK members or two million values together.
     """
-    rows = members.join(prefix.select("id", "n", "prefix"), "id").join(sets.select("id", F.slice("set", 1, k).alias("sketch")), "id")
+    rows = members.join(sets, "id")
+    n, values = members.count(), sets.join(members.groupBy("id").count(), "id").agg(F.sum(F.col("n") * F.col("count"))).first()[0] or 0
+    calls = max(1, n // (16 * BLOCK), int(values) // 2_000_000)
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["v", "id", "c", "n", "minor", "prefix", "sketch"]
-    ask = rows.where("minor").withColumn("q", spread(blocks("few"), "q")).withColumn("d", every(blocks("m"))).select(*cols, "q", "d")
-    data = rows.withColumn("d", spread(blocks("m"), "d")).withColumn("q", every(blocks("few"))).select(*cols, "q", "d")
-
-    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        if x.empty or y.empty:
-            return none
-        both = np.intersect1d(np.concatenate(x["sketch"].tolist()), np.concatenate(y["sketch"].tolist()))
-
-        def marks(s: pd.Series) -> np.ndarray:
-            out = np.zeros((len(s), len(both)), np.float32)
-            for i, v in enumerate(s):
-                at = np.searchsorted(both, v)
-                at = at[(at < len(both)) & (both[np.minimum(at, len(both) - 1)] == v)]
-                out[i, at] = 1
-            return out
-
-        overlap = marks(x["sketch"]) @ marks(y["sketch"]).T
-        nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
-        size = np.minimum(k, np.minimum(nx, ny))
-        ok = (overlap >= (percent / 100 - 0.2) * size) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
-        ok &= x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]
-        ok &= ~(y["minor"].to_numpy()[None, :] & (x["id"].to_numpy()[:, None] > y["id"].to_numpy()[None, :]))
-        i, j = np.nonzero(ok)
-        if most is not None and len(i):
-            order = np.lexsort((y["id"].to_numpy()[j], -overlap[i, j], i))
-            i, j = i[order], j[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[rank < most], j[rank < most]
-        px, py, v = [set(p) for p in x["prefix"]], [set(p) for p in y["prefix"]], key[0]
-        keep = [t for t, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if min(px[a] & py[b]) == v] if most is None else slice(None)
-        return pd.DataFrame({"a": x["id"].to_numpy()[i[keep]], "b": y["id"].to_numpy()[j[keep]]})
-
-    by = ["v", "q", "d"]
+    call = F.when(F.col("m") <= BLOCK, -1 - F.pmod(F.xxhash64("v"), F.lit(calls))).otherwise(F.col("v"))
+    cols = ["v", "id", "c", "n", "minor", "set"]
+    ask = rows.where("minor").withColumn("q", spread(blocks("few"), "q")).withColumn("d", every(blocks("m"))).select(*cols, "q", "d", call.alias("g"))
+    data = rows.withColumn("d", spread(blocks("m"), "d")).withColumn("q", every(blocks("few"))).select(*cols, "q", "d", call.alias("g"))
     data = data.select(*(F.col(c).alias(c) for c in data.columns))  # both sides come from one table: names of its own
-    out = ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(run, "a long, b long")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        groups = dict(list(y.groupby("v"))) if len(x) and len(y) else {}
+        root: dict[int, int] = {}
+        links = [p for v, part in x.groupby("v") if v in groups for p in _list_links(part, groups[v], k, percent, root)]
+        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
+
+    by = ["g", "q", "d"]
+    return ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
@@ -206,15 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     pairs = lists.join(pivots, "v").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     links = written(verified(pairs, sets, k, percent), "links")
     parts = written(components(links), "parts")
-    for most in (4, None):
-        members = written(open_members(lists, parts), "open")
-        if members.isEmpty():
-            break
-        more = cross_pairs(members, sets, prefix, k, percent, most)
-        more = written(verified(more, sets, k, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = written(components(links), "parts")
+    members = written(open_members(lists, parts), "open")
+    if not members.isEmpty():
+        more = written(cross_links(members, sets, k, percent), "links")
+        parts = written(components(links.unionByName(more)), "parts")
 
     found = classes.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     out = all_.join(found, "key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
