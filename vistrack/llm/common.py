@@ -37,6 +37,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows, which is counted first; else as it is, so that the
+    join is a shuffled one that adaptive execution can split."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case for A-Z only."""
     return F.translate(c, UPPER, LOWER)

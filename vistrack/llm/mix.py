@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, unit_hash, written
+from .common import WORD, small, unit_hash, written
 
 EVERYTHING = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -32,7 +32,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap
     before, all_ = by_room.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(0)).rowsBetween(*EVERYTHING)
     per = per.withColumn("room", F.col("most") / F.col("w"))
     left = share * F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
+    per = per.withColumn("level", F.try_divide(left, F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     level = F.max(F.when(F.col("room") > F.col("level"), F.col("level"))).over(all_)
     per = per.withColumn("target", F.least("most", F.coalesce(level, F.lit(float("inf"))) * F.col("w")))
     return per.select("source", "source_size", F.col("target").cast("double").alias("target"))
@@ -50,7 +50,6 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     The ranks are cut at a bucket of ranks found from (source, bucket) sums, and only the documents of the one
     bucket at the boundary are sorted: no source is ever gathered in one task.
     """
-    spark = docs.sparkSession
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "sizes")
     targets = source_targets(sized, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -68,18 +67,19 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     before, own = big_first.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
     over = F.sum(F.col("words") * F.col("pull"))
     strata = strata.withColumn(
-        "c", (F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0.0))) / (over.over(own) - F.coalesce(over.over(before), F.lit(0.0)))
+        "c", F.try_divide(F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0.0)), over.over(own) - F.coalesce(over.over(before), F.lit(0.0)))
     )
     strata = strata.withColumn("c", F.max(F.when(F.col("c") * F.col("pull") < 1, F.col("c"))).over(own))
     strata = strata.withColumn("p", F.when(F.col("c").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("c") * F.col("pull")))))
     sure = F.sum(F.when(F.col("p") >= 1, F.col("words")).otherwise(0.0)).over(own)
     strata = strata.withColumn("left", F.greatest(F.lit(0.0), F.col("rest") - sure)).select(F.col("source").alias("s"), F.col("class").alias("k"), "p", "left")
+    strata = written(strata, "strata")
 
     # Pareto ranks, as q / (1 + q) in [0, 1).
     u = unit_hash("doc_id", F.lit(seed))
     q = (u / (1 - u)) * (1 - F.col("p")) / F.col("p")
     ranked = (
-        sized.join(strata, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k")), "left")
+        sized.join(small(strata), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k")), "left")
         .drop("s", "k", "class")
         .withColumn("rank", F.when((F.col("p") > 0) & (F.col("p") < 1), q / (1 + q)))
         .withColumn("bucket", F.floor(F.col("rank") * buckets).cast("int"))
@@ -94,7 +94,8 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
         .agg(F.min(F.struct("bucket", "below")).alias("e"))
         .select(F.col("source").alias("s"), F.col("e.bucket").alias("edge"), F.col("e.below").alias("below"))
     )
-    ranked = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    edge = written(edge, "edge")
+    ranked = ranked.join(small(edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at_edge = F.col("bucket") == F.col("edge")
     run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     cut = ranked.where(at_edge).withColumn("mid", F.sum("size").over(run) - F.col("size") / 2.0)
@@ -102,7 +103,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     sampled = F.when(F.col("p") >= 1, 1).when(F.col("rank").isNull(), 0).when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1)
     sampled = sampled.when(at_edge & (F.col("mid") <= F.col("left") - F.col("below")), 1).otherwise(0)
     picked = picked.withColumn("sampled", sampled).select("doc_id", F.col("source").alias("s"), "size", "sampled")
-    out = picked.join(targets, F.col("source").eqNullSafe(F.col("s")))
+    out = picked.join(small(targets), F.col("source").eqNullSafe(F.col("s")))
     copies = F.least(F.col("whole") + F.col("sampled"), F.lit(int(cap)))
     return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
