@@ -42,7 +42,7 @@ def appearance_events(stream: DataFrame, timeout_ms: int, late: str = "10 minute
             out.append((key[0], last + timeout_ms, "disappeared"))
             state.remove()
         else:
-            rows = sorted(int(t.timestamp() * 1000) for f in frames for t in f["ts"])
+            rows = sorted(int(t) for f in frames for t in f["ms"])
             for t in rows:
                 if last is not None and t - last > timeout_ms:
                     out.append((key[0], last + timeout_ms, "disappeared"))
@@ -56,7 +56,7 @@ def appearance_events(stream: DataFrame, timeout_ms: int, late: str = "10 minute
         if out:
             yield pd.DataFrame(out, columns=["obj_id", "t_ms", "event"])
 
-    rows = stream.withWatermark("ts", late).select("obj_id", "ts")
+    rows = stream.withWatermark("ts", late).select("obj_id", F.unix_millis("ts").alias("ms"), "ts")
     return rows.groupBy("obj_id").applyInPandasWithState(step, "obj_id long, t_ms long, event string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -71,13 +71,13 @@ def lost_tracks(stream: DataFrame, frames_back_ms: int, min_len: int = 4, retain
             if n >= min_len:
                 yield pd.DataFrame({"video_id": [key[0]], "track_id": [key[1]], "n": [n], "words": [list(words)]})
             return
-        rows = pd.concat(list(frames)).sort_values("ts")
+        rows = pd.concat(list(frames)).sort_values("ms")
         words = [*words, *rows["word"].tolist()][-retain:]
-        last, n = max(last, int(rows["ts"].max().timestamp() * 1000)), n + len(rows)
+        last, n = max(last, int(rows["ms"].max())), n + len(rows)
         state.update((last, n, words))
         state.setTimeoutTimestamp(max(last + frames_back_ms, state.getCurrentWatermarkMs() + 1))
 
-    rows = stream.withWatermark("ts", late).select("video_id", "track_id", "ts", "word")
+    rows = stream.withWatermark("ts", late).select("video_id", "track_id", F.unix_millis("ts").alias("ms"), "ts", "word")
     return rows.groupBy("video_id", "track_id").applyInPandasWithState(
         step, "video_id long, track_id long, n long, words array<long>", "last long, n long, words array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
