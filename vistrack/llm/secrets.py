@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
+#: `AKIA[A-Z0-9]+` of 20 and `[0-9a-f]+` of 24 characters or more: a run that is too short holds no longer match, so
+#: the least length stands in the pattern.
+ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 #: A candidate for the battery: a run of symbols of the text encodings.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
@@ -42,7 +44,7 @@ def spans(text: Column, pattern: str, kind: int, keep) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(acc: Column, m: Column) -> Column:
-        at = F.locate_at(m, text, acc["at"]) if hasattr(F, "locate_at") else F.call_function("locate", m, text, acc["at"])
+        at = F.call_function("locate", m, text, acc["at"])
         end = at + F.length(m)
         one = F.array(F.struct((at - 1).alias("start"), F.lit(kind).alias("kind"), (end - 1).alias("end"), m.alias("token")))
         return F.struct(end.alias("at"), F.when(keep(m), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
@@ -53,13 +55,11 @@ def spans(text: Column, pattern: str, kind: int, keep) -> Column:
 def base_spans(text: Column) -> Column:
     """The three base kinds, by start, then kind as listed."""
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 1))
-    # Shorter runs can't hold a longer match: AKIA starts no run inside one of its own that is longer, and a run of
-    # hex digits is maximal; so the least length may stand in these two patterns.
     return F.array_sort(
         F.concat(
             spans(text, ASSIGN, 0, lambda m: value(m) >= 6),
-            spans(text, r"AKIA[A-Z0-9]{16,}", 1, lambda m: F.lit(True)),
-            spans(text, r"[0-9a-f]{24,}", 2, lambda m: F.lit(True)),
+            spans(text, ACCESS, 1, lambda m: F.lit(True)),
+            spans(text, HEX, 2, lambda m: F.lit(True)),
         )
     )
 

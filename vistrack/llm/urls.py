@@ -77,13 +77,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """host, rank: personalised PageRank from the column `seed` of `hosts` over `edges` (src, dst, weight).
+    """host, rank: personalised PageRank from the column `seed` (shares) of `hosts` over `edges` (src, dst, weight).
 
-    The mass of hosts without links returns to the seeds. Rounds are a fixed number of joins and sums per host; the
-    rank is written out every fourth round. Without any seed every rank is 0.
+    The mass of hosts without links returns to the seeds. Rounds are a fixed number of joins and sums per host, each
+    checkpointed. Without any seed every rank is 0.
     """
-    total = F.sum(seed).over(_all_hosts())
-    base = hosts.select("host", F.when(total > 0, F.col(seed) / total).otherwise(0.0).alias("seed"))
+    base = hosts.select("host", F.col(seed).alias("seed"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     share = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     rank = base.withColumn("rank", F.col("seed"))
@@ -91,30 +90,24 @@ def propagate(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.
         return rank.select("host", "rank")
     base = checkpointed(base)
     rank = base.withColumn("rank", F.col("seed"))
-    for k in range(rounds):
+    for _ in range(rounds):
         got = share.join(rank.select(F.col("host").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
         rank = base.join(got.withColumnRenamed("dst", "host"), "host", "left").withColumn("flow", damping * F.coalesce("in", F.lit(0.0)))
-        lost = rank.agg(F.sum("flow").alias("kept"))
-        rank = rank.crossJoin(F.broadcast(lost)).select("host", "seed", (F.col("flow") + (1 - F.col("kept")) * F.col("seed")).alias("rank"))
-        if k % 4 == 3:
-            rank = checkpointed(rank)
+        rank = checkpointed(rank)
+        kept = rank.agg(F.sum("flow")).first()[0] or 0.0  # one number
+        rank = rank.select("host", "seed", (F.col("flow") + (1 - kept) * F.col("seed")).alias("rank"))
     return rank.select("host", "rank")
 
 
-def _all_hosts():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
 def host_verdicts(judged: DataFrame, edges: DataFrame, threshold: float = 1.0) -> DataFrame:
     """host, trust, distrust, method ('allow' or 'block') for every host of `judged` (host, by_rule) and of the links."""
     share = lambda v: F.avg(F.coalesce((F.col("by_rule") == v).cast("double"), F.lit(0.0)))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
     linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
     hosts = linked.join(seeds, "host", "full_outer").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("good", "bad")))
-    total = hosts.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    hosts = checkpointed(hosts.crossJoin(F.broadcast(total)).select("host", F.when(F.col("g") > 0, F.col("good") / F.col("g")).otherwise(0.0).alias("good"), F.when(F.col("b") > 0, F.col("bad") / F.col("b")).otherwise(0.0).alias("bad")))
+    hosts = checkpointed(hosts)
+    total = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    hosts = hosts.select("host", *((F.col(c) / (total[c] or 1.0)).alias(c) for c in ("good", "bad")))
     trust = propagate(hosts, edges, "good").withColumnRenamed("rank", "trust")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = propagate(hosts, back, "bad").withColumnRenamed("rank", "distrust")
