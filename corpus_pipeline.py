@@ -34,7 +34,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs, *byte_bpe(), with_ids=True)
+    return bpe.encoded(docs, *byte_bpe(), with_ids=True, chars=3_000_000, kept=150_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

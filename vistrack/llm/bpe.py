@@ -18,9 +18,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept with their ids in a Python worker; beyond, the worker starts anew.
-KEPT_WORDS = 500_000
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: lines of base64 token and rank."""
@@ -150,16 +147,16 @@ class Merges:
 
 
 class Codec:
-    """A worker's words with their ids and what these decode to."""
+    """A worker's words with their ids and what these decode to; with more than `kept` it starts anew."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = 500_000):
+        self.merges, self.find, self.kept = Merges(ranks), regex.compile(pattern).findall, kept
         self.ids: dict[str, str] = {}
         self.back: dict[str, bytes] = {}
 
     def learn(self, texts: list[list[str]]) -> None:
         new = set().union(*texts) if texts else set()
-        if len(self.ids) + len(new) > KEPT_WORDS:
+        if len(self.ids) + len(new) > self.kept:
             self.ids, self.back = {}, {}
         new = [w for w in new if w not in self.ids]
         for w, ids in zip(new, self.merges.replay([w.encode("utf-8", "surrogatepass") for w in new])):
@@ -170,12 +167,12 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+def codec(ranks: dict[bytes, int], pattern: str, kept: int) -> Codec:
     """The Python worker's codec: built once and kept between its tasks."""
-    key = (hash(frozenset(ranks.items())), pattern)
+    key = (hash(frozenset(ranks.items())), pattern, kept)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(ranks, pattern)
+        _codecs[key] = Codec(ranks, pattern, kept)
     return _codecs[key]
 
 
@@ -191,29 +188,32 @@ def _batches(texts: pd.Series, chars: int) -> Iterator[list[str]]:
         yield part
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, chars: int = 16_000_000) -> DataFrame:
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, chars: int = 16_000_000, kept: int = 500_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with `with_ids` also ids (array<int>); one row per input row.
 
     Ids are those of ordinary text, without special tokens. A null or empty text has no tokens; a very long text is
     encoded whole; equal texts have equal ids; an empty table gives an empty result; columns other than doc_id and
-    text are not looked at. The rank file (some 50,000 lines) is read on the driver and broadcast.
+    text are not looked at. The rank file (some 50,000 lines) is read on the driver and broadcast. A worker holds the
+    words of some `chars` characters of text and the ids of `kept` distinct words; neither changes a result.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(ranks.value, pattern)
+        c = codec(ranks.value, pattern, kept)
         for f in frames:
-            rows = []
+            at = 0
             for part in _batches(f["text"], chars):
-                words = [c.find(t) for t in part]
+                rows, words = [], [c.find(t) for t in part]
                 c.learn(words)
-                for w in words:
+                for k, w in enumerate(words):
+                    words[k] = None  # the words of a batch are most of what a worker holds
                     ids = ",".join(map(c.ids.__getitem__, w))
                     back = hashlib.sha256(b"".join(map(c.back.__getitem__, w))).hexdigest()
                     rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), back, np.fromstring(ids, np.int32, sep=",") if with_ids else None))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            out.insert(0, "doc_id", f["doc_id"].to_numpy())
-            yield out if with_ids else out.drop(columns="ids")
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                out.insert(0, "doc_id", f["doc_id"].to_numpy()[at : at + len(part)])
+                at += len(part)
+                yield out if with_ids else out.drop(columns="ids")
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
