@@ -110,7 +110,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000, rank: int = 48) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, rank: int = 48) -> dict:
     """idf, basis, labelled vectors and labels: the model that every task gets (some 2 MB at the default bound).
 
     At most 2 * `bound` texts become features, on the executors; the driver holds these rows and decomposes their
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000, rank: int = 48) -
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     got = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").mapInPandas(rows, "y int, x array<float>").toPandas()
     x, y = np.array(got["x"].tolist(), np.float32), got["y"].to_numpy(np.float64)
-    values, vectors = np.linalg.eigh(x.T.astype(np.float64) @ x)
+    del got  # the driver holds the rows once
+    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     basis = vectors[:, np.argsort(values)[::-1][:rank]].astype(np.float32)
     return {"idf": idf, "basis": basis, "vectors": unit(x @ basis), "y": y}
 
@@ -171,7 +172,7 @@ def scored(docs: DataFrame, model: dict, with_text: bool) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per input row.
 
     A null or empty text has the mark of no words and is scored by it; long texts are read whole; equal texts have
@@ -184,6 +185,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> Dat
     )
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
     """The documents that score 0.5 or more; columns as given."""
     return scored(docs, fit(docs, labels, bound), True).where("__score >= 0.5").select(*docs.columns)
