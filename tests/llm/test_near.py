@@ -246,3 +246,20 @@ def test_exact_repeats_equal_brute_force(spark):
     want = {i: "\n".join(x for x in t.split("\n") if first[x] == i) for i, t in rows}
     got = {r["doc_id"]: r["text"] for r in linededup.line_deduplicated(docs(spark, rows)).collect()}
     assert sum(got[i] != want[i] for i in want) <= 2  # lines that differ in a few tokens are one template as well
+
+
+def test_a_leaf_holds_several_templates(spark):
+    """Lines of one length and head: two templates with a name as a field, one of them rarer, among unrelated lines."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    kinds = {
+        "login": lambda: f"2024-01-02 10:00:01 INFO session of {word()} was opened from the office",
+        "disk": lambda: f"2024-01-02 10:00:01 INFO volume {word()} is nearly full so clean it",
+        "other": lambda: "2024-01-02 10:00:01 INFO " + " ".join(word() for _ in range(8)),
+    }
+    order = ["login"] * 40 + ["disk"] * 6 + ["other"] * 50
+    rng.shuffle(order)
+    rows = [(i, f"{kinds[k]()}\nmine{'x' * i}") for i, k in enumerate(order)]
+    got = {r["doc_id"]: r["text"] for r in linededup.line_deduplicated(docs(spark, rows)).collect()}
+    first = {k: order.index(k) for k in ("login", "disk")}
+    assert {i for i, t in rows if got[i] == t} == {i for i, k in enumerate(order) if k == "other" or first[k] == i}

@@ -3,17 +3,20 @@
 A line goes down the tree by its number of tokens, then by its leading tokens; tokens with digits are variable from
 the start. In a leaf, a position is constant if nearly all its lines hold the same token there; a leaf that is
 constant in most positions is one template with variable fields, and lines that agree with its constants are its
-instances. Other lines are templates of their own. A template that recurs across documents is kept where it occurs
-first (by doc_id) and dropped everywhere else.
+instances. Other lines of the leaf are grouped by the tokens they agree in, and each group is made a template in the
+same way, until no group is left; so a leaf holds any number of templates. Lines of no template are templates of
+their own. A template that recurs across documents is kept where it occurs first (by doc_id) and dropped everywhere
+else.
 
 A line is carried as its place, two digests and two bytes a token, never as text. Constants come from counts per
-(leaf, position, token), and all else from sums and joins, so a leaf with a third of all lines is never one group.
+(group, position, token), and all else from sums and joins, so a leaf with a third of all lines is never one task's.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,35 +69,89 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def fields(lines: DataFrame) -> DataFrame:
-    """leaf, lines, pos, token of the distinct lines' tokens."""
+    """g, pos, token of the distinct lines' tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [np.frombuffer(s, "<u2") for s in b.column("sig").to_pylist()]
-            per = np.fromiter(map(len, sigs), np.int64, len(sigs))
-            pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            token = np.concatenate([*sigs, np.zeros(0, "<u2")]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("leaf").to_numpy(), per)), pa.array(pos.astype(np.int32)), pa.array(token)], ["leaf", "pos", "token"])
+            per, pos, token = _flat(b.column("sig").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("g").to_numpy(), per)), pa.array(pos.astype(np.int32)), pa.array(token)], ["g", "pos", "token"])
 
-    return lines.select("leaf", "sig").mapInArrow(run, "leaf long, pos int, token int")
+    return lines.select("g", "sig").mapInArrow(run, "g long, pos int, token int")
+
+
+def _flat(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens per line; the place of each token in its line, and the token."""
+    sigs = [np.frombuffer(s, "<u2") for s in sigs]
+    per = np.fromiter(map(len, sigs), np.int64, len(sigs))
+    pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    return per, pos, np.concatenate([*sigs, np.zeros(0, "<u2")]).astype(np.int32)
+
+
+def keys(lines: DataFrame, depth: int) -> DataFrame:
+    """own, key: a digest of (leaf, position, token) for each token below the head, which all lines of a leaf share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            per, pos, token = _flat(b.column("sig").to_pylist())
+            below = pos >= depth
+            x = np.repeat(b.column("leaf").to_numpy().astype(np.uint64), per)[below] * np.uint64(0x9E3779B97F4A7C15)
+            x += (pos[below] * 65536 + token[below]).astype(np.uint64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("own").to_numpy(), per)[below]), pa.array(x.astype(np.int64))], ["own", "key"])
+
+    return lines.select("leaf", "own", "sig").mapInArrow(run, "own long, key long")
+
+
+def regrouped(rest: DataFrame, depth: int, same: float, salt: int) -> DataFrame:
+    """`rest` (distinct lines of no template so far) with a new g: lines of a leaf that agree in the share of `same`
+    of their positions in which their tokens are commonest among the leaf's rest. Lines with fewer positions that
+    recur at all are left out; as the rest only shrinks they can't be in a template later."""
+    k = keys(rest, depth)
+    often = k.groupBy("key").count().where("count > 1")
+    marks = k.join(often, "key").groupBy("own").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "key"))).alias("s"))
+    need = F.greatest(F.lit(0), F.ceil(same * F.octet_length("sig") / 2).cast("int") - depth)
+    at = rest.drop("g").join(marks, "own", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<c:bigint,key:bigint>>")))
+    g = F.xxhash64("leaf", F.lit(salt), F.sort_array(F.slice(F.col("s.key"), F.lit(1), need)))
+    return at.where(F.size("s") >= need).select("leaf", "own", "sig", "lo", "hi", g.alias("g"))
 
 
 def templates(lines: DataFrame, same: float, agree: float) -> DataFrame:
-    """leaf, constants: the leaves that are templates, as a map from position to token.
+    """g, constants: the groups g of distinct lines that are templates, as a map from position to token.
 
-    Only leaves with lines of several documents and several distinct lines are looked at. A position is constant if
-    a share of `agree` of the leaf's distinct lines hold its commonest token; a leaf is a template if a share of
+    Only groups with lines of several documents and several distinct lines are looked at. A position is constant if
+    a share of `agree` of the group's distinct lines hold its commonest token; a group is a template if a share of
     `same` of its positions is constant.
     """
+    sizes = lines.groupBy("g").agg(F.count("*").alias("lines"), F.max(F.octet_length("sig") / 2).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sizes = sizes.where("lines > 1 and lo < hi").select("g", "lines", "n")
+    tops = fields(lines.join(sizes.select("g"), "g", "left_semi")).groupBy("g", "pos", "token").count().groupBy("g", "pos").agg(F.max(F.struct("count", F.col("token"))).alias("top"))
+    tops = tops.join(sizes, "g").where(F.col("top.count") >= agree * F.col("lines"))
+    found = tops.groupBy("g").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "top.token"))).alias("constants"))
+    return found.where(F.col("c") >= same * F.col("n")).select("g", "constants")
+
+
+def line_forms(lines: DataFrame, depth: int, same: float, agree: float) -> DataFrame:
+    """own, form of the distinct lines that are instances of a template.
+
+    A leaf is one group at first. Lines that don't agree with their group's template, or have none, are grouped anew
+    within their leaf by what they agree in, until no group is a template. A group made by `regrouped` always is one,
+    and a fifth of its lines at least agree with it, so the rest shrinks in every round.
+    """
     shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("own").alias("a"), F.max("own").alias("b"))
     shared = shared.where("lo < hi and a < b").select("leaf")
-    distinct = lines.join(shared, "leaf").groupBy("leaf", "own").agg(F.min("sig").alias("sig"))
-    distinct = written(distinct, "distinct")
-    sizes = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), F.max(F.octet_length("sig") / 2).alias("n"))
-    tops = fields(distinct).groupBy("leaf", "pos", "token").count().groupBy("leaf", "pos").agg(F.max(F.struct("count", F.col("token"))).alias("top"))
-    tops = tops.join(sizes, "leaf").where(F.col("top.count") >= agree * F.col("lines"))
-    found = tops.groupBy("leaf").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "top.token"))).alias("constants"))
-    return found.where(F.col("c") >= same * F.col("n")).select("leaf", "constants")
+    rest = lines.join(shared, "leaf").groupBy("leaf", "own").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    rest, found, salt = written(rest.withColumn("g", F.col("leaf")), "distinct"), [], 0
+    while True:
+        forms = written(templates(rest, same, agree), "templates")
+        if salt and forms.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        fits = F.coalesce(agreement(F.col("sig"), F.col("constants")) >= 0.9, F.lit(False))
+        at = written(rest.join(forms, "g", "left").withColumn("fits", fits).drop("constants"), "fitted")
+        found.append(at.where("fits").select("own", F.col("g").alias("form")))
+        salt += 1
+        rest = written(regrouped(at.where("not fits").drop("fits"), depth, same, salt), "rest")
 
 
 def agreement(sig, constants):
@@ -111,10 +168,9 @@ def repeated_lines(docs: DataFrame, depth: int = 3, same: float = 0.6, agree: fl
     tokens, which meet by chance.
     """
     lines = written(parsed_lines(docs, depth), "lines")
-    forms = templates(lines, same, agree)
-    at = lines.join(forms, "leaf", "left")
-    form = F.when(F.coalesce(agreement(F.col("sig"), F.col("constants")) >= 0.9, F.lit(False)), F.col("leaf")).otherwise(F.col("own"))
-    at = written(at.select("doc_id", "line", (F.col("n") < short).alias("short"), form.alias("form")), "forms")
+    forms = line_forms(lines, depth, same, agree)
+    at = lines.select("doc_id", "line", (F.col("n") < short).alias("short"), "own").join(forms, "own", "left")
+    at = written(at.select("doc_id", "line", "short", F.coalesce("form", "own").alias("form")), "forms")
     seen = at.select("form", "short", "doc_id").distinct().groupBy("form", "short").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
     seen = seen.where(F.col("docs") >= F.when(F.col("short"), docs_short).otherwise(docs_long)).select("form", "first")
     return at.join(seen, "form").where("doc_id <> first").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
