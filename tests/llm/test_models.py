@@ -99,6 +99,15 @@ def test_votes_equal_brute_force():
         assert got[i] == pytest.approx((w * y[top]).sum() / w.sum(), abs=1e-4)
 
 
+def test_all_of_a_long_word_enters_both_bags():
+    head = "a1B" * 16
+    for a, b in ((head + "x" * 90, head + "7-" * 45), (head + "x" * 90 + "Q", head + "x" * 90), ("\u6f22\u5b57" * 40, "\u6f22\u5b57" * 30 + "\u3002" * 20)):
+        for x, y in zip(quality.bags(a), quality.bags(b)):
+            assert (x != y).any()
+    w, s = quality.bags("y" * 48_000)
+    assert w.sum() == 1 + -(-(48_000 - 48) // 47) and quality.bags("y" * 48)[0].sum() == 1
+
+
 def test_labels_and_ids_are_no_inputs(spark):
     good, bad = "Then the people of the town went home and said so.", "BUY!! NOW!! CHEAP!! PILLS!!"
     rows = [(i, (good if i % 2 else bad) + f" {'x' * (i % 7)}") for i in range(300)] + [(1000, good), (2001, good), (3002, None), (3003, ""), (None, good)]

@@ -1,7 +1,8 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
 A text is two bags: its words in hashed buckets, and the shapes of its words (letters and digits folded to classes)
-with marks for repetition and length. Both are weighted by inverse document frequencies counted over all documents,
+with marks for repetition and length. What follows the first 48 characters of a word is counted in pieces, so that
+text without spaces enters both bags whole. Both are weighted by inverse document frequencies counted over all documents,
 brought to unit length and projected on the leading singular vectors of a bounded sample of labelled rows. Every
 document is then compared with every labelled vector of the sample in blocks, and the nearest vote by similarity.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 
 #: Buckets of words and of shapes; the weight of the words beside the shapes.
 WORDS, SHAPES, WORD_WEIGHT = 768, 256, 0.35
+#: Characters of the pieces that a longer word is counted in, as words and as shapes.
+PIECE = 48
 FOLD = {**dict.fromkeys(map(chr, range(65, 91)), "A"), **dict.fromkeys(map(chr, range(97, 123)), "a"), **dict.fromkeys("0123456789", "0")}
 _run = re.compile(r"(.)\1+")
 
@@ -32,7 +35,7 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        folded = "".join([FOLD.get(c) or ("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c) for c in word[:48]])
+        folded = "".join([FOLD.get(c) or ("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c) for c in word[:PIECE]])
         shape = _run.sub(r"\1", folded) + (">" if len(word) > 24 else "")
         # the last 32 buckets of shapes are for marks
         code = zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS * SHAPES + zlib.crc32(shape.encode("utf-8", "replace")) % (SHAPES - 32)
@@ -49,6 +52,11 @@ def bags(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     codes = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
     w = np.bincount(codes // SHAPES, minlength=WORDS)
     s = np.bincount(codes % SHAPES, minlength=SHAPES)
+    rest = [_buckets["\0" + x[i : i + PIECE - 1]] for x in words if len(x) > PIECE for i in range(PIECE, len(x), PIECE - 1)]
+    if rest:
+        more = np.array(rest, np.int64)
+        w += np.bincount(more // SHAPES, minlength=WORDS)
+        s += np.bincount(more % SHAPES, minlength=SHAPES)
     mark = SHAPES - 32
     s[mark + min(15, int(math.log2(len(words) + 1)))] += 1 + len(words) // 4
     if len(words) > 1:
