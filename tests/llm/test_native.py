@@ -76,6 +76,18 @@ def test_mix_edges(spark):
     assert out.columns == docs(spark, EDGE).columns
 
 
+def test_mix_gives_each_row_its_own_copies(spark):
+    """Rows without an id, and rows that share one, come as often as the mix takes them."""
+    rows = [(None if i % 4 == 0 else i % 9, f"t{i}" + " w" * (i * 5 % 31), "en", f"s{i % 3}") for i in range(240)]
+    d = docs(spark, rows)
+    out = mix.mixed_documents(d).toPandas()
+    want = mix.pareto_mix(d).toPandas()
+    assert len(out) == want["copies"].sum() and out["doc_id"].isna().sum() == want[want["doc_id"].isna()]["copies"].sum() > 0
+    assert out["text"].map(words).sum() == want["taken"].sum()
+    ids = lambda f, n: sorted(Counter(f["doc_id"].fillna(-1).repeat(n)).items())
+    assert ids(out, 1) == ids(want, want["copies"])
+
+
 ASSIGN = re.compile(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 

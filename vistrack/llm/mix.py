@@ -38,19 +38,20 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap
     return per.select("source", "source_size", F.col("target").cast("double").alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, size_power: float = 0.5, buckets: int = 1024, seed: int = 17) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, size_power: float = 0.5, buckets: int = 1024, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns doc_id, size, source_size, target, copies, taken (copies x size), one row per input row. Sources are
+    Returns doc_id, size, source_size, target, copies, taken (copies x size) and the columns `carry` of the documents,
+    one row per input row. Sources are
     ordered by code point, null last, and weigh `weights` in turn. A null or empty text has size 0 and is never
     taken beyond the whole copies; rows with one doc_id share their random number, equal rows are ordered at will
     (they are the same row); an empty table gives an empty result; columns other than doc_id, source and text are
-    not looked at. The random number depends on doc_id and seed alone, so reruns agree.
+    not looked at (those of `carry` are passed on). The random number depends on doc_id and seed alone, so reruns agree.
 
     The ranks are cut at a bucket of ranks found from (source, bucket) sums, and only the documents of the one
     bucket at the boundary are sorted: no source is ever gathered in one task.
     """
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size")), "sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *carry), "sizes")
     targets = source_targets(sized, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio).cast("int")).withColumn(
@@ -102,13 +103,17 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     picked = ranked.where(~F.coalesce(at_edge, F.lit(False))).withColumn("mid", F.lit(None).cast("double")).unionByName(cut)
     sampled = F.when(F.col("p") >= 1, 1).when(F.col("rank").isNull(), 0).when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1)
     sampled = sampled.when(at_edge & (F.col("mid") <= F.col("left") - F.col("below")), 1).otherwise(0)
-    picked = picked.withColumn("sampled", sampled).select("doc_id", F.col("source").alias("s"), "size", "sampled")
+    picked = picked.withColumn("sampled", sampled).select("doc_id", F.col("source").alias("s"), "size", "sampled", *carry)
     out = picked.join(small(targets), F.col("source").eqNullSafe(F.col("s")))
     copies = F.least(F.col("whole") + F.col("sampled"), F.lit(int(cap)))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each repeated as often as the mix takes it; columns as given."""
-    copies = pareto_mix(docs, **how).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """The documents themselves, each row repeated as often as the mix takes it; columns as given.
+
+    Rows are numbered and written once, so rows without a doc_id or with a repeated one get their own copies.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    copies = pareto_mix(rows, carry=("__row",), **how).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    return rows.join(copies, "__row").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
