@@ -1,6 +1,7 @@
 """Mixing, secret scans, sharding and url filters against brute force, and their cases at the edge."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -122,6 +123,19 @@ def test_secret_spans(spark):
     assert masked[3] == "<secret> <secret>" and masked[5] is None and masked[9] == texts[9]
 
 
+def test_secrets_without_a_digit(spark):
+    """Keys of letters only reach the battery; runs of words and of few symbols do not pass it."""
+    rng = random.Random(11)
+    key = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    lower, both = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = [key(a, n) for a in (lower, lower.upper(), both) for n in (24, 40, 64) for _ in range(20)]
+    plain = ["internationalization" * 3, "ABCABCABC" * 6, "l" * 60, "na" * 30, "to-be-or-not-to-be-that-is-the-question-" * 2]
+    d = docs(spark, [(i, f"see {t} here", "en", "s") for i, t in enumerate(keys + plain)])
+    n = {r["doc_id"]: r["n_random"] for r in secrets.secret_spans(d).collect()}
+    assert sum(n[i] for i in range(len(keys))) >= 0.9 * len(keys)
+    assert [n[len(keys) + i] for i in range(len(plain))] == [0] * len(plain)
+
+
 def test_kd_shards(spark):
     rows = [(i, "t" * (i * 37 % 900), ("en", "de", "fr")[i % 3], f"s{i % 7}") for i in range(3000)] + [(10_000 + i, "copy" * 50, "en", "s0") for i in range(1500)]
     got = kdshard.shard_documents(docs(spark, rows)).toPandas()

@@ -25,8 +25,10 @@ KINDS = ("assign", "access", "hex", "random")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
+    ("letters", r"^(?:[A-Z]+|[a-z]+)$", LOWER),
     ("base32", r"^(?:[A-Z2-7]+|[a-z2-7]+)$", LOWER + "234567"),
     ("base36", r"^(?:[A-Z0-9]+|[a-z0-9]+)$", DIGITS + LOWER),
+    ("mixed", r"^[A-Za-z]+$", UPPER + LOWER),
     ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/"),
 )
@@ -82,7 +84,7 @@ def battery(tokens: DataFrame) -> DataFrame:
         fits = F.rlike(F.col("token"), F.lit(made_of))
         enc, size = F.when(fits, symbols).otherwise(enc), F.when(fits, len(symbols)).otherwise(size)
     t = tokens.withColumn("symbols", enc).withColumn("a", size).where("symbols is not null")
-    plain = F.when(F.col("a") < 62, F.lower("token")).otherwise(F.translate("token", "_-", "/+"))
+    plain = F.when(F.col("a") < 52, F.lower("token")).otherwise(F.translate("token", "_-", "/+"))
     t = t.withColumn("v", F.transform(F.split(plain, ""), lambda c: F.call_function("locate", c, F.col("symbols")) - 1))
     t = t.withColumn("n", F.size("v").cast("double"))
     add = lambda f: F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x))
@@ -115,7 +117,7 @@ def noise_tokens(tokens: DataFrame, q: float = 0.05) -> DataFrame:
     """The tokens that the battery takes for noise.
 
     Bounds come from counts per (length class, p bin), a table of fixed size, so no length class is sorted. A token
-    needs a digit and at least half as many symbols as would be distinct in a like number of fair draws.
+    needs at least half as many symbols as would be distinct in a like number of fair draws.
     """
     t = battery(tokens).withColumn("class", F.floor(F.log2("n") * 2).cast("int"))
     t = t.withColumn("bin", F.least(F.floor(-F.log10("p") * PER_DECADE), F.lit(BINS)).cast("int"))
@@ -131,7 +133,7 @@ def noise_tokens(tokens: DataFrame, q: float = 0.05) -> DataFrame:
     t = t.join(bound, "class", "left")
     distinct = F.size(F.array_distinct(F.split("token", "")))
     fair = F.col("a") * (1 - F.pow(1 - 1.0 / F.col("a"), F.col("n")))
-    return t.where((F.col("reject").isNull() | (F.col("bin") < F.col("reject"))) & F.rlike("token", F.lit("[0-9]")) & (distinct >= fair / 2))
+    return t.where((F.col("reject").isNull() | (F.col("bin") < F.col("reject"))) & (distinct >= fair / 2))
 
 
 def secret_spans(docs: DataFrame, q: float = 0.05) -> DataFrame:
@@ -142,7 +144,7 @@ def secret_spans(docs: DataFrame, q: float = 0.05) -> DataFrame:
     doc_id and text are not looked at. A random span overlaps no base span.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.filter(spans(text, TOKEN, 3, lambda m: F.rlike(m, F.lit("[0-9]"))), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    tokens = F.filter(spans(text, TOKEN, 3, lambda m: F.lit(True)), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     found = found.withColumn("tokens", tokens).drop("text").withColumn("row", F.monotonically_increasing_id())
     found = written(found, "spans")
