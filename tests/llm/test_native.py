@@ -1,11 +1,14 @@
 """Mixing, secret scans, sharding and url filters against brute force, and their cases at the edge."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from vistrack.llm import kdshard, mix, secrets, urls
 
@@ -136,6 +139,69 @@ def test_secrets_without_a_digit(spark):
     assert [n[len(keys) + i] for i in range(len(plain))] == [0] * len(plain)
 
 
+def numpy_battery(token):
+    """p1, p2, p3 of one token, straight from the definitions."""
+    symbols = next(x for _, made_of, x in secrets.ENCODINGS if re.fullmatch(made_of.strip("^$"), token))
+    a, n = len(symbols), len(token)
+    plain = token.lower() if a < 52 else token.replace("_", "/").replace("-", "+")
+    v = np.array([symbols.index(c) for c in plain], float)
+    tail = lambda z: 1 / (1 + math.exp(min(300, 1.5976 * max(-12, min(12, z)) + 0.070565992 * max(-12, min(12, z)) ** 3)))
+    chi = sum((np.sum(v == s) - n / a) ** 2 / (n / a) for s in range(a))
+    p1 = tail(((chi / (a - 1)) ** (1 / 3) - (1 - 2 / (9 * (a - 1)))) / math.sqrt(2 / (9 * (a - 1))))
+    high = v * 2 >= a
+    n1, n0, runs = high.sum(), (~high).sum(), 1 + (high[1:] != high[:-1]).sum()
+    mean, var = 1 + 2 * n1 * n0 / n, 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+    p2 = min(1, 2 * tail(abs(runs - mean) / math.sqrt(var) if 2 * n1 * n0 > n else 12))
+    d = v - v.mean()
+    p3 = min(1, 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) if (d * d).sum() > 0 else 12))
+    return a, len(set(plain)), p1, p2, p3
+
+
+def test_battery_equals_numpy(spark):
+    rng = random.Random(5)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCabcxyz019+/", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJ_-"]
+    tokens = ["".join(rng.choice(x) for _ in range(n)) for x in alphabets for n in (20, 33, 70, 400)] + ["a" * 30, "ab" * 20, "the-quick-brown-fox-jumps-over"]
+    got = secrets.battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()
+    assert len(got) == len(tokens)
+    for r in got:
+        a, distinct, *p = numpy_battery(r["token"])
+        assert (r["a"], r["distinct"]) == (a, distinct)
+        assert np.allclose([r["p1"], r["p2"], r["p3"]], p, rtol=1e-6, atol=1e-9), r["token"]
+        half = -sum(map(math.log, p))
+        assert r["p"] == pytest.approx(max(1e-30, math.exp(-half) * (1 + half + half * half / 2)), rel=1e-6)
+
+
+def test_noise_follows_the_false_discovery_bound(spark):
+    """Of one length class, the tokens up to the greatest p with p <= q * rank / m (by bins of p) are not noise."""
+    rng = random.Random(6)
+    tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(60)] + ["".join(rng.choice("0011223abc") for _ in range(32)) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in tokens], "token string")
+    at = sorted((min(600, math.floor(-math.log10(r["p"]) * 20)), r["token"], r["distinct"]) for r in secrets.battery(df).collect())
+    bins = [b for b, _, _ in at]
+    reject = min((b for b in bins if 10 ** (-b / 20) <= 0.05 * sum(x >= b for x in bins) / len(bins)), default=None)
+    want = {t for b, t, d in at if (reject is None or b < reject) and d >= 16 * (1 - (15 / 16) ** 32) / 2}
+    assert {r["token"] for r in secrets.noise_tokens(df).collect()} == want and 30 < len(want) < 120
+
+
+def test_secrets_of_a_long_text_in_linear_time(spark):
+    """A text of a million characters and 30,000 tokens, each after a character of two UTF-16 units."""
+    rng = random.Random(7)
+    text = " \U0001f511".join("%032x" % rng.getrandbits(128) for _ in range(30_000))
+    began = time.time()
+    got = secrets.secret_spans(docs(spark, [(1, text, "en", "s")])).collect()[0]
+    assert time.time() - began < 60
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert got["n_hex"] == 30_000 and got["spans"] == ",".join(f"hex:{a}:{b}" for a, b in want)
+
+
+def test_masking_leaves_the_rest(spark):
+    key = "0123456789abcdef" * 2
+    texts = [f"token={key} {key}, {key}", f"\U0001f511{key}", key, "nothing", None, ""]
+    d = spark.createDataFrame([(None if i % 2 else 1, t, str(i)) for i, t in enumerate(texts)], "doc_id long, text string, base string")
+    got = {r["base"]: r["text"] for r in secrets.without_secrets(d).collect()}
+    assert got == {"0": "<secret> <secret>, <secret>", "1": "\U0001f511<secret>", "2": "<secret>", "3": "nothing", "4": None, "5": ""}
+
+
 def test_kd_shards(spark):
     rows = [(i, "t" * (i * 37 % 900), ("en", "de", "fr")[i % 3], f"s{i % 7}") for i in range(3000)] + [(10_000 + i, "copy" * 50, "en", "s0") for i in range(1500)]
     got = kdshard.shard_documents(docs(spark, rows)).toPandas()

@@ -32,38 +32,60 @@ ENCODINGS = (
     ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/"),
 )
+#: A symbol's number in its encoding as one character, so that numbers sort as characters do.
+CODES = "".join(map(chr, range(48, 112)))
 BINS, PER_DECADE = 600, 20
 
 
-def spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """array<struct<start, kind, end, token>> of the leftmost non-overlapping matches that `keep` (a predicate on the
-    match) accepts; code points, end exclusive.
+SPAN = "array<struct<start:int,kind:int,end:int,token:string>>"
 
-    The first place of a match's own characters after the end of the one before is where the match was, since the
-    patterns look at nothing outside the match.
+
+def starts(lengths: Column) -> Column:
+    """The sum of all elements before each: [3, 1, 4] gives [0, 3, 4].
+
+    An array that grows by one element a step is copied at every step, so the sums run over pieces of about the root
+    of the length, and over the pieces' totals.
     """
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>").alias("found"))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def step(acc: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, text, acc["at"])
-        end = at + F.length(m)
-        one = F.array(F.struct((at - 1).alias("start"), F.lit(kind).alias("kind"), (end - 1).alias("end"), m.alias("token")))
-        return F.struct(end.alias("at"), F.when(keep(m), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(found, start, step)["found"]
-
-
-def base_spans(text: Column) -> Column:
-    """The three base kinds, by start, then kind as listed."""
-    value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 1))
-    return F.array_sort(
-        F.concat(
-            spans(text, ASSIGN, 0, lambda m: value(m) >= 6),
-            spans(text, ACCESS, 1, lambda m: F.lit(True)),
-            spans(text, HEX, 2, lambda m: F.lit(True)),
-        )
-    )
+    n = F.size(lengths)
+    piece = F.ceil(F.sqrt(n)).cast("int")
+
+    def scan(x: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(x, begin, lambda s, y: F.struct((s["all"] + y).alias("all"), F.concat(s["before"], F.array(s["all"])).alias("before")))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(n / piece).cast("int") - 1), lambda k: scan(F.slice(lengths, k * piece + 1, piece)))
+    whole = scan(F.transform(pieces, lambda x: x["all"]))["before"]
+    return F.when(n > 0, F.flatten(F.zip_with(pieces, whole, lambda x, at: F.transform(x["before"], lambda y: y + at)))).otherwise(F.array().cast("array<int>"))
+
+
+def with_spans(df: DataFrame, text: str, **patterns: tuple[str, int]) -> DataFrame:
+    """Adds a column per name of `patterns` (pattern, kind): array<struct<start, kind, end, token>> of the leftmost
+    non-overlapping matches; code points, end exclusive.
+
+    A text is cut once into its matches and once into the gaps between them. The lengths of both in turn, summed up,
+    are the places, so that the time grows with the length of the text and not with its square.
+    """
+    for name, (pattern, _) in patterns.items():
+        df = df.withColumn(f"__{name}", F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
+    for name, (pattern, _) in patterns.items():  # most texts have no match and aren't cut
+        gaps = F.when(F.size(f"__{name}") > 0, F.transform(F.split(text, pattern, -1), F.length))
+        df = df.withColumn(f"__{name}_gaps", F.coalesce(gaps, F.array().cast("array<int>")))
+    for name in patterns:
+        both = F.zip_with(F.slice(f"__{name}_gaps", F.lit(1), F.size(f"__{name}")), f"__{name}", lambda g, m: g + F.length(m))
+        df = df.withColumn(f"__{name}_steps", both)
+    for name in patterns:
+        df = df.withColumn(f"__{name}_ends", F.zip_with(starts(F.col(f"__{name}_steps")), f"__{name}_steps", lambda at, step: at + step))
+    for name, (_, kind) in patterns.items():
+        span = lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("token"))  # noqa: B023, E731
+        df = df.withColumn(name, F.zip_with(f"__{name}", f"__{name}_ends", span))
+    return df.drop(*(f"__{n}{s}" for n in patterns for s in ("", "_gaps", "_steps", "_ends")))
+
+
+def with_base(df: DataFrame, text: str, **more: tuple[str, int]) -> DataFrame:
+    """Adds `base`: the spans of the three base kinds by start, then kind as listed; and the columns `more`."""
+    df = with_spans(df, text, __assign=(ASSIGN, 0), __access=(ACCESS, 1), __hex=(HEX, 2), **more)
+    assign = F.filter("__assign", lambda x: F.length(F.regexp_extract(x["token"], ASSIGN, 1)) >= 6)
+    return df.withColumn("base", F.sort_array(F.concat(assign, "__access", "__hex"))).drop("__assign", "__access", "__hex")
 
 
 def joined(found: Column) -> Column:
@@ -78,39 +100,49 @@ def normal_tail(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds n, p: length and combined p-value of each `token` under "uniform noise in its encoding"."""
-    enc, size = F.lit(None).cast("string"), F.lit(None).cast("int")
+    """Adds n, a, distinct, p: length, alphabet size, symbols that occur and the combined p-value of each `token` under
+    "uniform noise in its encoding". Sums are of whole numbers, so reruns agree to the last digit."""
+    code = bits = F.lit(None).cast("string")
+    size = F.lit(None).cast("int")
     for _, made_of, symbols in reversed(ENCODINGS):
-        fits = F.rlike(F.col("token"), F.lit(made_of))
-        enc, size = F.when(fits, symbols).otherwise(enc), F.when(fits, len(symbols)).otherwise(size)
-    t = tokens.withColumn("symbols", enc).withColumn("a", size).where("symbols is not null")
-    plain = F.when(F.col("a") < 52, F.lower("token")).otherwise(F.translate("token", "_-", "/+"))
-    t = t.withColumn("v", F.transform(F.split(plain, ""), lambda c: F.call_function("locate", c, F.col("symbols")) - 1))
-    t = t.withColumn("n", F.size("v").cast("double"))
-    add = lambda f: F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x))
-    t = t.withColumn("mean", add(lambda x: x.cast("double")) / F.col("n"))
+        a, fits = len(symbols), F.rlike(F.col("token"), F.lit(made_of))
+        plain = F.lower("token") if a < 52 else F.translate("token", "_-", "/+")
+        code = F.when(fits, F.translate(plain, symbols, CODES[:a])).otherwise(code)
+        size = F.when(fits, a).otherwise(size)
+    t = tokens.withColumn("a", size).withColumn("code", code).where("a is not null")
+    for a in sorted({len(x[2]) for x in ENCODINGS}):
+        bits = F.when(F.col("a") == a, F.translate("code", CODES[:a], "0" * ((a + 1) // 2) + "1" * (a // 2))).otherwise(bits)
+    t = t.withColumn("bits", bits).withColumn("parts", F.split("code", ""))
+    t = t.withColumn("counts", F.regexp_extract_all(F.array_join(F.sort_array("parts"), ""), F.lit(r"(.)\1*"), F.lit(0)))
+    value = lambda c: (F.ascii(c) - ord(CODES[0])).cast("long")
+    t = t.withColumn("v", F.transform("parts", value)).withColumn("n", F.length("code").cast("double"))
+    zero = F.lit(0).cast("long")
+    total = lambda f: F.aggregate("counts", zero, lambda s, x: s + f(value(x), F.length(x).cast("long")))
+    t = t.withColumns({"squares": total(lambda v, m: m * m), "sum": total(lambda v, m: m * v), "power": total(lambda v, m: m * v * v)})
+    t = t.withColumns({
+        "mean": F.col("sum") / F.col("n"),
+        "next": F.aggregate(F.sequence(F.lit(1), F.size("v") - 1), zero, lambda s, i: s + F.get("v", i) * F.get("v", i - 1)),
+        "n1": F.length(F.replace("bits", F.lit("0"), F.lit(""))).cast("double"),
+        "runs": F.regexp_count("bits", F.lit("0+|1+")),
+        "distinct": F.size("counts"),
+    })
     # 1. chi-squared of the alphabet, by Wilson and Hilferty's cube root
-    squares = F.aggregate(F.array_distinct("v"), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter("v", lambda y: y == x)).cast("double"), F.lit(2)))
-    chi, df = squares * F.col("a") / F.col("n") - F.col("n"), F.col("a") - 1.0
+    chi, df = F.col("squares") * F.col("a") / F.col("n") - F.col("n"), F.col("a") - 1.0
     t = t.withColumn("p1", normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))))
     # 2. runs of the upper and lower half of the alphabet
-    high = F.transform("v", lambda x: (x * 2 >= F.col("a")).cast("int"))
-    t = t.withColumn("high", high).withColumn("n1", F.aggregate("high", F.lit(0.0), lambda s, x: s + x))
-    pairs = lambda f: F.aggregate(F.sequence(F.lit(2), F.col("n").cast("int")), F.lit(0.0), lambda s, i: s + f(i))
-    runs = 1 + pairs(lambda i: (F.element_at("high", i) != F.element_at("high", i - 1)).cast("double"))
-    n0 = F.col("n") - F.col("n1")
-    twice = 2 * F.col("n1") * n0
+    twice = 2 * F.col("n1") * (F.col("n") - F.col("n1"))
     sd = F.sqrt(twice * (twice - F.col("n")) / (F.col("n") * F.col("n") * (F.col("n") - 1)))
-    z = F.when((twice > F.col("n")), F.abs(runs - 1 - twice / F.col("n")) / sd).otherwise(12.0)
+    z = F.when(twice > F.col("n"), F.abs(F.col("runs") - 1 - twice / F.col("n")) / sd).otherwise(12.0)
     t = t.withColumn("p2", F.least(F.lit(1.0), 2 * normal_tail(z)))
-    # 3. serial correlation at lag one
-    var = add(lambda x: F.pow(x - F.col("mean"), F.lit(2)))
-    lag = pairs(lambda i: (F.element_at("v", i) - F.col("mean")) * (F.element_at("v", i - 1) - F.col("mean")))
-    z = F.when(var > 0, F.abs(lag / var + 1 / F.col("n")) * F.sqrt("n")).otherwise(12.0)
+    # 3. serial correlation at lag one, from the sums of values, of their squares and of neighbours' products
+    var = F.col("power") - F.col("sum") * F.col("mean")
+    ends = F.get("v", F.lit(0)) + F.element_at("v", -1)
+    lag = F.col("next") - F.col("mean") * (2 * F.col("sum") - ends) + (F.col("n") - 1) * F.col("mean") * F.col("mean")
+    z = F.when(var > 1e-9, F.abs(lag / var + 1 / F.col("n")) * F.sqrt("n")).otherwise(12.0)
     t = t.withColumn("p3", F.least(F.lit(1.0), 2 * normal_tail(z)))
     half = -(F.log("p1") + F.log("p2") + F.log("p3"))
     p = F.exp(-half) * (1 + half + half * half / 2)
-    return t.withColumn("p", F.greatest(F.lit(1e-30), p)).drop("v", "high", "symbols", "mean", "n1", "p1", "p2", "p3")
+    return t.withColumn("p", F.greatest(F.lit(1e-30), p)).select(*tokens.columns, "n", "a", "distinct", "p1", "p2", "p3", "p")
 
 
 def noise_tokens(tokens: DataFrame, q: float = 0.05) -> DataFrame:
@@ -121,6 +153,7 @@ def noise_tokens(tokens: DataFrame, q: float = 0.05) -> DataFrame:
     """
     t = battery(tokens).withColumn("class", F.floor(F.log2("n") * 2).cast("int"))
     t = t.withColumn("bin", F.least(F.floor(-F.log10("p") * PER_DECADE), F.lit(BINS)).cast("int"))
+    t = written(t.drop("p1", "p2", "p3"), "battery")
     counts = t.groupBy("class", "bin").count()
     down, whole = Window.partitionBy("class").orderBy(F.desc("bin")), Window.partitionBy("class")
     bound = (
@@ -131,43 +164,63 @@ def noise_tokens(tokens: DataFrame, q: float = 0.05) -> DataFrame:
         .agg(F.min("bin").alias("reject"))
     )
     t = t.join(bound, "class", "left")
-    distinct = F.size(F.array_distinct(F.split("token", "")))
     fair = F.col("a") * (1 - F.pow(1 - 1.0 / F.col("a"), F.col("n")))
-    return t.where((F.col("reject").isNull() | (F.col("bin") < F.col("reject"))) & (distinct >= fair / 2))
+    return t.where((F.col("reject").isNull() | (F.col("bin") < F.col("reject"))) & (F.col("distinct") >= fair / 2))
+
+
+def clear_of_base(found: DataFrame) -> DataFrame:
+    """row, t: the spans of `tokens` that overlap no span of `base`, both sorted by place within a row."""
+    every = found.select("row", F.explode(F.concat("base", "tokens")).alias("t"))
+    here = Window.partitionBy("row").orderBy("t.start", "t.kind", "t.end")
+    after = Window.partitionBy("row").orderBy(F.desc("t.start"), F.desc("t.kind"), F.desc("t.end"))
+    base = F.col("t.kind") < KINDS.index("random")
+    at = every.withColumn("ended", F.max(F.when(base, F.col("t.end"))).over(here)).withColumn("next", F.min(F.when(base, F.col("t.start"))).over(after))
+    free = (F.coalesce("ended", F.lit(0)) <= F.col("t.start")) & (F.col("next").isNull() | (F.col("next") >= F.col("t.end")))
+    return at.where(~base & free).select("row", "t")
 
 
 def secret_spans(docs: DataFrame, q: float = 0.05) -> DataFrame:
     """Spans of secrets in every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     One row per input row, equal rows included. A null or empty text has no spans (the digest is that of an empty
-    text); a very long text is one row like any other; an empty table gives an empty result; columns other than
-    doc_id and text are not looked at. A random span overlaps no base span.
+    text); a very long text is one row like any other, scanned in time that grows with its length; an empty table
+    gives an empty result; columns other than doc_id and text are not looked at. A random span overlaps no base span.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.filter(spans(text, TOKEN, 3, lambda m: F.lit(True)), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    found = found.withColumn("tokens", tokens).drop("text").withColumn("row", F.monotonically_increasing_id())
-    found = written(found, "spans")
-    noise = noise_tokens(found.select("row", F.explode("tokens").alias("t")).select("row", "t", F.col("t.token").alias("token")), q)
-    noise = noise.groupBy("row").agg(F.collect_list("t").alias("noise"))
-    out = found.join(noise, "row", "left")
+    found = spans_by_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), q)
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    every = F.array_sort(F.concat("base", F.coalesce("noise", F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>"))))
-    return out.select(
+    return found.select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
-        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"),
-        F.coalesce(F.size("noise"), F.lit(0)).cast("long").alias("n_random"),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.sort_array(F.concat("base", "noise"))).alias("spans"),
+        F.size("noise").cast("long").alias("n_random"),
     )
 
 
+def spans_by_row(docs: DataFrame, q: float, keep_text: bool = False) -> DataFrame:
+    """The columns of `docs` (text only with `keep_text`), base and noise: the spans of each row."""
+    found = with_base(docs.withColumn("__t", F.coalesce("text", F.lit(""))), "__t", tokens=(TOKEN, KINDS.index("random"))).drop("__t", *() if keep_text else ("text",))
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "spans")
+    noise = noise_tokens(clear_of_base(found).select("row", "t", F.col("t.token").alias("token")), q)
+    noise = noise.groupBy("row").agg(F.collect_list("t").alias("noise"))
+    return found.join(noise, "row", "left").withColumn("noise", F.coalesce("noise", F.array().cast(SPAN))).drop("row", "tokens")
+
+
 def without_secrets(docs: DataFrame, mask: str = "<secret>", q: float = 0.05) -> DataFrame:
-    """The documents with every span's characters replaced by `mask`; columns as given."""
-    found = secret_spans(docs, q).where("spans <> ''").groupBy("doc_id").agg(F.max("spans").alias("__spans"))
-    at = F.transform(F.split("__spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("s"), F.split(s, ":")[2].cast("int").alias("e")))
-    done = F.aggregate(
-        at,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, x: F.when(x["s"] >= a["at"], F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.lit(mask)).alias("out"), x["e"].alias("at"))).otherwise(a),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
-    return docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    """The documents with the characters of all spans replaced by `mask`, once for spans that overlap; columns as given.
+
+    Rows are masked by their own spans, with or without a doc_id and whatever others share it.
+    """
+    found = spans_by_row(docs.select(F.struct(*docs.columns).alias("__doc"), "text"), q, keep_text=True)
+    hidden = F.flatten(F.transform(F.concat("base", "noise"), lambda x: F.sequence(x["start"], x["end"] - 1)))
+    found = found.withColumn("__hidden", F.array_distinct(hidden))
+    found = found.withColumns({  # where hidden stretches begin and end
+        "__from": F.sort_array(F.array_except("__hidden", F.transform("__hidden", lambda p: p + 1))),
+        "__to": F.sort_array(F.array_except(F.transform("__hidden", lambda p: p + 1), "__hidden")),
+        "__chars": F.split(F.coalesce("text", F.lit("")), ""),
+    })
+    piece = lambda a, n: F.array_join(F.slice("__chars", a + 1, n), "")
+    before = lambda i: F.when(i > 0, F.get("__to", i - 1)).otherwise(0)
+    shown = F.transform("__from", lambda s, i: F.concat(piece(before(i), s - before(i)), F.lit(mask)))
+    last = F.element_at("__to", -1)
+    done = F.concat(F.array_join(shown, ""), piece(last, F.greatest(F.lit(0), F.size("__chars") - last)))
+    found = found.withColumn("__done", F.when(F.size("__hidden") > 0, done).otherwise(F.col("text")))
+    return found.select(*(F.col("__done").alias(c) if c == "text" else F.col(f"__doc.{c}") for c in docs.columns))
