@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from vistrack.llm import kdshard, mix, secrets, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string"
@@ -254,3 +255,36 @@ def test_distrust_reaches_those_who_link_to_blocked_hosts(spark):
         "bad.com": "block", "farm.net": "block", "ring.net": "block", "good.org": "allow", "fine.net": "allow", "other.net": "allow", "alone.net": "allow"
     }
     assert got["fine.net"]["trust"] > 0 == got["fine.net"]["distrust"] and got["farm.net"]["distrust"] > got["ring.net"]["distrust"] > 0
+
+
+def test_ranks_equal_brute_force_pagerank(spark):
+    """Personalised PageRank by power iteration on the dense matrix; chains, a cycle, hosts without links, two seeds."""
+    rng = random.Random(8)
+    names = [f"h{i:02d}" for i in range(40)]
+    edges = {(a, b): float(rng.randint(1, 4)) for a in names[:30] for b in rng.sample(names, 3) if a != b} | {(names[i], names[i + 1]): 1.0 for i in range(30, 38)}
+    edges |= {("h38", "h37"): 2.0}
+    good, bad = {"h01": 0.75, "h39": 0.25}, {"h05": 1.0}
+    hosts = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in names], "host string, good double, bad double")
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    got = {r["host"]: r for r in urls.propagate(hosts, links, {"good": False, "bad": True}, tolerance=1e-5).collect()}
+
+    def ranks(seed, back):
+        m, s = np.zeros((40, 40)), np.array([seed.get(h, 0.0) for h in names])
+        for (a, b), w in edges.items():
+            m[(names.index(a), names.index(b))[::-1] if not back else (names.index(a), names.index(b))] = w
+        out = m.sum(0)
+        m = m / np.where(out > 0, out, 1)
+        r = s
+        for _ in range(400):
+            flow = 0.85 * m @ r
+            r = flow + (1 - flow.sum()) * s
+        return r
+
+    for kind, seed, back in (("good", good, False), ("bad", bad, True)):
+        assert np.allclose([got[h][kind] for h in names], ranks(seed, back), atol=1e-5)
+    assert {r["good"] for r in urls.propagate(hosts.withColumn("good", F.lit(0.0)), links, {"good": False}).collect()} == {0.0}
+
+
+def test_url_filter_keeps_rows_without_an_id(spark):
+    d = spark.createDataFrame([(None, "http://a.com/de/1", None, "x"), (None, "http://a.com/fr/1", None, "y"), (3, "http://a.com/fr/1", "z" * 2_000_000, "z"), (3, None, None, "w")], PAGES)
+    assert sorted(r[d.columns[-1]] for r in urls.allowed_pages(d).collect()) == ["w", "y", "z"]

@@ -8,11 +8,12 @@ hosts. A host with more distrust than `threshold` times its trust is blocked.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, written
+from .common import ascii_lower, checkpointed, small, written
 
 #: Addresses in the attributes that name another page.
 LINK = r"""(?i:href|src)\s*=\s*["']([^"']*)["']"""
@@ -76,27 +77,41 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), dst.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """host, rank: personalised PageRank from the column `seed` (shares) of `hosts` over `edges` (src, dst, weight).
+def propagate(hosts: DataFrame, edges: DataFrame, seeds: dict[str, bool], damping: float = 0.85, tolerance: float = 1e-5, rounds: int = 200) -> DataFrame:
+    """host and, by name, a rank for each column of `seeds` (shares of `hosts`): personalised PageRank over `edges`
+    (src, dst, weight), taken backwards where `seeds` says so.
 
-    The mass of hosts without links returns to the seeds. Rounds are a fixed number of joins and sums per host, each
-    checkpointed. Without any seed every rank is 0.
+    The mass of hosts without links returns to the seeds, which only scales all ranks alike. So a round passes on just
+    what the round before brought: mass = seed, then damping * mass over the links, and so on. Ranks are the sums of
+    all rounds, scaled to 1. Rounds go on until what is passed on is less than `tolerance` of the seeds; more than
+    `rounds` are an error. Mass is counted in whole units of 1e-15, so reruns agree to the last digit whatever the
+    order of the sums. Without any seed every rank is 0.
     """
-    base = hosts.select("host", F.col(seed).alias("seed"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    share = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    rank = base.withColumn("rank", F.col("seed"))
-    if share.isEmpty():  # nothing flows, so all mass stays with the seeds
-        return rank.select("host", "rank")
-    base = checkpointed(base)
-    rank = base.withColumn("rank", F.col("seed"))
+    ways = [(name, "dst", "src") if back else (name, "src", "dst") for name, back in seeds.items()]
+    share = None
+    for name, a, b in ways:
+        way = edges.select(F.lit(name).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "weight")
+        share = way if share is None else share.unionByName(way)
+    out = written(share.groupBy("kind", "src").agg(F.sum("weight").alias("out")), "out")
+    share = written(share.join(small(out), ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("weight") / F.col("out")).alias("share")), "share")
+    units = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0.0)) * 1e15).cast("long")
+    flow = written(hosts.select("host", F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), units(n).alias("mass")) for n in seeds))).alias("s")).select("s.kind", "host", "s.mass").where("mass > 0"), "flow")
+    parts = [flow]
     for _ in range(rounds):
-        got = share.join(rank.select(F.col("host").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
-        rank = base.join(got.withColumnRenamed("dst", "host"), "host", "left").withColumn("flow", damping * F.coalesce("in", F.lit(0.0)))
-        rank = checkpointed(rank)
-        kept = rank.agg(F.sum("flow")).first()[0] or 0.0  # one number
-        rank = rank.select("host", "seed", (F.col("flow") + (1 - kept) * F.col("seed")).alias("rank"))
-    return rank.select("host", "rank")
+        flow = flow.join(share.withColumnRenamed("src", "host"), ["kind", "host"]).groupBy("kind", F.col("dst").alias("host"))
+        flow = checkpointed(flow.agg(F.sum(F.floor(F.col("mass") * F.col("share")).cast("long")).alias("mass")).where("mass > 0"))
+        moved = flow.groupBy("kind").agg(F.sum("mass").alias("m")).agg(F.max("m")).first()[0] or 0  # one number
+        if moved:
+            parts.append(flow)
+        if moved < tolerance * 1e15:
+            break
+    else:
+        raise RuntimeError(f"ranks did not settle in {rounds} rounds")
+    sums = reduce(DataFrame.unionByName, parts).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == n, F.col("mass"))).alias(f"__{n}") for n in seeds))
+    sums = written(sums, "ranks")
+    total = sums.agg(*(F.sum(f"__{n}").cast("double").alias(n) for n in seeds)).first()
+    at = hosts.select("host").join(sums, "host", "left")
+    return at.select("host", *((F.coalesce(f"__{n}", F.lit(0)) / (total[n] or 1.0)).alias(n) for n in seeds))
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -108,28 +123,26 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, threshold: float = 1.0) -
     hosts = checkpointed(hosts)
     total = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     hosts = hosts.select("host", *((F.col(c) / (total[c] or 1.0)).alias(c) for c in ("good", "bad")))
-    trust = propagate(hosts, edges, "good").withColumnRenamed("rank", "trust")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(hosts, back, "bad").withColumnRenamed("rank", "distrust")
-    return trust.join(distrust, "host").withColumn("method", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
+    ranks = propagate(hosts, edges, {"good": False, "bad": True}).withColumnsRenamed({"good": "trust", "bad": "distrust"})
+    return ranks.withColumn("method", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
 
 
-def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 1.0) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 1.0, as_is: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page, one row per input row.
 
     A null url, or one without `://`, has an empty host and path and no rule, and is allowed: the method knows
     nothing against it. A null html has no links. Equal rows are judged alike; an empty table gives an empty result;
-    columns other than page_id, url and html are not looked at.
+    columns other than page_id, url and html are not looked at. With `as_is` page_id may be of any type.
     """
-    at = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    at = pages.select((F.col("page_id") if as_is else F.col("page_id").cast("long")).alias("page_id"), "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     edges = written(host_edges(at), "edges")
     judged = at.drop("html").withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("by_rule", verdict_of(F.col("rule"), rules))
-    hosts = host_verdicts(judged, edges, threshold)
+    hosts = written(host_verdicts(judged, edges, threshold), "hosts")
     verdict = F.coalesce("by_rule", "method", F.lit("allow")).alias("verdict")
-    return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", verdict, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    return judged.join(small(hosts), "host", "left").select("page_id", "host", "path", "rule", verdict, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
 
 
 def allowed_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 1.0) -> DataFrame:
     """The pages whose verdict is not `block`; columns as given."""
-    blocked = judge_pages(pages, rules, threshold).where("verdict = 'block'").select("page_id").distinct()
-    return pages.join(blocked, "page_id", "left_anti").select(*pages.columns)
+    judged = judge_pages(pages.select(F.struct(*pages.columns).alias("page_id"), "url", "html"), rules, threshold, as_is=True)
+    return judged.where("verdict <> 'block'").select("page_id.*")
