@@ -288,3 +288,24 @@ def test_ranks_equal_brute_force_pagerank(spark):
 def test_url_filter_keeps_rows_without_an_id(spark):
     d = spark.createDataFrame([(None, "http://a.com/de/1", None, "x"), (None, "http://a.com/fr/1", None, "y"), (3, "http://a.com/fr/1", "z" * 2_000_000, "z"), (3, None, None, "w")], PAGES)
     assert sorted(r[d.columns[-1]] for r in urls.allowed_pages(d).collect()) == ["w", "y", "z"]
+
+
+def test_kd_splits_equal_sorted_medians(spark):
+    """Each split against sorting the node's rows: the widest dimension, at the weighted quantile."""
+    rng = random.Random(9)
+    rows = [(i, rng.randint(1, 50), rng.random() ** 3, rng.random() * 0.8, 0.25) for i in range(900)] + [(i, 20, 0.5, 0.1, 0.25) for i in range(900, 1000)]
+    df = spark.createDataFrame(rows, "i long, w long, a double, b double, c double")
+    got = {r["i"]: r["shard"] for r in kdshard.kd_partition(df, "w", ["a", "b", "c"], 7, bins=64, passes=6, tolerance=0.0).collect()}
+
+    def split(part, first, shards):
+        if shards == 1:
+            return {r[0]: first for r in part}
+        dim = max(range(3), key=lambda d: (max(r[2 + d] for r in part) - min(r[2 + d] for r in part), d))
+        values, want = sorted({r[2 + dim] for r in part}), sum(r[1] for r in part) * (shards // 2) / shards
+        below = lambda cut: sum(r[1] for r in part if r[2 + dim] < cut)
+        cut = min([*values, float("inf")], key=lambda v: abs(below(v) - want))
+        left, right = [r for r in part if r[2 + dim] < cut], [r for r in part if r[2 + dim] >= cut]
+        return split(left, first, shards // 2) | split(right, first + shards // 2, shards - shards // 2)
+
+    assert got == split(rows, 0, 7)
+    assert kdshard.kd_partition(df.where("i < 0"), "w", ["a", "b", "c"], 7).count() == 0

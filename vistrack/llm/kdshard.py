@@ -1,43 +1,55 @@
 """Sharding: k-d tree partitioning by distributed weighted medians.
 
 The tree splits the node with the widest dimension at the weighted quantile that gives each side its share of the
-bytes, until every leaf holds the target bytes (total / shards). A quantile is found by refining a histogram of one
-(node, bin) aggregate per pass, so the driver only ever sees nodes x bins sums. Rows never move until the slots are
-numbered, and there a shard is cut into chunks that are numbered apart.
+bytes, until every leaf holds the target bytes (total / shards). A quantile is found from a histogram per node, and
+once more within the bin that holds it. Bins also carry the least and greatest value of each dimension, so the two
+halves of a split node are known without another look at the rows: a level takes two passes. The driver only ever
+sees nodes x bins sums. Rows never move until the slots are numbered, and there a shard is cut into chunks that are
+numbered apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import unit_hash, written
 
-LAW = "bytes"
+LAW, NOWHERE = "bytes", 1e300
 
 
 @dataclass
 class _Node:
-    """A leaf of `shards` shards from `first`, or a split at `cut` of dimension `dim`."""
+    """A leaf of `shards` shards from `first`, or a split at `cut` of dimension number `dim`; `left` and the node after
+    it are the halves, and a leaf is its own left half. lo and hi are the range that is searched for the cut."""
 
     id: int
     first: int
     shards: int
-    dim: str | None = None
-    cut: float = 0.0
-    kids: list[_Node] = field(default_factory=list)
+    left: int
+    dim: int = 0
+    cut: float = NOWHERE
+    lo: float = 0.0
+    hi: float = 1.0
 
-    def expr(self, leaf: str) -> Column:
-        """Which leaf a row falls into: its node id, or its first shard."""
-        if not self.kids:
-            return F.lit(self.id if leaf == "id" else self.first)
-        return F.when(F.col(self.dim) < F.lit(self.cut), self.kids[0].expr(leaf)).otherwise(self.kids[1].expr(leaf))
 
-    def leaves(self) -> list[_Node]:
-        return [x for k in self.kids for x in k.leaves()] if self.kids else [self]
+def _of(nodes: list[_Node], what: str, node: Column | str) -> Column:
+    """Field `what` of each row's node. Fields go in as literal arrays, so all passes share one compiled plan."""
+    kind = "D" if what in ("cut", "lo", "hi") else ""
+    return F.get(F.expr(f"array({', '.join(f'{getattr(x, what)!r}{kind}' for x in nodes)})"), F.col(node) if isinstance(node, str) else node)
+
+
+def _placed(rows: DataFrame, nodes: list[_Node], depth: int) -> DataFrame:
+    """Adds `node`: the leaf each row falls into. Takes `depth` steps from the root, the last of them in place."""
+    rows = rows.withColumn("node", F.lit(0))
+    for _ in range(depth):
+        right = (F.get("dims", _of(nodes, "dim", "node")) >= _of(nodes, "cut", "node")).cast("int")
+        rows = rows.withColumn("node", _of(nodes, "left", "node") + right)
+    return rows
 
 
 def document_dimensions() -> dict[str, Column]:
@@ -48,76 +60,78 @@ def document_dimensions() -> dict[str, Column]:
     """
     slot = lambda c, n: F.floor(unit_hash(F.coalesce(F.col(c), F.lit("")), F.lit(c)) * n)
     return {
-        "d_source": (slot("source", 1024) + F.col("tie")) / 1024.0,
+        "d_source": (slot("source", 256) + F.col("tie")) / 256.0,
         "d_lang": (slot("lang", 64) + F.col("tie")) / 64.0,
         "d_size": F.log2(F.col("size") + F.col("tie")) / 64.0,
     }
 
 
-def kd_partition(rows: DataFrame, weight: str, dims: list[str], shards: int, bins: int = 512, tolerance: float = 5e-4, passes: int = 9) -> Column:
-    """The shard (0 to shards - 1) of every row as a column expression over `dims` (double) of `rows`.
+def _histograms(placed: DataFrame, nodes: list[_Node], ids: list[int], bins: int, bounds: list[Column]) -> dict[int, list]:
+    """By node of `ids` its bins in order (bin, w, lo_*, hi_*): weight and bounds of the values of the node's dimension
+    in its range; what lies below or above is in bins -1 and `bins`."""
+    lo, hi, d = _of(nodes, "lo", "node"), _of(nodes, "hi", "node"), F.get("dims", _of(nodes, "dim", "node"))
+    inside = F.least(F.floor((d - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    bin_ = F.when(d < lo, -1).when(d >= hi, bins).otherwise(inside)
+    asked = F.expr(f"array({', '.join(str(x.id in ids).lower() for x in nodes)})")
+    found = placed.where(F.get(asked, F.col("node"))).groupBy("node", bin_.alias("bin")).agg(F.sum("w").cast("double").alias("w"), *bounds)
+    out: dict[int, list] = {i: [] for i in ids}
+    for r in found.collect():  # at most nodes x bins
+        out[r["node"]].append(r)
+    return {i: sorted(x, key=lambda r: r["bin"]) for i, x in out.items()}
+
+
+def _stats(bins: list, dims: int) -> dict:
+    """Weight and bounds of some bins together."""
+    ends = {f"lo_{d}": min((r[f"lo_{d}"] for r in bins), default=0.0) for d in range(dims)} | {f"hi_{d}": max((r[f"hi_{d}"] for r in bins), default=0.0) for d in range(dims)}
+    return ends | {"w": sum(r["w"] for r in bins)}
+
+
+def kd_partition(rows: DataFrame, weight: str, dims: list[str], shards: int, bins: int = 4096, passes: int = 4, tolerance: float = 5e-4) -> DataFrame:
+    """`rows` with their shard (0 to shards - 1) by the columns `dims` (double).
 
-    A side of k shards gets k shares of the weight. Refinement ends when the bin that holds the quantile weighs less
-    than `tolerance` of one shard, or after `passes`. An empty table gives shard 0.
+    A side of k shards gets k shares of the weight. The bin that holds a node's quantile is cut into bins again until
+    it holds one value or weighs at most `tolerance` of a shard, at most `passes` times. An empty table stays empty.
     """
-    tree, next_id = _Node(0, 0, shards), 1
-    while True:
-        open_ = [x for x in tree.leaves() if x.shards > 1 and x.dim is None]
-        if not open_:
-            return tree.expr("first").cast("int")
-        at = rows.withColumn("node", tree.expr("id"))
-        got = at.groupBy("node").agg(
-            F.sum(weight).cast("double").alias("w"),
-            *(f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))),
-        ).collect()
-        stats = {r["node"]: r for r in got}
-        search = {}
+    at, n = rows.select(F.col(weight).alias("w"), F.array(*dims).alias("dims")), len(dims)
+    bounds = [f(F.get("dims", F.lit(d))).alias(f"{k}_{d}") for d in range(n) for k, f in (("lo", F.min), ("hi", F.max))]
+    nodes, depth = [_Node(0, 0, shards, 0)], max(1, math.ceil(math.log2(shards)))
+    stats = {0: at.agg(F.sum("w").cast("double").alias("w"), *bounds).first().asDict()}
+    while stats[0]["w"] and (open_ := [x for x in nodes if x.shards > 1 and x.left == x.id]):
+        whole = [*nodes, *(_Node(k, 0, 0, k) for k in range(len(nodes), 2 * shards - 1))]  # of one length in all passes
+        placed, todo, halves = _placed(at, whole, depth), [], {}
         for x in open_:
-            s = stats.get(x.id)
-            if s is None:  # no row here: any cut will do
-                x.dim, x.cut = dims[0], 0.0
-                continue
-            x.dim = max(dims, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"], d))
-            lo, hi = s[f"lo_{x.dim}"], s[f"hi_{x.dim}"]
-            search[x.id] = {"node": x, "lo": lo, "hi": hi + max(1e-15, abs(hi) * 1e-12), "want": s["w"] * (x.shards // 2) / x.shards, "below": 0.0, "tol": tolerance * s["w"] / x.shards}
-        todo = dict(search)
-        for _ in range(passes):
+            s = stats[x.id]
+            x.dim = max(range(n), key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"], d))
+            x.lo, x.hi, halves[x.id] = s[f"lo_{x.dim}"], s[f"hi_{x.dim}"] + max(1e-15, abs(s[f"hi_{x.dim}"]) * 1e-12), ([], [])
+            todo += [x] if s["w"] else []
+        for last in range(passes, 0, -1):
             if not todo:
                 break
-            pick = lambda f: F.coalesce(*(F.when(F.col("node") == i, f(s)) for i, s in todo.items()))  # noqa: B023, E731
-            key, lo, hi = pick(lambda s: F.col(s["node"].dim)), pick(lambda s: F.lit(s["lo"])), pick(lambda s: F.lit(s["hi"]))
-            hist = (
-                at.where(F.col("node").isin(list(todo)))
-                .select("node", weight, key.alias("key"), lo.alias("lo"), hi.alias("hi"))
-                .where("key >= lo and key < hi")
-                .groupBy("node", F.least(F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).alias("bin"))
-                .agg(F.sum(weight).cast("double").alias("w"))
-                .collect()
-            )
-            sums: dict[int, dict[int, float]] = {}
-            for r in hist:
-                sums.setdefault(r["node"], {})[r["bin"]] = r["w"]
-            for i, s in list(todo.items()):
-                step, below = (s["hi"] - s["lo"]) / bins, s["below"]
-                for b in sorted(sums.get(i, {})):
-                    w = sums[i][b]
-                    if below + w >= s["want"]:
-                        lo_edge, hi_edge = s["lo"] + b * step, s["lo"] + (b + 1) * step
-                        s |= {"below": below, "cut": lo_edge if s["want"] - below < below + w - s["want"] else hi_edge}
-                        if w <= s["tol"] or not s["lo"] < lo_edge + step / 2 < s["hi"] or step < 1e-15:
-                            todo.pop(i)
-                        s |= {"lo": lo_edge, "hi": hi_edge}
-                        break
-                    below += w
-                else:
-                    s.setdefault("cut", s["hi"])
-                    todo.pop(i)
-        for s in search.values():
-            s["node"].cut = s.get("cut", s["hi"])
+            found, more = _histograms(placed, whole, [x.id for x in todo], bins, bounds), []
+            for x in todo:
+                want, step, own = stats[x.id]["w"] * (x.shards // 2) / x.shards, (x.hi - x.lo) / bins, found[x.id]
+                below, k = 0.0, 0
+                while k < len(own) - 1 and below + own[k]["w"] < want:
+                    below += own[k]["w"]
+                    k += 1
+                w = own[k]["w"]
+                apart = own[k][f"lo_{x.dim}"] < own[k][f"hi_{x.dim}"]
+                if last > 1 and apart and w > tolerance * stats[x.id]["w"] / x.shards and step > 1e-15 and 0 <= own[k]["bin"] < bins:
+                    x.lo += own[k]["bin"] * step
+                    x.hi = x.lo + step
+                    more.append(x)
+                    continue
+                k += want - below >= below + w - want  # the nearer edge of the bin
+                halves[x.id] = own[:k], own[k:]
+            todo = more
         for x in open_:
-            half = x.shards // 2
-            x.kids = [_Node(next_id, x.first, half), _Node(next_id + 1, x.first + half, x.shards - half)]
-            next_id += 2
+            half, (left, right) = x.shards // 2, halves[x.id]
+            # the cut is a value that was seen, as bins come from rounded quotients
+            x.cut = right[0][f"lo_{x.dim}"] if right else NOWHERE
+            x.left = len(nodes)
+            nodes += [_Node(x.left, x.first, half, x.left), _Node(x.left + 1, x.first + half, x.shards - half, x.left + 1)]
+            stats[x.left], stats[x.left + 1] = _stats(left, n), _stats(right, n)
+    return _placed(rows.withColumn("dims", F.array(*dims)), nodes, depth).withColumn("shard", _of(nodes, "first", "node")).drop("node", "dims")
 
 
 def numbered(rows: DataFrame, shard: str, order: list[str], chunks: int) -> DataFrame:
@@ -150,7 +164,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, chunks: int = 256, extra:
     ).withColumn("tie", (F.floor(F.col("text_crc32") / 65536.0) + unit_hash(F.coalesce("doc_id", F.lit(0)), "text_crc32")) / 65536.0)
     dims = document_dimensions() | dict(extra or {})
     base = written(base.withColumns(dims).select("doc_id", "size", "text_crc32", *dims), "kd")
-    out = base.withColumn("shard", kd_partition(base, "size", list(dims), shards)).select("doc_id", "size", "text_crc32", "shard")
+    out = kd_partition(base, "size", list(dims), shards).select("doc_id", "size", "text_crc32", "shard")
     return numbered(out, "shard", ["doc_id", "text_crc32"], chunks).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
