@@ -8,15 +8,19 @@ bottom-k of the sketches' union estimates, and every survivor is verified on the
 
 Lists are never expanded into all pairs. A first round compares each list with two pivots, which joins most of a
 group of near copies. Then only pairs between different components are left: members outside a list's largest
-component are compared with the whole list, in blocks of bounded size, and pairs that pass the estimate are verified
-unless links found meanwhile join them. So components come out as if all pairs had been verified.
+component are compared with the whole list, in blocks of bounded size. A pass over sketches alone finds the members
+that have any such pair which passes the estimate; only theirs are the full sets that a second pass verifies, unless
+links found meanwhile join them. So components come out as if all pairs that pass the estimate had been verified.
+
+Sums per key are written before they are joined to the rows they were taken from, so that adaptive execution can
+split a value, a list or a set that a third of all documents hold.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-WORDS_PER_SHINGLE, K, BLOCK = 5, 64, 256
+WORDS_PER_SHINGLE, K = 5, 64
+#: Members of a block of a list, and the values of full sets in one, at most (a single larger set aside).
+BLOCK, BLOCK_VALUES = 256, 2_000_000
 
 
 class _Hashes(dict):
@@ -57,8 +63,16 @@ def shingle_set(text: str | None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
     return np.unique((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()))
+
+
+def _digest(s: np.ndarray) -> str:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+
+
 def sketches(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n, key, sketch of every document: size and digest of its set, and the set's k smallest values."""
+    """row, doc_id, n, key, sketch of every document: size and digest of its set, and the set's k smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,27 +80,28 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
             for t in b.column("text").to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                key.append(_digest(s))
                 low.append(s[:k])
-            at = pa.array(np.cumsum([0, *map(len, low)]), pa.int32())
-            low = pa.ListArray.from_arrays(at, pa.array(np.concatenate([*low, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key), low], ["doc_id", "n", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key), _lists(low)], ["row", "doc_id", "n", "key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key string, sketch array<long>")
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n long, key string, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, set (sorted) of the documents in `ids` (id)."""
+def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, set (sorted) of the classes in `ids` (id), made anew from the text of a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-            at = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            col = pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), col], ["id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets]), _lists(sets)], ["key", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
-    return rows.mapInArrow(run, "id long, n long, set array<long>").dropDuplicates(["id"])
+    asked = classes.select("id", "key", "n", "doc").join(ids.select("id").distinct(), "id", "left_semi")
+    asked = written(asked, "asked")
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(doc.alias("doc"), "text").join(asked.select("doc").where("doc is not null").distinct(), "doc", "left_semi").select("text")
+    rows = rows.unionByName(docs.where(doc.isNull()).select("text"))  # these are known by their sets only
+    made = rows.mapInArrow(run, "key string, set array<long>")
+    return made.join(asked.drop("doc"), "key").select("id", "n", "set").dropDuplicates(["id"])
 
 
 def needed_overlap(n, k: int, percent: int):
@@ -100,26 +115,39 @@ def needed_overlap(n, k: int, percent: int):
     return F.when(n <= int(k * p), F.ceil(n * percent / 100)).otherwise(F.lit(floor_)).cast("int")
 
 
+def least_share(k: int, percent: int) -> float:
+    """The share of a full union sketch that both documents must hold: the floor of `needed_overlap`."""
+    p = percent / 100
+    return int(k * p - 5 * math.sqrt(k * p * (1 - p))) / k
+
+
 def prefixes(reps: DataFrame, k: int, percent: int) -> DataFrame:
     """id, n, prefix: the retained values to list, of the documents that can have a partner at all."""
     values = reps.select("id", "n", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     mine = values.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s"))
     spare = F.size("s") - needed_overlap(F.col("n"), k, percent) + 1
     return mine.where(spare > 0).select("id", "n", F.slice(F.col("s.v"), F.lit(1), spare).alias("prefix"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int, slack: float = 0.2) -> DataFrame:
-    """src, dst: the pairs (a, b) whose union sketch passes and whose full sets are similar enough."""
+def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: the pairs whose sizes allow the similarity and whose union sketch passes. A union of fewer than k values
+    is whole, so there the estimate is the similarity itself."""
+    a = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    near = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
+    near = near.withColumn("union", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("union", "sa"), "sb")))
+    least = F.when(F.size("union") < k, F.size("union") * percent / 100 - 1e-9).otherwise(F.size("union") * least_share(k, percent))
+    return near.where(F.col("both") >= least).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """src, dst: the pairs (a, b) whose full sets are similar enough."""
     a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    low = lambda c: F.slice(c, 1, k)
-    union = F.slice(F.array_sort(F.array_union(low("sa"), low("sb"))), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect(union, low("sa")), low("sb")))
-    near = near.where(both >= F.size(union) * (percent / 100 - slack))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return near.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    near = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return near.where((F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def labelled(lists: DataFrame, parts: DataFrame) -> DataFrame:
@@ -127,15 +155,16 @@ def labelled(lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def open_members(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """v, id, c, m, few, minor: members of the lists that still hold several components; `minor` outside the largest."""
-    at = labelled(lists, parts)
+    """v, id, c, minor: members of the lists that still hold several components; `minor` outside the largest."""
+    at = written(labelled(lists, parts), "labelled")
     sizes = at.groupBy("v", "c").count()
     lead = sizes.groupBy("v").agg(F.max(F.struct("count", "c")).alias("top"), F.sum("count").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
     lead = lead.select("v", "m", (F.col("m") - F.col("top.count")).alias("few"), F.col("top.c").alias("lead"))
     # Near copies share many values: of lists with the same members one is enough.
     digest = at.groupBy("v").agg(F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
     lead = lead.join(digest, "v").groupBy("m", "few", "lead", "x", "y").agg(F.min("v").alias("v")).drop("x", "y")
-    return at.join(lead, "v").select("v", "id", "c", "m", "few", (F.col("c") != F.col("lead")).alias("minor"))
+    lead = written(lead, "lead")
+    return at.join(lead, "v").select("v", "id", "c", (F.col("c") != F.col("lead")).alias("minor"))
 
 
 def _marks(sketches: list[np.ndarray], values: np.ndarray) -> np.ndarray:
@@ -148,31 +177,38 @@ def _marks(sketches: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _list_links(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: dict[int, int]) -> list[tuple[int, int]]:
-    """Links (id of x, id of y) that connect components of one list, verified on the full sets.
+def _candidates(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, share) of the pairs of different components whose sizes and sketches allow the similarity.
 
-    Pairs whose sketches overlap enough are tried from the most similar on; those whose components `root` already
-    joins are not tried, as nothing would change.
+    The overlap of two sketches is at least what the sketch of their union holds of both, so no pair that passes the
+    estimate is left out.
     """
+    xs, ys = x["sketch"].tolist(), y["sketch"].tolist()
+    both = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    overlap = _marks(xs, both) @ _marks(ys, both).T
+    (nx, cx, ix), (ny, cy, iy) = ([f[c].to_numpy() for c in ("n", "c", "id")] for f in (x, y))
+    low, high = np.minimum(nx[:, None], ny), np.maximum(nx[:, None], ny)
+    part = overlap / np.minimum(k, low)
+    ok = (part >= least_share(k, percent) - 1e-6) & (low * 100 >= high * percent) & (cx[:, None] != cy)
+    ok &= ~(y["minor"].to_numpy() & (ix[:, None] > iy))  # two minor members meet twice
+    i, j = np.nonzero(ok)
+    return i, j, part[i, j]
+
+
+def _list_links(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: dict[int, int]) -> list[tuple[int, int]]:
+    """Links (id of x, id of y) that connect components of one list, verified on the full sets. Candidates are tried
+    from the most similar on; those whose components `root` already joins are not, as nothing would change."""
 
     def find(c: int) -> int:
         while (up := root.setdefault(c, c)) != c:
             root[c] = c = root[up]
         return c
 
-    xs, ys = x["set"].tolist(), y["set"].tolist()
-    both = np.intersect1d(np.concatenate([s[:k] for s in xs]), np.concatenate([s[:k] for s in ys]))
-    overlap = _marks([s[:k] for s in xs], both) @ _marks([s[:k] for s in ys], both).T
-    (nx, cx, ix), (ny, cy, iy) = ([f[c].to_numpy() for c in ("n", "c", "id")] for f in (x, y))
-    low, high = np.minimum(nx[:, None], ny), np.maximum(nx[:, None], ny)
-    part = overlap / np.minimum(k, low)
-    ok = (part >= percent / 100 - 0.2) & (low * 100 >= high * percent) & (cx[:, None] != cy)
-    ok &= ~(y["minor"].to_numpy() & (ix[:, None] > iy))  # two minor members meet twice
-    i, j = np.nonzero(ok)
-    order = np.lexsort((iy[j], ix[i], -part[i, j]))
-    out = []
+    i, j, part = _candidates(x, y, k, percent)
+    xs, ys, cx, cy, ix, iy = x["set"].tolist(), y["set"].tolist(), x["c"].tolist(), y["c"].tolist(), x["id"].to_numpy(), y["id"].to_numpy()
+    order, out = np.lexsort((iy[j], ix[i], -part)), []
     for r, c in zip(i[order].tolist(), j[order].tolist()):
-        a, b = find(cx[r].item()), find(cy[c].item())
+        a, b = find(cx[r]), find(cy[c])
         if a == b:
             continue
         shared = len(np.intersect1d(xs[r], ys[c], assume_unique=True))
@@ -182,66 +218,117 @@ def _list_links(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: di
     return out
 
 
-def cross_links(members: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """src, dst: links that connect the components which lists still hold apart; enough of them to do so.
+def _meeting(members: DataFrame, values: str, run: Callable, schema: str) -> DataFrame:
+    """`run` on the minor members and on all members of each list that meet in a block.
 
-    Minor members meet every block of their list; a block pair holds at most some 2 x BLOCK sets. Lists of one block
-    share a call with others, up to some 16 x BLOCK members or two million values together.
+    Minor members meet every block of their list. A list has as many blocks as its members or its `values` (an array
+    column) need, so a block is of bounded size whatever the table's; lists of one block share calls.
     """
-    rows = members.join(sets, "id")
-    n, values = members.count(), sets.join(members.groupBy("id").count(), "id").agg(F.sum(F.col("n") * F.col("count"))).first()[0] or 0
-    calls = max(1, n // (16 * BLOCK), int(values) // 2_000_000)
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    size = F.size(values).cast("long")
+    per = written(members.groupBy("v").agg(F.count("*").alias("m"), F.count(F.when(F.col("minor"), 1)).alias("few"), F.sum(size).alias("all"), F.sum(F.when(F.col("minor"), size)).alias("part")), "per")
+    blocks = lambda n, w: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(w) / BLOCK_VALUES)).cast("int")
+    per = per.select("v", blocks("few", "part").alias("qs"), blocks("m", "all").alias("ds"), "m", "all")
+    load = per.where("qs = 1 and ds = 1").agg(F.sum("m").alias("m"), F.sum("all").alias("all")).first()
+    calls = max(1, (load["m"] or 0) // (16 * BLOCK), (load["all"] or 0) // BLOCK_VALUES)
+    rows = members.join(per.select("v", "qs", "ds"), "v")
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    call = F.when(F.col("m") <= BLOCK, -1 - F.pmod(F.xxhash64("v"), F.lit(calls))).otherwise(F.col("v"))
-    cols = ["v", "id", "c", "n", "minor", "set"]
-    ask = rows.where("minor").withColumn("q", spread(blocks("few"), "q")).withColumn("d", every(blocks("m"))).select(*cols, "q", "d", call.alias("g"))
-    data = rows.withColumn("d", spread(blocks("m"), "d")).withColumn("q", every(blocks("few"))).select(*cols, "q", "d", call.alias("g"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    call = F.when((F.col("qs") == 1) & (F.col("ds") == 1), -1 - F.pmod(F.xxhash64("v"), F.lit(calls))).otherwise(F.col("v")).alias("g")
+    ask = rows.where("minor").withColumn("q", spread(F.col("qs"), "q")).withColumn("d", every("ds")).select(*members.columns, "q", "d", call)
+    data = rows.withColumn("d", spread(F.col("ds"), "d")).withColumn("q", every("qs")).select(*members.columns, "q", "d", call)
     data = data.select(*(F.col(c).alias(c) for c in data.columns))  # both sides come from one table: names of its own
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def lists(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         groups = dict(list(y.groupby("v"))) if len(x) and len(y) else {}
-        root: dict[int, int] = {}
-        links = [p for v, part in x.groupby("v") if v in groups for p in _list_links(part, groups[v], k, percent, root)]
-        return pd.DataFrame(links, columns=["src", "dst"]).astype("int64")
+        return run([(v, part, groups[v]) for v, part in x.groupby("v") if v in groups])
 
     by = ["g", "q", "d"]
-    return ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(run, "src long, dst long")
+    return ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(lists, schema)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document, one row per input row.
+def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """src, dst: links that connect the components which lists still hold apart; enough of them to do so."""
+    rows = members.join(classes.select("id", "n", "sketch"), "id").select("v", "id", "c", "n", "minor", "sketch")
+    rows = written(rows, "members")
 
-    Words are lower-cased for A-Z; the set of a text with fewer than five words is the whole sequence. A null or
-    empty text has no set and links with nothing; equal sets are one class from the start; ties in the order of
-    values are broken by value; an empty table gives an empty result; columns other than doc_id and text are not
-    looked at. Rows with one doc_id are one document. A null doc_id is its own component (null).
+    def near(lists: list) -> pd.DataFrame:
+        out = []
+        for v, x, y in lists:
+            i, j, _ = _candidates(x, y, k, percent)
+            ids = np.unique(np.r_[x["id"].to_numpy()[i], y["id"].to_numpy()[j]])
+            out.append(pd.DataFrame({"v": np.full(len(ids), v), "id": ids}))
+        return pd.concat(out) if out else pd.DataFrame({"v": np.zeros(0, np.int64), "id": np.zeros(0, np.int64)})
+
+    flagged = written(_meeting(rows, "sketch", near, "v long, id long").distinct(), "flagged")
+    if flagged.isEmpty():
+        return flagged.select(F.col("v").alias("src"), F.col("id").alias("dst"))
+    sets = written(full_sets(docs, classes, flagged), "sets")
+
+    def links(lists: list) -> pd.DataFrame:
+        root: dict[int, int] = {}
+        found = [p for _, x, y in lists for p in _list_links(x, y, k, percent, root)]
+        return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
+
+    rows = rows.join(flagged, ["v", "id"]).join(sets.select("id", "set"), "id")
+    return _meeting(rows, "set", links, "src long, dst long")
+
+
+def grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """row, doc_id, n, component, first of every row of `docs` (row, doc_id, text): the smallest doc_id of the row's
+    component (null if no row of it has one), and whether the row is the component's first by (doc_id, row), null last.
     """
     all_ = written(sketches(docs, k), "sketches")
-    classes = all_.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).where("id is not null")
-    classes = written(classes, "classes")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = all_.where("n > 0").groupBy("key").agg(lead.alias("lead"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "key", "lead", F.col("lead.doc_id").alias("doc"), "n", "sketch"), "classes")
     prefix = written(prefixes(classes, k, percent), "prefixes")
     lists = prefix.select("id", F.explode("prefix").alias("v"))
-    lists = written(lists.join(lists.groupBy("v").count().where("count > 1").select("v"), "v"), "lists")
-    sets = written(full_sets(docs, lists), "sets")
+    several = written(lists.groupBy("v").count().where("count > 1").select("v"), "several")
+    lists = written(lists.join(several, "v"), "lists")
 
     order = F.struct(F.xxhash64("id", "v"), "id")
     pivots = lists.groupBy("v").agg(F.array_distinct(F.array(F.min("id"), F.min(order)["id"])).alias("p")).select("v", F.explode("p").alias("p"))
-    pairs = lists.join(pivots, "v").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    links = written(verified(pairs, sets, k, percent), "links")
+    pairs = lists.join(written(pivots, "pivots"), "v").where("id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+    pairs = written(estimated(pairs, classes, k, percent), "pairs")
+    sets = written(full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "sets")
+    links = written(verified(pairs, sets, percent), "links")
     parts = written(components(links), "parts")
     members = written(open_members(lists, parts), "open")
     if not members.isEmpty():
-        more = written(cross_links(members, sets, k, percent), "links")
-        parts = written(components(links.unionByName(more)), "parts")
+        more = written(cross_links(members, docs, classes, k, percent), "links")
+        if not more.isEmpty():
+            parts = written(components(links.unionByName(more)), "parts")
+
+    node = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "lead", F.coalesce("component", "id").alias("part"))
+    node = written(node, "nodes")
+    best = written(node.groupBy("part").agg(F.min("lead").alias("best")), "best")
+    found = written(node.join(best, "part").select("key", "best"), "found")
+    out = all_.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(found, "key", "left")
+    component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return out.select("row", "doc_id", "n", component.alias("component"), (F.coalesce(F.col("best.row"), F.col("row")) == F.col("row")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, one row per input row.
+
+    Words are lower-cased for A-Z; the set of a text with fewer than five words is the whole sequence. A null or
+    empty text has no set and links with nothing; equal sets are one class from the start; ties in the order of
+    values are broken by value; an empty table gives an empty result; columns other than doc_id and text are not
+    looked at. Rows are judged by their own texts, so rows that share a doc_id may be in different components, and
+    all rows with the component's doc_id are kept. A row without a doc_id belongs to its component like any other,
+    and is not kept where that has a doc_id.
+    """
+    got = grouped(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), percent, k)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull())
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
-    found = classes.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = all_.join(found, "key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
+def distinct_documents(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
+    """One row of every component: the first by doc_id (null last), of several with that id any one; columns as given.
 
-def distinct_documents(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The first document (by doc_id) of every component; columns as given. Copies of one row are one document."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows are numbered and written once, so copies that share a doc_id or have none go like any others. Rows without
+    words are kept.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    first = written(grouped(rows.select(F.col("__row").alias("row"), "doc_id", "text"), percent, k).where("first").select(F.col("row").alias("__row")), "first")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
