@@ -91,6 +91,17 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == docs(spark, rows).columns and 5 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_one_row_of_each_group_is_left(spark):
+    """Rows that repeat a doc_id, and rows without one, are copies like any others."""
+    long_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long_), (7, long_), (7, long_), (None, long_), (None, long_ + " x"), (7, "another text of six words"), (None, "no id at all here"), (None, "no id at all here"), (3, None), (3, None), (None, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash.distinct_documents(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(7, long_), (7, "another text of six words"), (None, "no id at all here"), (3, None), (3, None), (None, "")], key=str)
+    parts = {(r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert parts == {(56, 7, True), (56, 7, False), (57, 7, False), (1, 7, True), (1, None, True), (0, 3, True), (0, None, True)}
+    assert minhash.distinct_documents(docs(spark, [])).count() == 0
+
+
 def test_needed_overlap_is_met_by_pairs_at_the_bound(spark):
     """Sets that share exactly 85 % share far more retained values than the prefixes ask for."""
     rng = np.random.default_rng(1)
@@ -263,3 +274,22 @@ def test_a_leaf_holds_several_templates(spark):
     got = {r["doc_id"]: r["text"] for r in linededup.line_deduplicated(docs(spark, rows)).collect()}
     first = {k: order.index(k) for k in ("login", "disk")}
     assert {i for i, t in rows if got[i] == t} == {i for i, k in enumerate(order) if k == "other" or first[k] == i}
+
+
+def test_evidence_has_no_step_and_clean_prose_stays(spark):
+    """A line of k words goes from the document on at which (documents - 1) * k * k reaches the bound; prose with common
+    heads and words stays; a text of 20,000 lines, half of them repeats, is done like any other."""
+    rng = random.Random(12)
+    lines = {k: " ".join(f"{chr(96 + k)}w{chr(97 + j)}" for j in range(k)) for k in range(1, 10)}
+    needs = {k: 1 + -(-64 // (k * k)) for k in lines}
+    pool = [f"{a}{b}" for a in ("ba", "ko", "li", "mu", "ne", "ro", "sa", "ti") for b in ("d", "l", "m", "n", "r", "s", "t", "x", "ven", "gor")]
+    prose = lambda: "The old man " + " ".join(rng.choice(pool) for _ in range(rng.randrange(7, 12)))
+    rows = [(i, "\n".join([prose() for _ in range(3)] + [x for k, x in lines.items() if i < needs[k] - k % 2])) for i in range(70)]
+    big = "\n".join(f"row {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} of a long table with some words of its own" for i in range(10_000))
+    rows += [(100, big), (101, big + "\n" + "\n".join(f"x{'y' * (i % 50)} {'z' * (i // 50)} own" for i in range(10_000)))]
+    got = {r["doc_id"]: (r["text"] or "").split("\n") for r in linededup.line_deduplicated(docs(spark, rows)).collect()}
+    for i in range(70):
+        text = dict(rows)[i].split("\n")
+        gone = [x for x in text if x not in got[i]]
+        assert gone == [x for k, x in lines.items() if i and i < needs[k] and not k % 2]
+    assert len(got[100]) >= 1 and len(got[101]) == 10_000

@@ -8,8 +8,9 @@ same way, until no group is left; so a leaf holds any number of templates. Lines
 their own. A template that recurs across documents is kept where it occurs first (by doc_id) and dropped everywhere
 else.
 
-A line is carried as its place, two digests and two bytes a token, never as text. Constants come from counts per
-(group, position, token), and all else from sums and joins, so a leaf with a third of all lines is never one task's.
+A line is carried as its place, two digests and four bytes a token, never as text. Constants come from counts per
+(group, position, token), and all else from sums and joins; sums per key are written before they are joined to the
+rows they were taken from, so that adaptive execution can split a leaf, line or template with a third of all lines.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ _tokens = _Tokens()
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
     """doc_id, line, n, leaf, own, sig of every line with tokens: its number in the text, token count, the digests of
-    its way down the tree and of all its tokens, and its tokens as two bytes each."""
+    its way down the tree and of all its tokens, and its tokens as four bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,7 +61,7 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
                     n.append(len(w))
                     leaf.append(xxhash.xxh3_64_intdigest(h[:depth].tobytes(), seed=len(w)) >> 1)
                     own.append(xxhash.xxh3_64_intdigest(h.tobytes()) >> 1)
-                    sig.append((h >> np.uint64(48)).astype("<u2").tobytes())
+                    sig.append((h >> np.uint64(32)).astype(">u4").tobytes())
             cols = [pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(leaf, pa.int64()), pa.array(own, pa.int64()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "n", "leaf", "own", "sig"])
 
@@ -76,15 +77,15 @@ def fields(lines: DataFrame) -> DataFrame:
             per, pos, token = _flat(b.column("sig").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("g").to_numpy(), per)), pa.array(pos.astype(np.int32)), pa.array(token)], ["g", "pos", "token"])
 
-    return lines.select("g", "sig").mapInArrow(run, "g long, pos int, token int")
+    return lines.select("g", "sig").mapInArrow(run, "g long, pos int, token long")
 
 
 def _flat(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens per line; the place of each token in its line, and the token."""
-    sigs = [np.frombuffer(s, "<u2") for s in sigs]
+    sigs = [np.frombuffer(s, ">u4") for s in sigs]
     per = np.fromiter(map(len, sigs), np.int64, len(sigs))
     pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    return per, pos, np.concatenate([*sigs, np.zeros(0, "<u2")]).astype(np.int32)
+    return per, pos, np.concatenate([*sigs, np.zeros(0, ">u4")]).astype(np.int64)
 
 
 def keys(lines: DataFrame, depth: int) -> DataFrame:
@@ -95,7 +96,7 @@ def keys(lines: DataFrame, depth: int) -> DataFrame:
             per, pos, token = _flat(b.column("sig").to_pylist())
             below = pos >= depth
             x = np.repeat(b.column("leaf").to_numpy().astype(np.uint64), per)[below] * np.uint64(0x9E3779B97F4A7C15)
-            x += (pos[below] * 65536 + token[below]).astype(np.uint64)
+            x += (pos[below] * 2**32 + token[below]).astype(np.uint64)
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
@@ -109,9 +110,9 @@ def regrouped(rest: DataFrame, depth: int, same: float, salt: int) -> DataFrame:
     of their positions in which their tokens are commonest among the leaf's rest. Lines with fewer positions that
     recur at all are left out; as the rest only shrinks they can't be in a template later."""
     k = keys(rest, depth)
-    often = k.groupBy("key").count().where("count > 1")
+    often = written(k.groupBy("key").count().where("count > 1"), "often")
     marks = k.join(often, "key").groupBy("own").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "key"))).alias("s"))
-    need = F.greatest(F.lit(0), F.ceil(same * F.octet_length("sig") / 2).cast("int") - depth)
+    need = F.greatest(F.lit(0), F.ceil(same * F.octet_length("sig") / 4).cast("int") - depth)
     at = rest.drop("g").join(marks, "own", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<c:bigint,key:bigint>>")))
     g = F.xxhash64("leaf", F.lit(salt), F.sort_array(F.slice(F.col("s.key"), F.lit(1), need)))
     return at.where(F.size("s") >= need).select("leaf", "own", "sig", "lo", "hi", g.alias("g"))
@@ -124,8 +125,8 @@ def templates(lines: DataFrame, same: float, agree: float) -> DataFrame:
     a share of `agree` of the group's distinct lines hold its commonest token; a group is a template if a share of
     `same` of its positions is constant.
     """
-    sizes = lines.groupBy("g").agg(F.count("*").alias("lines"), F.max(F.octet_length("sig") / 2).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    sizes = sizes.where("lines > 1 and lo < hi").select("g", "lines", "n")
+    sizes = lines.groupBy("g").agg(F.count("*").alias("lines"), F.max(F.octet_length("sig") / 4).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    sizes = written(sizes.where("lines > 1 and lo < hi").select("g", "lines", "n"), "sizes")
     tops = fields(lines.join(sizes.select("g"), "g", "left_semi")).groupBy("g", "pos", "token").count().groupBy("g", "pos").agg(F.max(F.struct("count", F.col("token"))).alias("top"))
     tops = tops.join(sizes, "g").where(F.col("top.count") >= agree * F.col("lines"))
     found = tops.groupBy("g").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "top.token"))).alias("constants"))
@@ -133,57 +134,61 @@ def templates(lines: DataFrame, same: float, agree: float) -> DataFrame:
 
 
 def line_forms(lines: DataFrame, depth: int, same: float, agree: float) -> DataFrame:
-    """own, form of the distinct lines that are instances of a template.
+    """own, form, held of the distinct lines that are instances of a template: it, and how many tokens it holds constant.
 
     A leaf is one group at first. Lines that don't agree with their group's template, or have none, are grouped anew
     within their leaf by what they agree in, until no group is a template. A group made by `regrouped` always is one,
     and a fifth of its lines at least agree with it, so the rest shrinks in every round.
     """
     shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("own").alias("a"), F.max("own").alias("b"))
-    shared = shared.where("lo < hi and a < b").select("leaf")
-    rest = lines.join(shared, "leaf").groupBy("leaf", "own").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    rest, found, salt = written(rest.withColumn("g", F.col("leaf")), "distinct"), [], 0
+    shared = written(shared.where("lo < hi and a < b").select("leaf"), "shared")
+    rest = lines.groupBy("leaf", "own").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    rest = written(rest.withColumn("g", F.col("leaf")), "lines")
+    rest, found, salt = written(rest.join(shared, "leaf", "left_semi"), "distinct"), [], 0
     while True:
         forms = written(templates(rest, same, agree), "templates")
-        if salt and forms.isEmpty():
+        if salt and (forms.isEmpty() or salt > 1 and found[-1].isEmpty()):
             return reduce(DataFrame.unionByName, found)
         fits = F.coalesce(agreement(F.col("sig"), F.col("constants")) >= 0.9, F.lit(False))
-        at = written(rest.join(forms, "g", "left").withColumn("fits", fits).drop("constants"), "fitted")
-        found.append(at.where("fits").select("own", F.col("g").alias("form")))
+        at = rest.join(forms, "g", "left").withColumn("fits", fits).withColumn("held", F.size("constants"))
+        at = written(at.drop("constants"), "fitted")
+        found.append(at.where("fits").select("own", F.col("g").alias("form"), "held"))
         salt += 1
-        rest = written(regrouped(at.where("not fits").drop("fits"), depth, same, salt), "rest")
+        rest = written(regrouped(at.where("not fits").drop("fits", "held"), depth, same, salt), "rest")
 
 
 def agreement(sig, constants):
     """Share of a template's constants that a line's tokens agree with."""
-    two = lambda i: F.conv(F.hex(F.concat(F.substring(sig, i * 2 + 2, 1), F.substring(sig, i * 2 + 1, 1))), 16, 10).cast("int")
-    hits = F.size(F.filter(constants, lambda c: two(c["pos"]) == c["token"]))
+    token = lambda i: F.conv(F.hex(F.substring(sig, i * 4 + 1, 4)), 16, 10).cast("long")
+    hits = F.size(F.filter(constants, lambda c: token(c["pos"]) == c["token"]))
     return hits / F.size(constants)
 
 
-def repeated_lines(docs: DataFrame, depth: int = 3, same: float = 0.6, agree: float = 0.8, docs_long: int = 2, docs_short: int = 10, short: int = 8) -> DataFrame:
+def repeated_lines(docs: DataFrame, depth: int = 3, same: float = 0.6, agree: float = 0.8, evidence: int = 64) -> DataFrame:
     """doc_id, lines (sorted numbers): the lines to drop, for the documents that have any.
 
-    A template recurs if it is in at least `docs_long` documents, or `docs_short` for lines of fewer than `short`
-    tokens, which meet by chance.
+    A template recurs if (documents - 1) times the square of the tokens it holds constant is `evidence` or more: two
+    documents do for 8 tokens in common, 4 for 5 tokens, 65 for a line of one word, as short lines meet by chance.
     """
     lines = written(parsed_lines(docs, depth), "lines")
     forms = line_forms(lines, depth, same, agree)
-    at = lines.select("doc_id", "line", (F.col("n") < short).alias("short"), "own").join(forms, "own", "left")
-    at = written(at.select("doc_id", "line", "short", F.coalesce("form", "own").alias("form")), "forms")
-    seen = at.select("form", "short", "doc_id").distinct().groupBy("form", "short").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    seen = seen.where(F.col("docs") >= F.when(F.col("short"), docs_short).otherwise(docs_long)).select("form", "first")
+    at = lines.select("doc_id", "line", "n", "own").join(forms, "own", "left")
+    at = written(at.select("doc_id", "line", F.coalesce("held", "n").alias("held"), F.coalesce("form", "own").alias("form")), "forms")
+    seen = at.groupBy("form", "doc_id").agg(F.max("held").alias("held")).groupBy("form").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("held").cast("long").alias("held"))
+    seen = written(seen.where(F.col("held") * F.col("held") * (F.col("docs") - 1) >= evidence).select("form", "first"), "seen")
     return at.join(seen, "form").where("doc_id <> first").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """`docs` with `__lines` dropped from the text, and how many lines there were and went as __n, __dropped."""
     at = docs.join(drop.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__lines", i)), "\n")
+    at = at.withColumn("__parts", F.when(F.col("__lines").isNotNull(), F.split("text", "\n", -1)))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__lines")  # by hashing, so linear in the lines
+    kept = F.array_join(F.transform(numbers, lambda i: F.get("__parts", i)), "\n")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return at.select(
         *(F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("__n"),
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("__n"),
         F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("__dropped"),
     )
 
