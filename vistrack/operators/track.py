@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +37,10 @@ def has_point_in(queries: DataFrame, points: DataFrame, r: float) -> DataFrame:
     return range_join(queries, points, r, exact=True).select("frame_id", "q_id").distinct()
 
 
-def closest_point(queries: DataFrame, points: DataFrame, max_dist: float) -> DataFrame:
+def closest_point(queries: DataFrame, points: DataFrame, max_dist: float, but_itself: bool = False) -> DataFrame:
     """frame_id, q_id, kpt_id, d2: the nearest point strictly within max_dist; ties to the smaller id."""
     near = range_join(queries, points, max_dist, exact=True).withColumn("d2", distance2())
+    near = near.where("q_id <> kpt_id") if but_itself else near
     best = near.groupBy("frame_id", "q_id").agg(F.min(F.struct("d2", "kpt_id")).alias("b"))
     return best.select("frame_id", "q_id", F.col("b.kpt_id").alias("kpt_id"), F.col("b.d2").alias("d2"))
 
@@ -112,27 +111,19 @@ def lost_tracks(points: DataFrame, min_len: int = 4) -> DataFrame:
 
 
 def running_histograms(points: DataFrame) -> DataFrame:
-    """video_id, track_id, frame_id, word, cnt: each track's word counts up to and with each of its frames."""
-    frames = points.select("video_id", "track_id", F.col("frame_id").alias("at")).distinct()
-    words = points.where("word <> 0").groupBy("video_id", "track_id", "frame_id", "word").agg(F.count("*").alias("c"))
-    seen = frames.join(words, ["video_id", "track_id"]).where("frame_id <= at")
-    return seen.groupBy("video_id", "track_id", F.col("at").alias("frame_id"), "word").agg(F.sum("c").alias("cnt"))
-
-
-def running_histograms_by_state(points: DataFrame) -> DataFrame:
-    """The same as running_histograms in one ordered pass per track, linear in what it returns."""
-
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f, counts, out = f.sort_values("frame_id"), {}, []
-        for frame, part in f.groupby("frame_id", sort=True):
-            for w in part["word"]:
-                if w:
-                    counts[w] = counts.get(w, 0) + 1
-            out += [(*key, frame, w, c) for w, c in counts.items()]
-        return pd.DataFrame(out, columns=["video_id", "track_id", "frame_id", "word", "cnt"])
-
-    cols = points.select("video_id", "track_id", "frame_id", "word")
-    return cols.groupBy("video_id", "track_id").applyInPandas(run, "video_id long, track_id long, frame_id long, word long, cnt long")
+    """video_id, track_id, frame_id, word, cnt: each track's word counts up to and with each of its frames.
+
+    A word's count is summed up over the frames that have it, which gives one row per change; each row then holds from
+    its frame to the next change, by the frames' numbers along the track. So nothing is summed twice.
+    """
+    of = ["video_id", "track_id"]
+    frames = points.select(*of, "frame_id").distinct().withColumn("nth", F.row_number().over(Window.partitionBy(*of).orderBy("frame_id")))
+    last = F.max("nth").over(Window.partitionBy(*of))
+    words = points.where("word <> 0").groupBy(*of, "frame_id", "word").agg(F.count("*").alias("c")).join(frames.withColumn("last", last), [*of, "frame_id"])
+    along = Window.partitionBy(*of, "word").orderBy("nth")
+    words = words.withColumn("cnt", F.sum("c").over(along)).withColumn("until", F.coalesce(F.lead("nth").over(along) - 1, "last"))
+    held = words.select(*of, "word", "cnt", F.explode(F.sequence("nth", "until")).alias("nth"))
+    return held.join(frames, [*of, "nth"]).select(*of, "frame_id", "word", "cnt")
 
 
 def top_keypoints(points: DataFrame, n: int = 800, least: float = 5.0, *by: str) -> DataFrame:

@@ -220,10 +220,10 @@ def r9(spark, sf):
     return top.join(names, "cid").select("query_id", "rank", "cid", r6("score"), "comment")
 
 
-@query("r10_similarity_join", f"""with {H}, {NORMED} select x.cid as a, y.cid as b, round(sum(x.w * y.w), 6) as score from a x join a y using (word)
-where x.cid < y.cid group by 1, 2 having sum(x.w * y.w) > 0.0005""")
+@query("r10_similarity_join", f"""with {H}, {NORMED} select x.cid as a, y.cid as b, round(sum(x.w * y.w), 9) as score from a x join a y using (word)
+where x.cid < y.cid group by 1, 2 having sum(x.w * y.w) > 0.00001""")
 def r10(spark, sf):
-    return cluster.similarity_join(clusters(spark, sf), 0.0005).select("a", "b", r6("score"))
+    return cluster.similarity_join(clusters(spark, sf), 0.00001).select("a", "b", F.round("score", 9).alias("score"))
 
 
 def track_words(spark, sf):

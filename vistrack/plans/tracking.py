@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry
+from ..functions import geometry, vectors
 from ..operators import evaluate, events, histo, match, objects, track
 from ..sources import tables
 from .inputs import PACKETS, D, K, detections, keypoints, maps, maps_sql, packets, query, read
@@ -169,11 +169,11 @@ def k3(spark, sf):
     return track.range_join(q, p, 5.0, exact=True).where("q_id <> kpt_id").select("frame_id", "q_id").distinct()
 
 
-@query("k4_closest_point", PAIRS + " select frame_id, q_id, kpt_id, round(d2, 6) as d2 from (select *, row_number() over (partition by q_id order by d2, kpt_id) as r from n where d2 < 400 and q_id % 2 = 0 and kpt_id % 2 = 1) where r = 1")
+@query("k4_closest_point", PAIRS + " select frame_id, q_id, kpt_id, round(d2, 6) as d2 from (select *, row_number() over (partition by q_id order by d2, kpt_id) as r from n where d2 < 400 and q_id <> kpt_id) where r = 1")
 def k4(spark, sf):
-    """For each even point the nearest odd one."""
+    """For each point the nearest other one of its frame."""
     q, p = _near(spark, sf)
-    return rounded(track.closest_point(q.where("q_id % 2 = 0"), p.where("kpt_id % 2 = 1"), 20.0), "d2")
+    return rounded(track.closest_point(q, p, 20.0, but_itself=True), "d2")
 
 
 @query("k5_predict_position", f"with {K} select kpt_id, round(2*u - coalesce(lag(u) over w, u), 6) as pu, round(2*v - coalesce(lag(v) over w, v), 6) as pv from pts window w as (partition by track_id order by frame_id, kpt_id)")
@@ -181,14 +181,31 @@ def k5(spark, sf):
     return rounded(track.predict_position(keypoints(spark, sf)).select("kpt_id", "pu", "pv"), "pu", "pv")
 
 
-NCC = PAIRS + ", c as (select *, 1 - d2 / 3200 as ncc from n where q_id < kpt_id)"
+#: A point's patch is that of its k, with a fifth of another one in it; it is matched to the points of the next frame.
+NCC = f"""with {K}, raw as (select p.*, list_transform(range(1, 65), lambda i: 100 * (cast(a.embedding[i] as double) + 0.2e0 * cast(b.embedding[i] as double))) as patch
+ from pts p join embeddings a on a.vec_id = p.k % 20 join embeddings b on b.vec_id = 20 + p.kpt_id % 400), means as (select *, list_sum(patch) / 64 as mean from raw),
+ps as (select *, list_transform(patch, lambda x: x - floor(mean)) as centred, sqrt(greatest(0, list_sum(list_transform(patch, lambda x: x * x)) - 64 * mean * mean)) as sd from means),
+c as (select p.frame_id, q.kpt_id as q_id, p.kpt_id, case when p.word = q.word and p.word <> 0 then 0.95e0 when p.sd < 1 or q.sd < 1 then 0
+ else list_sum(list_transform(range(1, 65), lambda i: p.centred[i] * q.centred[i])) / (p.sd * q.sd) end as ncc from ps q join ps p on p.frame_id = q.frame_id + 1
+ and cast(trunc(p.u) as integer) >> 4 between greatest(0, cast(trunc(q.u - 20) as integer) >> 4) and cast(trunc(q.u + 20) as integer) >> 4
+ and cast(trunc(p.v) as integer) >> 4 between greatest(0, cast(trunc(q.v - 20) as integer) >> 4) and cast(trunc(q.v + 20) as integer) >> 4)"""
 BEST = NCC + """, b as (select frame_id, q_id, kpt_id, ncc, row_number() over (partition by q_id order by case when ncc > 0.9 then kpt_id end nulls last, ncc desc, kpt_id) as r from c where ncc > 0.88)"""
 
 
+def with_patches(spark, sf):
+    """Keypoints with a patch of 64 numbers."""
+    e = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    p = keypoints(spark, sf).join(e.withColumnsRenamed({"vec_id": "va", "e": "a"}), F.col("va") == F.col("k") % 20)
+    p = p.join(e.withColumnsRenamed({"vec_id": "vb", "e": "b"}), F.col("vb") == 20 + F.col("kpt_id") % 400)
+    return p.withColumn("patch", F.zip_with("a", "b", lambda x, y: 100 * (x + 0.2 * y))).drop("va", "a", "vb", "b")
+
+
 def claims(spark, sf):
-    """A correlation that falls with the distance stands in for the patches'."""
-    pairs = track.range_join(*_near(spark, sf), 20.0).where("q_id < kpt_id")
-    return track.best_match(track.patch_matches(pairs, 1 - track.distance2() / 3200))
+    """The points of a frame and what each takes for itself in the next one, by the correlation of patches."""
+    p = with_patches(spark, sf).select("frame_id", "kpt_id", "u", "v", "word", "patch")
+    q = p.select((F.col("frame_id") + 1).alias("frame_id"), *(F.col(c).alias(n) for c, n in (("kpt_id", "q_id"), ("u", "qu"), ("v", "qv"), ("word", "qword"), ("patch", "qpatch"))))
+    ncc = vectors.patch_ncc(F.col("patch"), F.col("qpatch"), F.col("word"), F.col("qword"))
+    return track.best_match(track.patch_matches(track.range_join(q, p, 20.0), ncc))
 
 
 @query("k6_best_ncc_match", BEST + " select frame_id, q_id, kpt_id, round(ncc, 6) as ncc from b where r = 1")
@@ -238,7 +255,7 @@ def k11(spark, sf):
 @query("k12_track_words_so_far", f"""with {K}, f as (select distinct track_id, frame_id from pts)
 select f.track_id, f.frame_id, word, count(*) as cnt from f join pts p on p.track_id = f.track_id and p.frame_id <= f.frame_id where word <> 0 group by 1, 2, 3""")
 def k12(spark, sf):
-    return track.running_histograms_by_state(keypoints(spark, sf)).drop("video_id")
+    return track.running_histograms(keypoints(spark, sf)).drop("video_id")
 
 
 @query("k13_top_keypoints", f"with {K} select kpt_id, rank from (select kpt_id, cast(row_number() over (partition by frame_id order by score desc, kpt_id) as integer) as rank from pts where score > 5) where rank <= 8")
@@ -603,10 +620,12 @@ def g11(spark, sf):
     return match.assign_keypoints(c.withColumn("place", F.col("obj_id") % 11))
 
 
-@query("g12_find_closest_match", PAIRS.replace("- 20)", "- 30)").replace("+ 20)", "+ 30)") + """ select frame_id, q_id, kpt_id, round(d2, 6) as d2 from (select *, row_number() over (partition by q_id order by d2, kpt_id) as r from n where d2 < 900 and q_id % 3 <> 0 and kpt_id % 3 = 0) where r = 1""")
+@query("g12_find_closest_match", PAIRS.replace("- 20)", "- 30)").replace("+ 20)", "+ 30)") + f""", {OSIDE}, a as (select distinct kpt_id from pts join os using (word) where word <> 0)
+select frame_id, q_id, kpt_id, round(d2, 6) as d2 from (select *, row_number() over (partition by q_id order by d2, kpt_id) as r from n where d2 < 900 and q_id not in (select kpt_id from a) and kpt_id in (select kpt_id from a)) where r = 1""")
 def g12(spark, sf):
-    q, p = _near(spark, sf)
-    return rounded(match.closest_assigned(q.where("q_id % 3 <> 0"), p.where("kpt_id % 3 = 0")), "d2")
+    """For each point that g11 assigns to no object, the nearest assigned one."""
+    (q, p), assigned = _near(spark, sf), g11(spark, sf).select("kpt_id")
+    return rounded(match.closest_assigned(q.join(assigned, q["q_id"] == assigned["kpt_id"], "left_anti"), p.join(assigned, "kpt_id", "left_semi")), "d2")
 
 
 @query("g14_on_previous_frame", f"""with {K}, i as (select distinct track_id as obj_id, frame_id from pts) select obj_id, frame_id, coalesce(frame_id - lag(frame_id) over (partition by obj_id order by frame_id) = 1, false) as was from i""")
