@@ -199,19 +199,49 @@ def test_cover_tree_top_k(spark, shard_rows):
     assert got == brute_top(rows)
 
 
-def test_cover_tree_prunes_and_covers():
+def test_cover_tree_covers():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(500, 8)) + 20 * rng.normal(size=8) for _ in range(12)]).round()
-    tree, todo = covertree.cover_tree(x), []
-    todo.append(tree)
-    leaves = 0
-    while todo:
-        n = todo.pop()
-        assert (np.sqrt(((x[n.at] - n.centre) ** 2).sum(1)) <= n.radius + 1e-9).all()
-        assert not n.kids or sorted(i for k in n.kids for i in k.at) == sorted(n.at)
-        leaves += not n.kids
-        todo += n.kids
-    assert leaves > 10
+    t = covertree.cover_tree(x)
+    assert sorted(t.order.tolist()) == list(range(len(x))) and (t.end[0], t.start[0]) == (len(x), 0)
+    for k in range(len(t.start)):
+        at = t.order[t.start[k] : t.end[k]]
+        assert (np.sqrt(((x[at] - t.centre[k]) ** 2).sum(1)) <= t.radius[k] + 1e-9).all()
+        cos = x[at] @ t.centre[k] / np.sqrt((x[at] ** 2).sum(1)) / t.norm[k]
+        assert (np.arccos(np.clip(cos, -1, 1)) <= t.angle[k] + 1e-9).all()
+        kids = range(t.first[k], t.last[k])
+        assert not kids or [t.start[k], *(t.end[j] for j in kids)] == [*(t.start[j] for j in kids), t.end[k]]
+    assert len(t.start) > 20
+
+
+def plain_top(q, q_id, x, x_id, k):
+    s = np.where(q_id[:, None] == x_id[None, :], -np.inf, q @ x.T)
+    return {(i, int(x_id[j]), int(s[i, j])) for i in range(len(q)) for j in np.lexsort((x_id, -s[i]))[:k]}
+
+
+@pytest.mark.parametrize("kind, most", [("clusters", 0.3), ("copies", 0.7), ("noise", 1.0)])
+def test_cover_trees_prune_pairs(kind, most):
+    """The share of pairs that are scored: few where points cluster, never more than all; results are exact anyway."""
+    rng = np.random.default_rng(3)
+    if kind == "clusters":
+        x = (rng.normal(size=(40, 1, 64)) + 0.25 * rng.normal(size=(40, 200, 64))).reshape(-1, 64)
+    elif kind == "copies":
+        x = np.concatenate([rng.normal(size=(1000, 64)), rng.normal(size=(1, 64)) + 0.02 * rng.normal(size=(3000, 64))])
+    else:
+        x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.sqrt((x * x).sum(1, keepdims=True)))
+    x_id = rng.permutation(len(x))
+    q, q_id = x[::20], x_id[::20]
+    row, id_, score, pairs = covertree.top_scores(q, q_id, covertree.cover_tree(q, 32), x, x_id, covertree.cover_tree(x), 5)
+    assert set(zip(row.tolist(), id_.tolist(), score.tolist())) == plain_top(q, q_id, x, x_id, 5)
+    assert pairs <= most * len(q) * len(x)
+
+
+def test_large_components_of_any_size():
+    q = np.array([[1e30, 1.0], [-3e20, 5.0], [2.0, 2.0]])
+    row, id_, score = covertree.large_scores(q, np.array([0, 1, 2]), q, np.array([0, 1, 2]), 2)
+    big, small = int(q[0, 0]), int(q[1, 0])
+    assert list(zip(row.tolist(), id_.tolist(), score)) == [(0, 2, 2 * big + 2), (0, 1, big * small + 5), (1, 2, 2 * small + 10), (1, 0, big * small + 5), (2, 0, 2 * big + 2), (2, 1, 2 * small + 10)]
 
 
 def test_cover_tree_edges(spark):
