@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small, written
 
-M, EF_BUILD, EF, QUERIES = 16, 64, 64, 2048
+M, EF_BUILD, EF, QUERIES = 16, 64, 64, 4096
 #: Audited queries of a block; what share of their nearest vectors must be found, besides every link.
 AUDIT, NEAREST = 48, 0.9
 
@@ -285,8 +285,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1638
     )
     v = v.withColumn("part", F.when(fine, F.concat_ws(":", F.col("label").cast("string"), F.size("vector"))))
     classes = v.where("part is not null").groupBy("part", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    sizes = classes.groupBy("part").agg(F.count("*").alias("m"))
-    classes = classes.join(sizes, "part").withColumn("shards", F.ceil(F.col("m") / shard_rows).cast("int")).withColumn("blocks", F.ceil(F.col("m") / QUERIES).cast("int"))
+    sizes = written(classes.groupBy("part").agg(F.count("*").alias("m")), "sizes")
+    classes = classes.join(small(sizes), "part").withColumn("shards", F.ceil(F.col("m") / shard_rows).cast("int")).withColumn("blocks", F.ceil(F.col("m") / QUERIES).cast("int"))
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     classes = written(classes.withColumn("shard", spread(F.col("shards"), "shard")).withColumn("block", spread(F.col("blocks"), "block")), "classes")
@@ -299,7 +299,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, shard_rows: int = 1638
     parts = components(found.where("dst is not null").select(F.col("id").alias("src"), "dst"))
     per = found.groupBy("id").agg(F.sum("n").alias("n"))
     per = per.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    known = classes.select("part", "vector", "id", "copies").join(per, "id").drop("id")
+    known = written(classes.select("part", "vector", "id", "copies").join(per, "id").drop("id"), "known")
     out = v.join(known, ["part", "vector"], "left").withColumn("component_id", F.coalesce("component", "vec_id"))
     links = F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long")
     return out.select("vec_id", links.alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
