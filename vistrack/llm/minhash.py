@@ -177,8 +177,9 @@ def _marks(sketches: list[np.ndarray], values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, share) of the pairs of different components whose sizes and sketches allow the similarity.
+def _candidates(v: int, x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, share) of the pairs of different components whose sizes and sketches allow the similarity
+    and that meet in list `v` first: a pair is looked at in the list of the smallest value that both have listed.
 
     The overlap of two sketches is at least what the sketch of their union holds of both, so no pair that passes the
     estimate is left out.
@@ -191,11 +192,15 @@ def _candidates(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int) -> tuple
     part = overlap / np.minimum(k, low)
     ok = (part >= least_share(k, percent) - 1e-6) & (low * 100 >= high * percent) & (cx[:, None] != cy)
     ok &= ~(y["minor"].to_numpy() & (ix[:, None] > iy))  # two minor members meet twice
+    xp, yp = ([p[p < v] for p in f["prefix"]] for f in (x, y))
+    before = np.intersect1d(np.concatenate(xp), np.concatenate(yp))
+    if len(before):
+        ok &= _marks(xp, before) @ _marks(yp, before).T == 0
     i, j = np.nonzero(ok)
     return i, j, part[i, j]
 
 
-def _list_links(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: dict[int, int]) -> list[tuple[int, int]]:
+def _list_links(v: int, x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: dict[int, int]) -> list[tuple[int, int]]:
     """Links (id of x, id of y) that connect components of one list, verified on the full sets. Candidates are tried
     from the most similar on; those whose components `root` already joins are not, as nothing would change."""
 
@@ -204,7 +209,7 @@ def _list_links(x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int, root: di
             root[c] = c = root[up]
         return c
 
-    i, j, part = _candidates(x, y, k, percent)
+    i, j, part = _candidates(v, x, y, k, percent)
     xs, ys, cx, cy, ix, iy = x["set"].tolist(), y["set"].tolist(), x["c"].tolist(), y["c"].tolist(), x["id"].to_numpy(), y["id"].to_numpy()
     order, out = np.lexsort((iy[j], ix[i], -part)), []
     for r, c in zip(i[order].tolist(), j[order].tolist()):
@@ -246,15 +251,16 @@ def _meeting(members: DataFrame, values: str, run: Callable, schema: str) -> Dat
     return ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(lists, schema)
 
 
-def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, prefix: DataFrame, k: int, percent: int) -> DataFrame:
     """src, dst: links that connect the components which lists still hold apart; enough of them to do so."""
-    rows = members.join(classes.select("id", "n", "sketch"), "id").select("v", "id", "c", "n", "minor", "sketch")
+    known = classes.select("id", "n", "sketch").join(prefix.select("id", "prefix"), "id")
+    rows = members.join(known, "id").select("v", "id", "c", "n", "minor", "sketch", "prefix")
     rows = written(rows, "members")
 
     def near(lists: list) -> pd.DataFrame:
         out = []
         for v, x, y in lists:
-            i, j, _ = _candidates(x, y, k, percent)
+            i, j, _ = _candidates(v, x, y, k, percent)
             ids = np.unique(np.r_[x["id"].to_numpy()[i], y["id"].to_numpy()[j]])
             out.append(pd.DataFrame({"v": np.full(len(ids), v), "id": ids}))
         return pd.concat(out) if out else pd.DataFrame({"v": np.zeros(0, np.int64), "id": np.zeros(0, np.int64)})
@@ -266,7 +272,7 @@ def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
 
     def links(lists: list) -> pd.DataFrame:
         root: dict[int, int] = {}
-        found = [p for _, x, y in lists for p in _list_links(x, y, k, percent, root)]
+        found = [p for v, x, y in lists for p in _list_links(v, x, y, k, percent, root)]
         return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
     rows = rows.join(flagged, ["v", "id"]).join(sets.select("id", "set"), "id")
@@ -295,7 +301,7 @@ def grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     parts = written(components(links), "parts")
     members = written(open_members(lists, parts), "open")
     if not members.isEmpty():
-        more = written(cross_links(members, docs, classes, k, percent), "links")
+        more = written(cross_links(members, docs, classes, prefix, k, percent), "links")
         if not more.isEmpty():
             parts = written(components(links.unionByName(more)), "parts")
 
