@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 _digit = re.compile(r"\d")
 
@@ -142,9 +142,9 @@ def line_forms(lines: DataFrame, depth: int, same: float, agree: float) -> DataF
     """
     shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("own").alias("a"), F.max("own").alias("b"))
     shared = written(shared.where("lo < hi and a < b").select("leaf"), "shared")
-    rest = lines.groupBy("leaf", "own").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    rest = written(rest.withColumn("g", F.col("leaf")), "lines")
-    rest, found, salt = written(rest.join(shared, "leaf", "left_semi"), "distinct"), [], 0
+    # by `own` alone, which says the leaf as well, so that the lines of a leaf are dealt anew
+    rest = lines.join(shared, "leaf", "left_semi").groupBy("own").agg(*(F.min(c).alias(c) for c in ("leaf", "sig")), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    rest, found, salt = written(rest.withColumn("g", F.col("leaf")), "distinct"), [], 0
     while True:
         forms = written(templates(rest, same, agree), "templates")
         if salt and (forms.isEmpty() or salt > 1 and found[-1].isEmpty()):
@@ -172,11 +172,11 @@ def repeated_lines(docs: DataFrame, depth: int = 3, same: float = 0.6, agree: fl
     """
     lines = written(parsed_lines(docs, depth), "lines")
     forms = line_forms(lines, depth, same, agree)
-    at = lines.select("doc_id", "line", "n", "own").join(forms, "own", "left")
+    at = lines.select("doc_id", "line", "n", "own").join(small(forms), "own", "left")
     at = written(at.select("doc_id", "line", F.coalesce("held", "n").alias("held"), F.coalesce("form", "own").alias("form")), "forms")
     seen = at.groupBy("form", "doc_id").agg(F.max("held").alias("held")).groupBy("form").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("held").cast("long").alias("held"))
     seen = written(seen.where(F.col("held") * F.col("held") * (F.col("docs") - 1) >= evidence).select("form", "first"), "seen")
-    return at.join(seen, "form").where("doc_id <> first").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return at.join(small(seen), "form").where("doc_id <> first").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
