@@ -3,6 +3,10 @@
 Documents go in; token ids come out. All stages but the last return the columns of `documents`:
 quality (predicted bad documents go), line dedup (lines of recurring templates go, but for their first document),
 near-dedup (one document of each group stays), mixing (documents repeat as often as the mix takes them), encoding.
+
+Rows without a doc_id, or that share one, go through all stages as rows of their own; null and empty texts are scored
+by what they are, have no lines and no words (so the mix leaves them out beyond whole copies), and encode to no tokens;
+long texts are read whole; empty tables stay empty; other columns pass up to the mixing.
 """
 
 from __future__ import annotations
@@ -18,22 +22,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 go; all go or stay alike where their texts are equal."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all but the first document; rows without a doc_id keep theirs."""
     return linededup.line_deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row stays of each group of near copies, the first by doc_id; rows without words all stay."""
     return minhash.distinct_documents(docs, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is repeated as often as the mix takes it, or goes if that is never."""
     return mix.mixed_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests and ids of every row."""
     return bpe.encoded(docs, *byte_bpe(), with_ids=True, chars=3_000_000, kept=150_000)
 
 
