@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import written
 
 _digit = re.compile(r"\d")
 
@@ -172,11 +172,11 @@ def repeated_lines(docs: DataFrame, depth: int = 3, same: float = 0.6, agree: fl
     """
     lines = written(parsed_lines(docs, depth), "lines")
     forms = line_forms(lines, depth, same, agree)
-    at = lines.select("doc_id", "line", "n", "own").join(small(forms), "own", "left")
+    at = lines.select("doc_id", "line", "n", "own").join(forms.hint("merge"), "own", "left")
     at = written(at.select("doc_id", "line", F.coalesce("held", "n").alias("held"), F.coalesce("form", "own").alias("form")), "forms")
     seen = at.groupBy("form", "doc_id").agg(F.max("held").alias("held")).groupBy("form").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("held").cast("long").alias("held"))
     seen = written(seen.where(F.col("held") * F.col("held") * (F.col("docs") - 1) >= evidence).select("form", "first"), "seen")
-    return at.join(small(seen), "form").where("doc_id <> first").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    return at.join(seen.hint("merge"), "form").where("doc_id <> first").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
