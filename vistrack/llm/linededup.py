@@ -181,7 +181,7 @@ def repeated_lines(docs: DataFrame, depth: int = 3, same: float = 0.6, agree: fl
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """`docs` with `__lines` dropped from the text, and how many lines there were and went as __n, __dropped."""
-    at = docs.join(drop.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    at = docs.join(drop.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")).hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     at = at.withColumn("__parts", F.when(F.col("__lines").isNotNull(), F.split("text", "\n", -1)))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__lines")  # by hashing, so linear in the lines
     kept = F.array_join(F.transform(numbers, lambda i: F.get("__parts", i)), "\n")
