@@ -323,3 +323,15 @@ def test_evidence_has_no_step_and_clean_prose_stays(spark):
         gone = [x for x in text if x not in got[i]]
         assert gone == [x for k, x in lines.items() if i and i < needs[k] and not k % 2]
     assert len(got[100]) >= 1 and len(got[101]) == 10_000
+
+
+@pytest.mark.parametrize("slots", [1, 1 << 20])
+def test_bitmap_keeps_every_row_with_a_key(spark, slots):
+    rng = random.Random(3)
+    values = [rng.randrange(1 << 63) for _ in range(300)] + [0, (1 << 63) - 1]
+    rows = spark.createDataFrame([(v,) for v in values] * 2, "leaf long")
+    keys = spark.createDataFrame([(v,) for v in values[::3]], "leaf long")
+    got = [r["leaf"] for r in linededup.maybe_among(rows, keys, "leaf", slots).collect()]
+    assert all(got.count(v) == 2 for v in values[::3])
+    assert slots == 1 or len(got) == 2 * len(values[::3])
+    assert linededup.maybe_among(rows, keys.limit(0), "leaf", slots).count() == 0

@@ -133,6 +133,18 @@ def templates(lines: DataFrame, same: float, agree: float) -> DataFrame:
     return found.where(F.col("c") >= same * F.col("n")).select("g", "constants")
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame, name: str, slots: int = 1 << 20) -> DataFrame:
+    """`rows` without most of those whose column `name` (long, 0 or more) isn't in `keys`; none that is goes.
+
+    What is broadcast is a bitmap of at most `slots` rows of 64 bits, whatever the number of keys: a thirtieth as many
+    keys as bits let a thirtieth of the other rows pass, and very many let all pass. An exact join is to follow.
+    """
+    slot = F.shiftright(name, 6) % slots
+    bits = keys.groupBy(slot.alias("__slot")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} % 64 as int))")).alias("__bits"))
+    at = rows.join(F.broadcast(bits), slot == F.col("__slot"))
+    return at.where(F.getbit("__bits", F.col(name) % 64) == 1).drop("__slot", "__bits")
+
+
 def line_forms(lines: DataFrame, depth: int, same: float, agree: float) -> DataFrame:
     """own, form, held of the distinct lines that are instances of a template: it, and how many tokens it holds constant.
 
@@ -142,8 +154,9 @@ def line_forms(lines: DataFrame, depth: int, same: float, agree: float) -> DataF
     """
     shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("own").alias("a"), F.max("own").alias("b"))
     shared = written(shared.where("lo < hi and a < b").select("leaf"), "shared")
+    # most lines are alone in their leaf: their tokens are left out before the shuffle
     # by `own` alone, which says the leaf as well, so that the lines of a leaf are dealt anew
-    rest = lines.join(shared, "leaf", "left_semi").groupBy("own").agg(*(F.min(c).alias(c) for c in ("leaf", "sig")), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    rest = maybe_among(lines, shared, "leaf").join(shared, "leaf", "left_semi").groupBy("own").agg(*(F.min(c).alias(c) for c in ("leaf", "sig")), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     rest, found, salt = written(rest.withColumn("g", F.col("leaf")), "distinct"), [], 0
     while True:
         forms = written(templates(rest, same, agree), "templates")
