@@ -154,9 +154,10 @@ def line_forms(lines: DataFrame, depth: int, same: float, agree: float) -> DataF
     """
     shared = lines.groupBy("leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("own").alias("a"), F.max("own").alias("b"))
     shared = written(shared.where("lo < hi and a < b").select("leaf"), "shared")
-    # most lines are alone in their leaf: their tokens are left out before the shuffle
-    # by `own` alone, which says the leaf as well, so that the lines of a leaf are dealt anew
-    rest = maybe_among(lines, shared, "leaf").join(shared, "leaf", "left_semi").groupBy("own").agg(*(F.min(c).alias(c) for c in ("leaf", "sig")), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    # most lines are alone in their leaf: their tokens are left out before the shuffle; by `own` alone, which says the
+    # leaf as well, so that the lines of a leaf are dealt anew
+    rest = maybe_among(lines, shared, "leaf").groupBy("own").agg(*(F.min(c).alias(c) for c in ("leaf", "sig")), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    rest = rest.join(shared, "leaf", "left_semi")
     rest, found, salt = written(rest.withColumn("g", F.col("leaf")), "distinct"), [], 0
     while True:
         forms = written(templates(rest, same, agree), "templates")
