@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, hnsw, kdshard, linededup, merkle, minhash, mix, quality, secrets, urls
+from . import bpe, covertree, hnsw, kdshard, linededup, merkle, minhash, mix, postings, quality, secrets, urls, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,14 @@ def op8_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -130,7 +138,7 @@ def queries() -> dict[str, Query]:
     own = (
         op1_pareto_mix, op2_link_trust, op3_hnsw_near_vectors, op4_neighbour_quality, op5_bpe_merge_replay,
         op6_template_line_dedup, op7_bottom_k_near_dedup, op8_cover_tree_top_k, op9_randomness_battery, op10_kd_shards,
-        op12_octopus_manifest,
+        op11_cholesky_whitening, op12_octopus_manifest, op13_posting_lists,
     )
     return {f.__name__: f for f in own}
 
