@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 CELL_BITS = 4
 
 
@@ -60,6 +62,27 @@ def best_match(pairs: DataFrame, accept: float = 0.88, stop: float = 0.9) -> Dat
     return pairs.where(F.col("ncc") > accept).withColumn("rank", F.row_number().over(order)).where("rank = 1").select("frame_id", "q_id", "kpt_id", "ncc")
 
 
+def claimed(points: DataFrame, r: float, accept: float = 0.88, stop: float = 0.9, predicate: Column | None = None) -> DataFrame:
+    """frame_id, q_id, kpt_id, ncc: what each point (frame_id, kpt_id, u, v, word, patch) that meets `predicate` takes for
+    itself among the next frame's points around its place. `accept` is 0 or more.
+
+    Patches are centred once a point. The range join is on ids and places; pairs of one valid word have their
+    correlation by rule, and only the others are joined to the patches, which no cell list has copied.
+    """
+    from ..plans.state import written
+
+    place = ["frame_id", "kpt_id", "u", "v", "word"]
+    q = (points if predicate is None else points.where(predicate)).select(*place)
+    q = q.select((F.col("frame_id") + 1).alias("frame_id"), *(F.col(c).alias(n) for c, n in (("kpt_id", "q_id"), ("u", "qu"), ("v", "qv"), ("word", "qword"))))
+    same = F.coalesce((F.col("word") == F.col("qword")) & (F.col("word") != 0), F.lit(False))
+    pairs = written(range_join(q, points.select(*place), r).select("frame_id", "q_id", "kpt_id", same.alias("same")), "pairs")
+    units = written(vectors.prepared_patches(points), "patches")
+    two = pairs.where("not same").drop("same").join(units.withColumnRenamed("unit", "a"), "kpt_id").join(units.select(F.col("kpt_id").alias("q_id"), F.col("unit").alias("b")), "q_id")
+    known = pairs.where("same").select("frame_id", "q_id", "kpt_id", F.lit(0.95).alias("ncc"))
+    all_ = vectors.products(two.select("frame_id", "q_id", "kpt_id", "a", "b"), "a", "b", "ncc").unionByName(known)
+    return best_match(all_.withColumn("scan", F.col("kpt_id")), accept, stop)
+
+
 def settle_claims(claims: DataFrame, order: str = "q_id") -> DataFrame:
     """frame_id, q_id, kpt_id: each claim cancels the one before on its target, so the last of an odd number stands."""
     by = Window.partitionBy("frame_id", "kpt_id")

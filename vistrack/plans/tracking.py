@@ -181,9 +181,10 @@ def k5(spark, sf):
     return rounded(track.predict_position(keypoints(spark, sf)).select("kpt_id", "pu", "pv"), "pu", "pv")
 
 
-#: A point's patch is that of its k, with a fifth of another one in it; it is matched to the points of the next frame.
-NCC = f"""with {K}, raw as (select p.*, list_transform(range(1, 65), lambda i: 100 * (cast(a.embedding[i] as double) + 0.2e0 * cast(b.embedding[i] as double))) as patch
- from pts p join embeddings a on a.vec_id = p.k % 20 join embeddings b on b.vec_id = 20 + p.kpt_id % 400), means as (select *, list_sum(patch) / 64 as mean from raw),
+#: A point's patch is put together from two embeddings, by its k and by its id out of all; it is matched to the points of
+#: the next frame.
+NCC = f"""with {K}, many as (select count(*) as n from embeddings), raw as (select p.*, list_transform(range(1, 65), lambda i: 100 * (cast(a.embedding[i] as double) + 0.2e0 * cast(b.embedding[i] as double))) as patch
+ from pts p cross join many join embeddings a on a.vec_id = p.k % n join embeddings b on b.vec_id = p.kpt_id % n), means as (select *, list_sum(patch) / 64 as mean from raw),
 ps as (select *, list_transform(patch, lambda x: x - floor(mean)) as centred, sqrt(greatest(0, list_sum(list_transform(patch, lambda x: x * x)) - 64 * mean * mean)) as sd from means),
 c as (select p.frame_id, q.kpt_id as q_id, p.kpt_id, case when p.word = q.word and p.word <> 0 then 0.95e0 when p.sd < 1 or q.sd < 1 then 0
  else list_sum(list_transform(range(1, 65), lambda i: p.centred[i] * q.centred[i])) / (p.sd * q.sd) end as ncc from ps q join ps p on p.frame_id = q.frame_id + 1
@@ -195,17 +196,16 @@ BEST = NCC + """, b as (select frame_id, q_id, kpt_id, ncc, row_number() over (p
 def with_patches(spark, sf):
     """Keypoints with a patch of 64 numbers."""
     e = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    p = keypoints(spark, sf).join(e.withColumnsRenamed({"vec_id": "va", "e": "a"}), F.col("va") == F.col("k") % 20)
-    p = p.join(e.withColumnsRenamed({"vec_id": "vb", "e": "b"}), F.col("vb") == 20 + F.col("kpt_id") % 400)
+    n = e.count()
+    p = keypoints(spark, sf).repartition("frame_id")  # narrow rows are dealt out before they get wide
+    p = p.join(e.withColumnsRenamed({"vec_id": "va", "e": "a"}), F.col("va") == F.col("k") % n)
+    p = p.join(e.withColumnsRenamed({"vec_id": "vb", "e": "b"}), F.col("vb") == F.col("kpt_id") % n)
     return p.withColumn("patch", F.zip_with("a", "b", lambda x, y: 100 * (x + 0.2 * y))).drop("va", "a", "vb", "b")
 
 
 def claims(spark, sf):
     """The points of a frame and what each takes for itself in the next one, by the correlation of patches."""
-    p = with_patches(spark, sf).select("frame_id", "kpt_id", "u", "v", "word", "patch")
-    q = p.select((F.col("frame_id") + 1).alias("frame_id"), *(F.col(c).alias(n) for c, n in (("kpt_id", "q_id"), ("u", "qu"), ("v", "qv"), ("word", "qword"), ("patch", "qpatch"))))
-    ncc = vectors.patch_ncc(F.col("patch"), F.col("qpatch"), F.col("word"), F.col("qword"))
-    return track.best_match(track.patch_matches(track.range_join(q, p, 20.0), ncc))
+    return track.claimed(with_patches(spark, sf), 20.0)
 
 
 @query("k6_best_ncc_match", BEST + " select frame_id, q_id, kpt_id, round(ncc, 6) as ncc from b where r = 1")
