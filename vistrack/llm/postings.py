@@ -14,7 +14,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, unit_hash, written
@@ -26,6 +26,8 @@ LIST, SHARE, SAMPLE = 512, 16, 65_536
 REPLICAS, BOUNDARY = 3, 1.1
 #: Audited queries; the share of their neighbours that the chosen ratio must reach.
 AUDITED, RECALL = 256, 0.95
+#: Lists of the first wave of a search; by how many times every further wave reaches beyond the one before.
+WAVE = (2, 8)
 #: Vectors and queries that one task compares at a time.
 CHUNK, BLOCK = 4096, 4096
 
@@ -94,10 +96,10 @@ class Lists:
         row, r = np.nonzero(chosen >= 0)
         return row, chosen[row, r], r == 0
 
-    def probes(self, y: np.ndarray, ratio: float, first: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists within `ratio` of each row's nearest, and more until their first places hold `need`
-        vectors. A beam that ends too early is widened."""
-        rows, lists, todo, ef = [], [], np.arange(len(y)), 64
+    def probes(self, y: np.ndarray, ratio: float, first: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, place): the lists within `ratio` of each row's nearest, and more until their first places hold
+        `need` vectors, with their places by distance. A beam that ends too early is widened."""
+        rows, lists, places, todo, ef = [], [], [], np.arange(len(y)), 64
         while len(todo):
             ids, d = self.near(y[todo], min(ef, self.n))
             held = np.where(ids >= 0, first[np.maximum(ids, 0)], 0).cumsum(1)
@@ -106,13 +108,14 @@ class Lists:
             r, c = np.nonzero(want & ~full[:, None])
             rows.append(todo[r])
             lists.append(ids[r, c])
+            places.append(c)
             todo, ef = todo[full], ef * 4
-        return np.concatenate(rows), np.concatenate(lists)
+        return np.concatenate(rows), np.concatenate(lists), np.concatenate(places)
 
 
-def best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of each query's k largest products with rows of another id, ties to the smaller
-    id. A block product picks who is near enough; scores are then summed in one order for every pair."""
+    id; none below the query's `bound`. A block product picks who is near enough; scores are then summed in one order for every pair."""
     rows, cols, scores = [], [], []
     for i in range(0, len(q), 512):
         with np.errstate(all="ignore"):
@@ -122,8 +125,13 @@ def best(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: in
         with np.errstate(all="ignore"):
             slack = 1e-12 * np.linalg.norm(q[i : i + 512], axis=1) * np.linalg.norm(x, axis=1).max()
             least = np.where(np.isfinite(kth) & np.isfinite(slack), kth - slack, -np.inf)
+            if bound is not None:
+                least = np.maximum(least, np.where(np.isfinite(slack), bound[i : i + 512] - slack, -np.inf))
             r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
             exact = (q[i + r] * x[c]).sum(1)
+        if bound is not None:
+            ok = exact >= bound[i + r]
+            r, c, exact = r[ok], c[ok], exact[ok]
         order = np.lexsort((x_id[c], -exact, r))
         r, c, exact = r[order], c[order], exact[order]
         keep = np.arange(len(r)) - np.searchsorted(r, r) < k
@@ -155,19 +163,13 @@ def _search(k: int):
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if q.empty or x.empty:
             return pd.DataFrame({c: [] for c in ("query_id", "qid", "rid", "vec_id", "copies", "score")})
-        r, c, s = best(matrix(q["vector"]), q["vec_id"].to_numpy(), matrix(x["vector"]), x["vec_id"].to_numpy(), k)
+        r, c, s = best(matrix(q["vector"]), q["vec_id"].to_numpy(), matrix(x["vector"]), x["vec_id"].to_numpy(), k, q["bound"].to_numpy())
         q, x = q.iloc[r], x.iloc[c]
         return pd.DataFrame({"query_id": q["vec_id"].to_numpy(), "qid": q["rid"].to_numpy(), "rid": x["rid"].to_numpy(), "vec_id": x["vec_id"].to_numpy(), "copies": x["copies"].to_numpy(), "score": s})
 
     return run
 
 
-def _norm(v: Column) -> Column:
-    """The length of a vector, by its greatest component, so that no square overflows or vanishes."""
-    big = F.array_max(F.transform(v, lambda c: F.abs(c.cast("double"))))
-    return big * F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + F.pow(c.cast("double") / big, F.lit(2.0))))
-
-
 def fine_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and vector of the rows that take part; of vectors of several lengths those of the commonest."""
     x = F.col("vector")
@@ -197,7 +199,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20) -
     numbered = lambda t: t.withColumn("rid", F.monotonically_increasing_id())
     rows = written(numbered(rows.drop("nth")), "rows")
     asked = written(numbered(v.where(queries).dropDuplicates(["vec_id", "vector"])), "asked")
-    size = rows.agg(F.count("*").alias("n"), F.max(_norm(F.col("vector"))).alias("norm")).first()
+    size = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", lambda c: F.abs(c.cast("double"))))).alias("top")).first()
     asks = asked.count()
     if not size["n"] or not asks:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -206,7 +208,8 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20) -
     audit = sampled(asked, "audit", AUDITED / asks)
 
     # the index: centroids from a bounded sample, broadcast with their graph (at most SAMPLE / SHARE of them)
-    most = size["norm"]
+    square = F.aggregate("vector", F.lit(0.0), lambda a, c: a + F.pow(c.cast("double") / size["top"], F.lit(2.0)))  # no overflow
+    most = size["top"] * float(np.sqrt(rows.agg(F.max(square)).first()[0]))
     sample = lifted(matrix(sampled(rows, "sample", SAMPLE / size["n"])["vector"]), most)
     count = int(max(1, min(size["n"] // LIST, len(sample) // SHARE)))
     index = vectors.sparkSession.sparkContext.broadcast(pickle.dumps(Lists(balanced_centroids(sample, count))))
@@ -240,7 +243,8 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20) -
     ratio = float(np.sort(reach.to_numpy())[int(np.ceil(RECALL * len(reach))) - 1]) * (1 + 1e-6) if len(reach) else 1.0
     recall = float((reach <= ratio).mean()) if len(reach) else 1.0
 
-    # the search: lists in chunks, and the queries that look into a list in blocks
+    # the search: lists in chunks, and the queries that look into a list in blocks. Lists are looked into in waves, the
+    # nearest first; what scores below a query's kth so far stays in its task, so that a query gets some k rows a wave
     own = rows.groupBy("vec_id").agg(F.sum("copies").alias("own"))
     need = asked.join(own, "vec_id", "left").withColumn("need", F.coalesce("own", F.lit(0)) + k)
 
@@ -248,22 +252,31 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = 20) -
         lists = pickle.loads(index.value)
         for f in frames:
             if len(f):
-                r, c = lists.probes(lifted_queries(matrix(f["vector"])), ratio, first, f["need"].to_numpy())
-                yield f.iloc[r][["rid", "vec_id", "vector"]].assign(list=c.astype(np.int32))
+                r, c, place = lists.probes(lifted_queries(matrix(f["vector"])), ratio, first, f["need"].to_numpy())
+                wave = np.where(place < WAVE[0], 0, 1 + np.log(np.maximum(1, place / WAVE[0]) * (1 + 1e-9)) // np.log(WAVE[1])).astype(np.int32)
+                yield f.iloc[r][["rid", "vec_id", "vector"]].assign(list=c.astype(np.int32), wave=wave)
 
-    looks = written(need.select("rid", "vec_id", "vector", "need").mapInPandas(probe, f"rid long, vec_id long, vector {kind}, list int"), "looks")
-    parts = written(sizes.join(looks.groupBy("list").agg(F.count("*").alias("asks")), "list").select(
-        "list", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("blocks")), "parts")
+    looks = written(need.select("rid", "vec_id", "vector", "need").mapInPandas(probe, f"rid long, vec_id long, vector {kind}, list int, wave int"), "looks")
     part = lambda n, salt: F.pmod(spread("rid", salt), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     by = ["list", "chunk", "block"]
-    x = members.join(small(parts), "list").select("list", part("chunks", "chunk").alias("chunk"), every("blocks").alias("block"), "rid", "vec_id", "copies", "vector")
-    y = looks.join(small(parts), "list").select("list", part("blocks", "block").alias("block"), every("chunks").alias("chunk"), "rid", "vec_id", "vector")
-    found = y.groupBy(*by).cogroup(x.groupBy(*by)).applyInPandas(_search(k), "query_id long, qid long, rid long, vec_id long, copies int, score double")
-
-    once = found.groupBy("qid", "rid").agg(*(F.first(c).alias(c) for c in ("query_id", "vec_id", "copies", "score")))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "rid")
-    ranked = once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-    ranked = ranked.withColumn("from", F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("from") < k)
+    kept = None
+    for wave in range((looks.agg(F.max("wave")).first()[0] or 0) + 1):
+        now = looks.where(F.col("wave") == wave)
+        if kept is None:
+            now = now.withColumn("bound", F.lit(float("-inf")))
+        else:  # the kth score so far
+            bound = kept.where(F.col("nth") == k).select(F.col("qid").alias("rid"), F.col("score").alias("bound"))
+            now = now.join(bound, "rid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        parts = sizes.join(now.groupBy("list").agg(F.count("*").alias("asks")), "list")
+        parts = small(written(parts.select("list", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("blocks")), "parts"))
+        x = members.join(parts, "list").select("list", part("chunks", "chunk").alias("chunk"), every("blocks").alias("block"), "rid", "vec_id", "copies", "vector")
+        y = now.join(parts, "list").select("list", part("blocks", "block").alias("block"), every("chunks").alias("chunk"), "rid", "vec_id", "vector", "bound")
+        found = y.groupBy(*by).cogroup(x.groupBy(*by)).applyInPandas(_search(k), "query_id long, qid long, rid long, vec_id long, copies int, score double")
+        found = found if kept is None else kept.select(found.columns).unionByName(found)
+        once = found.groupBy("qid", "rid").agg(*(F.first(c).alias(c) for c in ("query_id", "vec_id", "copies", "score")))
+        kept = written(once.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k), f"wave{wave}")
+    ranked = kept.withColumn("from", F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("from") < k)
     rank = F.explode(F.sequence((F.col("from") + 1).cast("int"), F.least(F.col("from") + F.col("copies"), F.lit(k)).cast("int"))).alias("rank")
     return ranked.select("query_id", rank, "vec_id", "score", F.lit(recall).alias("recall"))
