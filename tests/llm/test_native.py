@@ -225,6 +225,29 @@ def test_kd_shards_edges(spark):
     assert kdshard.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_kd_shards_of_equal_rows(spark):
+    """A third of all rows are one row, with an id or without: they are spread like any others."""
+    for i in (None, 7):
+        rows = [(i, "same text", "en", "s0")] * 600 + [(k + 100, "t" * (k * 37 % 90), "de", f"s{k % 7}") for k in range(1200)]
+        got = kdshard.shard_documents(docs(spark, rows)).toPandas()
+        by = got.groupby("shard")["size"].sum()
+        assert sorted(by.index) == list(range(24)) and by.max() - by.min() <= 0.1 * by.mean()
+        assert got.groupby("shard")["slot"].apply(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
+def test_mix_draws_rows_without_an_id_one_by_one(spark):
+    """The sample isn't by size within a class: of equal rows without an id some are taken and some aren't."""
+    rows = [(None, "w " * (8 + k % 2), "en", "a") for k in range(600)] + [(k, "w " * 9, "en", "b") for k in range(300)]
+    got = mix.pareto_mix(docs(spark, rows)).toPandas()
+    for _, own in got.groupby("source_size"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 3 * own["size"].max()
+    mine = got[got["doc_id"].isna()].groupby("size")["copies"]
+    assert (mine.nunique() == 2).all()
+    again = mix.pareto_mix(docs(spark, rows[::-1])).toPandas()
+    key = lambda t: sorted(map(tuple, t[["doc_id", "size", "copies"]].fillna(-1).astype(int).to_numpy().tolist()))
+    assert key(got) == key(again)
+
+
 PAGES = "page_id long, url string, html string, host string"
 
 

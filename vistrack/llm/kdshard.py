@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered as dense
 from .common import unit_hash, written
 
 LAW, NOWHERE = "bytes", 1e300
@@ -154,17 +155,22 @@ def shard_documents(docs: DataFrame, shards: int = 24, chunks: int = 256, extra:
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: only the law `key` has one), one row per
     input row. A null text has no bytes and checksum 0; null source or lang is a value of its own kind; equal rows
-    get different slots; an empty table gives an empty result; other columns are not looked at.
+    are spread like any others and get different slots; an empty table gives an empty result; other columns are not looked at.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", "lang",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-    ).withColumn("tie", (F.floor(F.col("text_crc32") / 65536.0) + unit_hash(F.coalesce("doc_id", F.lit(0)), "text_crc32")) / 65536.0)
+    )
+    # equal rows have numbers, so that no group of them is an atom
+    base = written(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    base = dense(base, ["doc_id", "text_crc32"], ["source", "lang", "row"], "nth").drop("row")
+    own = F.when(F.col("nth") == 0, unit_hash(F.coalesce("doc_id", F.lit(0)), "text_crc32")).otherwise(unit_hash(F.coalesce("doc_id", F.lit(0)), "text_crc32", "nth"))
+    base = base.withColumn("tie", (F.floor(F.col("text_crc32") / 65536.0) + own) / 65536.0)
     dims = document_dimensions() | dict(extra or {})
-    base = written(base.withColumns(dims).select("doc_id", "size", "text_crc32", *dims), "kd")
-    out = kd_partition(base, "size", list(dims), shards).select("doc_id", "size", "text_crc32", "shard")
-    return numbered(out, "shard", ["doc_id", "text_crc32"], chunks).select(
+    base = written(base.withColumns(dims).select("doc_id", "size", "text_crc32", "nth", *dims), "kd")
+    out = kd_partition(base, "size", list(dims), shards).select("doc_id", "size", "text_crc32", "nth", "shard")
+    return numbered(out, "shard", ["doc_id", "text_crc32", "nth"], chunks).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

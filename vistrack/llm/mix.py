@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .common import WORD, small, unit_hash, written
 
 EVERYTHING = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -44,14 +45,16 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     Returns doc_id, size, source_size, target, copies, taken (copies x size) and the columns `carry` of the documents,
     one row per input row. Sources are
     ordered by code point, null last, and weigh `weights` in turn. A null or empty text has size 0 and is never
-    taken beyond the whole copies; rows with one doc_id share their random number, equal rows are ordered at will
-    (they are the same row); an empty table gives an empty result; columns other than doc_id, source and text are
-    not looked at (those of `carry` are passed on). The random number depends on doc_id and seed alone, so reruns agree.
+    taken beyond the whole copies; rows that share a doc_id, or have none, are numbered by source and size and draw
+    one by one; an empty table gives an empty result; columns other than doc_id, source and text are
+    not looked at (those of `carry` are passed on). The random number depends on doc_id, that number and the seed alone, so reruns agree.
 
     The ranks are cut at a bucket of ranks found from (source, bucket) sums, and only the documents of the one
     bucket at the boundary are sorted: no source is ever gathered in one task.
     """
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *carry), "sizes")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *carry)
+    sized = written(sized.withColumn("row__", F.monotonically_increasing_id()), "sizes")
+    sized = written(numbered(sized, ["doc_id"], ["source", "size", "row__"], "nth__").drop("row__"), "numbered")
     targets = source_targets(sized, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("whole", F.floor(ratio).cast("int")).withColumn(
@@ -77,7 +80,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     strata = written(strata, "strata")
 
     # Pareto ranks, as q / (1 + q) in [0, 1).
-    u = unit_hash("doc_id", F.lit(seed))
+    u = F.when(F.col("nth__") == 0, unit_hash("doc_id", F.lit(seed))).otherwise(unit_hash("doc_id", "nth__", F.lit(seed)))
     q = (u / (1 - u)) * (1 - F.col("p")) / F.col("p")
     ranked = (
         sized.join(small(strata), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("k")), "left")
@@ -98,7 +101,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     edge = written(edge, "edge")
     ranked = ranked.join(small(edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at_edge = F.col("bucket") == F.col("edge")
-    run = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("source").orderBy("rank", "doc_id", "nth__").rowsBetween(Window.unboundedPreceding, 0)
     cut = ranked.where(at_edge).withColumn("mid", F.sum("size").over(run) - F.col("size") / 2.0)
     picked = ranked.where(~F.coalesce(at_edge, F.lit(False))).withColumn("mid", F.lit(None).cast("double")).unionByName(cut)
     sampled = F.when(F.col("p") >= 1, 1).when(F.col("rank").isNull(), 0).when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1)
