@@ -257,3 +257,115 @@ def test_files(spark, tmp_path):
     m = np.random.default_rng(0).normal(size=(4, 5))
     tables.write_matrix(spark, m, str(tmp_path / "m"))
     assert np.array_equal(tables.read_matrix(spark, str(tmp_path / "m"), 3), m[:3])
+
+
+def test_two_forms_of_ncc_agree(spark):
+    from vistrack.operators import track
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(100, 30, (40, 64))
+    x[7], x[8] = 5.0, x[6] * 1.01  # a flat patch, and a near copy
+    rows = [(i // 20, i, 10.0, 10.0, 0, x[i].tolist()) for i in range(40)]
+    p = spark.createDataFrame(rows, "frame_id long, kpt_id long, u double, v double, word long, patch array<double>")
+    got = {(r.q_id, r.kpt_id): r.ncc for r in track.claimed(p, 20.0, accept=0.0, stop=2.0).collect()}
+    q = p.where("frame_id = 0").select(F.col("kpt_id").alias("q_id"), F.col("patch").alias("other"))
+    both = q.crossJoin(p.where("frame_id = 1")).select("q_id", "kpt_id", vectors.patch_ncc(F.col("patch"), F.col("other")).alias("ncc")).collect()
+    best = {}
+    for r in both:
+        if r.ncc > best.get(r.q_id, (0.0, 0))[0]:
+            best[r.q_id] = (r.ncc, r.kpt_id)
+    assert {k for k, _ in got} == set(best) and 7 not in best
+    assert all(best[a] == (pytest.approx(n, abs=1e-12), b) for (a, b), n in got.items())
+
+
+def test_signatures_turn_with_the_patch():
+    rng = np.random.default_rng(9)
+    patches = np.full((30, 16, 16), 50.0)
+    for p in patches:  # blobs around the middle (7, 7), which has no zone of its own; nothing there or at the rim
+        for _ in range(4):
+            y, x = 7, 7
+            while max(abs(y - 7), abs(x - 7)) < 3:
+                y, x = rng.integers(3, 12, 2)
+            p[y - 1 : y + 2, x - 1 : x + 2] += rng.uniform(20, 150)
+    turned = patches.copy()
+    turned[:, :15, :15] = np.rot90(patches[:, :15, :15], -1, (1, 2))
+    h, g = vectors.orientation_histograms(patches), vectors.orientation_histograms(turned)
+    assert np.allclose(np.roll(np.roll(h, 1, 1), 4, 2), g)  # a quarter turn is one zone and four orientations
+    a, b = vectors.dominant_orientations(h), vectors.dominant_orientations(g)
+    assert np.allclose(np.mod(b - a, 2 * np.pi), np.pi / 2)
+    s = vectors.binary_signatures(h, a)
+    assert (s == vectors.binary_signatures(g, b)).all() and len(set(s.tolist())) > 10
+
+
+def test_orientation_weights_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    p = rng.uniform(0, 255, (16, 16))
+    want = np.zeros((4, 16))
+    for y in range(1, 15):
+        for x in range(1, 15):
+            gx, gy = (p[y, x + 1] - p[y, x - 1]) / 2, (p[y + 1, x] - p[y - 1, x]) / 2
+            o = math.atan2(gy, gx) / (2 * math.pi) * 16 % 16
+            r4 = (4 * ((x - 7) ** 2 + (y - 7) ** 2) / 256) ** 2
+            turn = math.atan2(y - 7, x - 7) / (2 * math.pi) * 4 % 4
+            z, d = int(turn), abs(turn - int(turn) - 0.5) * 2
+            other = z - 1 if turn - z < 0.5 else z + 1
+            for zone, w in ((z, math.exp(-1.5 * d**4)), (other % 4, math.exp(-1.5 * (1 - d) ** 4))):
+                for b, part in ((int(o) % 16, 1 - o % 1), ((int(o) + 1) % 16, o % 1)):
+                    want[zone, b] += math.hypot(gx, gy) * math.exp(-1.8 * r4) * w * part
+    assert np.allclose(vectors.orientation_histograms(p[None])[0], want)
+
+
+def test_equalised_patches(spark):
+    rows = [(1, [0.0, 0.0, 255.0, 300.0]), (2, None), (3, []), (4, [9.0, 1.0])]
+    d = spark.createDataFrame(rows, "id long, p array<double>")
+    got = {r.id: r.e for r in d.select("id", vectors.equalise_patch(F.col("p")).alias("e")).collect()}
+    assert got[2] is None and got[3] == [] and got[4] == [1.0, 127 / 255] and got[1] == [127 / 255, 127 / 255, 1.0, 1.0]
+
+
+def test_least_median_survives_nearly_half_outliers(spark):
+    from vistrack.operators import match
+
+    rng = np.random.default_rng(8)
+    n, wrong = 100, 45
+    x = np.c_[rng.uniform(-2, 2, (n, 2)), rng.uniform(4, 8, n)]  # points seen by two cameras
+    turn = np.array([[np.cos(0.1), 0, np.sin(0.1)], [0, 1, 0], [-np.sin(0.1), 0, np.cos(0.1)]])
+    a, b = x, x @ turn.T + [1.0, 0.2, 0.1]
+    a, b = (500 * p[:, :2] / p[:, 2:] + 320 for p in (a, b))
+    b[:wrong] = rng.uniform(0, 640, (wrong, 2))
+    rows = [(1, 2, i, i, 100.0 if i % 2 else 1.0, *map(float, (*a[i], *b[i]))) for i in range(n)]
+    pairs = spark.createDataFrame(rows, "frame_id long, obj_id long, seq long, kpt_id long, weight double, ox double, oy double, fx double, fy double")
+    got = match.verify_fundamental(pairs).collect()
+    assert len(got) == 1
+    d = match.epipolar_distances(np.array(got[0].f).reshape(1, 3, 3).transpose(0, 2, 1), a[wrong:], b[wrong:])
+    assert np.median(d) < 1e-3 and got[0].support >= n - wrong - 1
+    assert match.verify_fundamental(pairs.where("seq < 15")).count() == 0
+
+
+def test_kalman_starts_anew_after_a_gap(spark):
+    from vistrack.operators import events
+
+    p = [(1, f, [0.0, 0.0, 0.0, float(f), 2.0 * f, 0.0]) for f in (1, 2, 3, 4, 8, 9)]
+    got = {r.frame_id: r.x for r in events.kalman(spark.createDataFrame(p, "obj_id long, frame_id long, pose array<double>")).collect()}
+    assert len(got) == 6 and got[1] == p[0][2] and got[8] == p[4][2] and got[9][3] == 8.0
+
+
+def test_consensus_over_tables_equals_the_form_in_one_group(spark):
+    from vistrack.operators import match
+
+    rng, rows = np.random.default_rng(6), []
+    for g, n in enumerate((4, 5, 40, 3000)):
+        a = rng.uniform(0, 400, (n, 2))
+        h = np.array([[1.02, 0.01 * g, 5], [-0.02, 0.98, 3], [1e-5, 2e-5, 1]])
+        p = np.c_[a, np.ones(n)] @ h.T
+        b = p[:, :2] / p[:, 2:] + rng.normal(0, 0.2, (n, 2))
+        b[rng.permutation(n)[: n // 3]] += 90
+        rows += [(1, g, k + 1, *map(float, (*a[k], *b[k]))) for k in range(n)]
+    pairs = spark.createDataFrame(rows, "frame_id long, obj_id long, seq long, ox double, oy double, fx double, fy double")
+    for stop in (50.0, 1e9):
+        got = {r.obj_id: r for r in match.consensus_homographies(pairs, 60, 3.0, stop, chunk=500).collect()}
+        assert set(got) == {1, 2, 3} or set(got) == {2, 3}
+        for g, r in got.items():
+            own = np.array([x[3:] for x in rows if x[1] == g])
+            h, support, inliers = match.ransac(own[:, :2], own[:, 2:], 60, 3.0, stop, match.group_seed((1, g)))
+            assert r.support == pytest.approx(support) and np.allclose(r.h, h) and (r.n, r.inliers) == (len(own), inliers.sum())
+    assert got[3].inliers > 1900

@@ -83,15 +83,24 @@ def patch_ncc(a: Column, b: Column, word_a: Column | None = None, word_b: Column
     return ncc if word_a is None else F.when((word_a == word_b) & (word_a != 0), 0.95).otherwise(ncc)
 
 
+#: Fixed values of the soft weights: how fast they fall with the fourth power of the distance from the middle (7, 7), in
+#: half patches, and of the angle from a sector's middle, in half sectors.
+RADIAL, SECTOR = 1.8, 1.5
+
+
 @lru_cache(1)
 def _patch_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per pixel: weight of each of the four zones, bilinear between their centres; and the radial weight."""
-    at = np.arange(SIDE) - (SIDE - 1) / 2
-    near = np.clip(0.5 - at / (SIDE / 2), 0, 1)
-    u, v = np.meshgrid(near, near)
-    zones = np.stack([u * v, (1 - u) * v, u * (1 - v), (1 - u) * (1 - v)])
+    """Per pixel: weight of each of the four zones, which are the quarter turns around the middle; a pixel counts for
+    its own and the nearer one beside it. And the radial weight."""
+    at = np.arange(SIDE) - (SIDE / 2 - 1)
     x, y = np.meshgrid(at, at)
-    return zones, np.exp(-(x * x + y * y) / (2 * (SIDE / 2.5) ** 2))
+    turn = np.mod(np.arctan2(y, x) / (2 * np.pi) * ZONES, ZONES)
+    own = np.floor(turn).astype(int) % ZONES
+    off = 2 * (turn - np.floor(turn) - 0.5)  # from -1 to 1 across a sector
+    beside = np.where(off < 0, own - 1, own + 1) % ZONES
+    fall = lambda d: np.exp(-SECTOR * d**4)
+    zones = np.stack([np.where(own == z, fall(np.abs(off)), 0) + np.where(beside == z, fall(1 - np.abs(off)), 0) for z in range(ZONES)])
+    return zones, np.exp(-RADIAL * ((x * x + y * y) / (SIDE / 2) ** 2) ** 2)
 
 
 def orientation_histograms(patches: np.ndarray) -> np.ndarray:
@@ -131,12 +140,11 @@ def _tests() -> np.ndarray:
 
 
 def binary_signatures(histograms: np.ndarray, angle: np.ndarray) -> np.ndarray:
-    """16 bits: bit i is set if the i-th tested cell, its orientation turned by the dominant one, is above 1/64 of the
-    total. Usable as a blocking key."""
+    """16 bits: bit i is set if the i-th tested cell, its zone and orientation turned by the dominant one, is above 1/64
+    of the total; so a turned patch has the same bits. Usable as a blocking key."""
     cell = _tests()
-    turn = np.floor(angle * ORIENTATIONS / (2 * np.pi)).astype(int)
-    zone, o = cell // ORIENTATIONS, (cell % ORIENTATIONS + turn[:, None]) % ORIENTATIONS
-    value = histograms[np.arange(len(histograms))[:, None], zone[None, :], o]
+    turned = lambda i, n: (i + np.floor(angle * n / (2 * np.pi)).astype(int)[:, None]) % n
+    value = histograms[np.arange(len(histograms))[:, None], turned(cell // ORIENTATIONS, ZONES), turned(cell % ORIENTATIONS, ORIENTATIONS)]
     return ((value > histograms.sum((1, 2))[:, None] / 64) << np.arange(16)).sum(1)
 
 
@@ -152,17 +160,25 @@ def described_patches(rows: DataFrame, key: str = "id", column: str = "patch") -
     return rows.select(key, column).mapInPandas(run, f"{key} long, histo array<double>, total double, orientation double, signature int")
 
 
-def equalise_patch(patch: Column) -> Column:
-    """Histogram equalisation of values in 0..255, over 255."""
+def equalised(x: np.ndarray) -> np.ndarray:
+    """Rows of values in 0..255 as their rank among the row's, 0 to 1 in steps of 1/255."""
+    x = np.clip(x, 0, 255).astype(int)
+    n, d = x.shape
+    counts = np.bincount((x + 256 * np.arange(n)[:, None]).ravel(), minlength=256 * n).reshape(n, 256)
+    return np.floor(np.take_along_axis(counts.cumsum(1), x, 1) * 255 / max(d, 1)) / 255
 
-    def one(p: np.ndarray) -> list[float]:
-        x = np.clip(np.asarray(p, float), 0, 255).astype(int)
-        rank = np.cumsum(np.bincount(x, minlength=256))
-        return (np.floor(rank[x] * 255 / len(x)) / 255).tolist() if len(x) else []
+
+def equalise_patch(patch: Column) -> Column:
+    """Histogram equalisation of values in 0..255, over 255; null stays null. Patches of one size go through at once."""
 
     @F.pandas_udf("array<double>")
     def run(p: pd.Series) -> pd.Series:
-        return p.map(one)
+        out = pd.Series([None] * len(p), index=p.index, dtype=object)
+        size = p.map(len, na_action="ignore")
+        for n in size.dropna().unique():
+            at = p.index[size == n]
+            out.loc[at] = pd.Series(list(equalised(np.array(p.loc[at].tolist(), float).reshape(len(at), int(n)))), index=at)
+        return out
 
     return run(patch)
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+
 
 def _life(*order: str):
     return Window.partitionBy("obj_id").orderBy(*(order or ("t",)))
@@ -61,6 +63,15 @@ def speeds(detections: DataFrame, max_frames: int = 10, *order: str) -> DataFram
     return detections.withColumns({"vx": v("x"), "vy": v("y")})
 
 
+def target_speeds(detections: DataFrame, x: Column, y: Column, max_frames: int = 10, *order: str) -> DataFrame:
+    """Adds px, py, vx, vy to (obj_id, frame_id, t, h): where the object's point (x, y) is on the frame by its map h, and
+    how fast it moves there since the detection before, under that one's own map; limits as in speeds()."""
+    px, py = geometry.apply_homography(F.col("h"), x, y)
+    at = detections.withColumns({"px": px, "py": py})
+    s = speeds(at.withColumns({"__x": F.col("px"), "__y": F.col("py")}).withColumnsRenamed({c: f"__{c}0" for c in ("x", "y") if c in at.columns}).withColumnsRenamed({"__x": "x", "__y": "y"}), max_frames, *order)
+    return s.drop("x", "y").withColumnsRenamed({f"__{c}0": c for c in ("x", "y") if c in at.columns})
+
+
 def motion_state(vx: Column, vy: Column, least: float = 150.0) -> Column:
     """right, left, down, up or none, in that order of precedence."""
     return F.when(vx > least, "right").when(vx < -least, "left").when(vy > least, "down").when(vy < -least, "up").otherwise("none")
@@ -85,7 +96,8 @@ def smoothed(poses: DataFrame, columns: list[str], alpha: float = 0.4) -> DataFr
 
 
 def kalman(poses: DataFrame, corrected: bool = False) -> DataFrame:
-    """obj_id, frame_id, x (array of 6): a constant-velocity filter of six pose numbers over each obj_id's frames.
+    """obj_id, frame_id, x (array of 6): a constant-velocity filter of six pose numbers over each obj_id's frames, started
+    anew where the object was absent on the frame before. A task holds one session.
 
     Emits the state predicted for each frame (the first frame: its measurement), or the corrected one. Process noise
     is 1 but 1e-7 for the first three numbers, measurement noise 10 but 1 for those.
@@ -108,7 +120,8 @@ def kalman(poses: DataFrame, corrected: bool = False) -> DataFrame:
             out.append((x[:6] if corrected else guess).tolist())
         return pd.DataFrame({"obj_id": key[0], "frame_id": f["frame_id"], "x": out})
 
-    return poses.select("obj_id", "frame_id", "pose").groupBy("obj_id").applyInPandas(run, "obj_id long, frame_id long, x array<double>")
+    s = with_sessions(poses.select("obj_id", "frame_id", "pose").withColumn("t", F.col("frame_id")), 1, "frame_id").drop("t")
+    return s.groupBy("obj_id", "session").applyInPandas(run, "obj_id long, frame_id long, x array<double>")
 
 
 def windowed_counts(rows: DataFrame, t_us: Column, width_us: int = 500_000) -> DataFrame:

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import homography_from_points
+from ..functions.geometry import homography_from_points, is_reprojection_inlier
+from ..plans.state import written
 from . import track
 
 
@@ -65,28 +66,40 @@ def order_for_sampling(pairs: DataFrame, visible: DataFrame) -> DataFrame:
     return at.withColumn("seq", F.row_number().over(order).cast("long")).drop("was")
 
 
-def ransac(a: np.ndarray, b: np.ndarray, iterations: int, threshold: float, stop: float, seed: int, batch: int = 64) -> tuple[np.ndarray | None, float, np.ndarray]:
-    """(h, support, inliers) of the best of `iterations` maps from four pairs each.
+#: Maps that an iteration tries, and maps that are drawn at a time.
+MAPS, BATCH = 4, 64
 
-    Pairs come best first: iteration i draws from the first min(6 + i, n). Support sums 1 - 0.1 d2 / t2 over the
-    inliers; drawing ends once it reaches `stop`.
-    """
-    n, rng = len(a), np.random.default_rng(seed)
-    best, top, inliers = None, 0.0, np.zeros(n, bool)
-    if n < 5:
-        return best, top, inliers
-    one = np.concatenate([a, np.ones((n, 1))], 1)
-    for i in range(0, iterations, batch):
-        m = min(batch, iterations - i)
-        size = np.minimum(6 + np.arange(i, i + m), n)
+
+def drawn_maps(a: np.ndarray, b: np.ndarray, iterations: int, seed: int, batch: int = BATCH):
+    """Batches (batch, 9) of maps from four pairs each: MAPS for each iteration, of which number i draws from the first
+    min(6 + i, n) pairs. What lies beyond the first 6 + `iterations` pairs is never drawn."""
+    n, rng = min(len(a), 6 + iterations), np.random.default_rng(seed)
+    for i in range(0, MAPS * iterations, batch):
+        m = min(batch, MAPS * iterations - i)
+        size = np.minimum(6 + np.arange(i, i + m) // MAPS, n)
         draw = np.where(np.arange(n) < size[:, None], rng.random((m, n)), 2).argsort(1)[:, :4]
-        h = homography_from_points(a[draw], b[draw])
-        with np.errstate(all="ignore"):
-            p = np.nan_to_num(h).reshape(m, 3, 3) @ one.T
-            d2 = ((p[:, :2] / p[:, 2:] - b.T) ** 2).sum(1)
-        near = d2 < threshold * threshold
-        support = np.where(near, 1 - 0.1 * d2 / threshold**2, 0).sum(1)
-        support[np.isnan(h).any(1)] = 0
+        yield homography_from_points(a[draw], b[draw])
+
+
+def supports(h: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each map's support, the sum of 1 - 0.1 d2 / t2 over its inliers, and who these are (maps, pairs)."""
+    with np.errstate(all="ignore"):
+        p = np.nan_to_num(h).reshape(-1, 3, 3) @ np.c_[a, np.ones(len(a))].T
+        d2 = ((p[:, :2] / p[:, 2:] - b.T) ** 2).sum(1)
+    near = d2 < threshold * threshold
+    support = np.where(near, 1 - 0.1 * d2 / threshold**2, 0).sum(1)
+    support[np.isnan(h).any(1)] = 0
+    return support, near
+
+
+def ransac(a: np.ndarray, b: np.ndarray, iterations: int, threshold: float, stop: float, seed: int) -> tuple[np.ndarray | None, float, np.ndarray]:
+    """(h, support, inliers) of the best of drawn_maps(), for pairs that come best first; drawing ends with the batch in
+    which the support reaches `stop`."""
+    best, top, inliers = None, 0.0, np.zeros(len(a), bool)
+    if len(a) < 5:
+        return best, top, inliers
+    for h in drawn_maps(a, b, iterations, seed):
+        support, near = supports(h, a, b, threshold)
         k = int(support.argmax())
         if support[k] > top:
             best, top, inliers = h[k], float(support[k]), near[k]
@@ -95,6 +108,47 @@ def ransac(a: np.ndarray, b: np.ndarray, iterations: int, threshold: float, stop
     return best, top, inliers
 
 
+def group_seed(key: tuple) -> int:
+    return abs(hash(tuple(int(k) for k in key))) % 2**32
+
+
+def consensus_homographies(pairs: DataFrame, iterations: int = 1000, threshold: float = 3.0, stop: float = 50.0, chunk: int = 8192) -> DataFrame:
+    """frame_id, obj_id, support, inliers, n, h: what ransac() finds in each group of pairs (frame_id, obj_id, seq from 1,
+    ox, oy, fx, fy), for groups of any size; none with fewer than five pairs.
+
+    Maps are drawn from the few pairs at the head of a group. Their supports are sums over all pairs, so each chunk of a
+    group is held against all maps in a task of its own and sends a sum for each; the best map is then found among
+    sums, and its inliers counted where the pairs lie.
+    """
+    key = ["frame_id", "obj_id"]
+    sizes = pairs.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 5")
+
+    def draw(k: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq")
+        maps = np.concatenate(list(drawn_maps(f[["ox", "oy"]].to_numpy(float), f[["fx", "fy"]].to_numpy(float), iterations, group_seed(k)))) if len(f) >= 5 else np.zeros((0, 9))
+        return pd.DataFrame({"frame_id": [k[0]], "obj_id": [k[1]], "maps": [maps.ravel()]})
+
+    def held(f: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if f.empty or m.empty:
+            return pd.DataFrame(columns=["frame_id", "obj_id", "supports"])
+        h, a, b = m["maps"].iloc[0].reshape(-1, 9), f[["ox", "oy"]].to_numpy(float), f[["fx", "fy"]].to_numpy(float)
+        s = np.concatenate([supports(h[i : i + BATCH], a, b, threshold)[0] for i in range(0, len(h), BATCH)])
+        return pd.DataFrame({"frame_id": f["frame_id"].iloc[:1], "obj_id": f["obj_id"].iloc[:1], "supports": [s]})
+
+    maps = written(pairs.where(F.col("seq") <= 6 + iterations).groupBy(*key).applyInPandas(draw, "frame_id long, obj_id long, maps array<double>"), "maps")
+    each = maps.join(sizes, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk)))).drop("n")
+    rows = pairs.select(*key, F.floor((F.col("seq") - 1) / chunk).alias("chunk"), "ox", "oy", "fx", "fy")
+    parts = rows.groupBy(*key, "chunk").cogroup(each.groupBy(*key, "chunk")).applyInPandas(held, "frame_id long, obj_id long, supports array<double>")
+    sums = parts.select(*key, F.posexplode("supports").alias("map", "s")).groupBy(*key, "map").agg(F.sum("s").alias("support"))
+    end = F.min(F.when(F.col("support") >= stop, F.floor(F.col("map") / BATCH))).over(Window.partitionBy(*key))
+    tried = sums.withColumn("end", end).where(F.col("end").isNull() | (F.floor(F.col("map") / BATCH) <= F.col("end")))
+    top = tried.groupBy(*key).agg(F.max(F.struct("support", (-F.col("map")).alias("m"))).alias("b")).where("b.support > 0")
+    best = maps.join(top, key).join(sizes, key).select(*key, F.col("b.support").alias("support"), "n", F.slice("maps", (1 - F.col("b.m") * 9).cast("int"), 9).alias("h"))
+    best = written(best, "best")
+    hit = pairs.join(best.select(*key, "h"), key).where(is_reprojection_inlier(F.col("h"), *(F.col(c) for c in ("ox", "oy", "fx", "fy")), threshold))
+    return best.join(hit.groupBy(*key).agg(F.count("*").alias("inliers")), key).select(*key, "support", "inliers", "n", "h")
+
+
 def _plausible(h: np.ndarray) -> bool:
     c = np.array([(0, 0, 1), (200, 0, 1), (200, 200, 1), (0, 200, 1)], float) @ h.reshape(3, 3).T
     with np.errstate(all="ignore"):
@@ -120,7 +174,7 @@ def verify_homography(pairs: DataFrame, threshold: float = 3.0, min_pairs: int =
         a, b = f[["ox", "oy"]].to_numpy(float), f[["fx", "fy"]].to_numpy(float)
         kept = int((f["weight"] >= 100).sum())
         iterations, stop = (200, max(30, kept + 2)) if kept >= 10 else (1000, 50)
-        h, support, inliers = ransac(a, b, iterations, threshold, stop, abs(hash(tuple(int(k) for k in key))) % 2**32)
+        h, support, inliers = ransac(a, b, iterations, threshold, stop, group_seed(key))
         if h is None or support < min_support or not _plausible(h):
             return none
         one = np.concatenate([a, np.ones((len(a), 1))], 1)
@@ -142,43 +196,65 @@ def verify_homography(pairs: DataFrame, threshold: float = 3.0, min_pairs: int =
     return pairs.groupBy("frame_id", "obj_id").applyInPandas(run, "frame_id long, obj_id long, support int, h array<double>, kpts array<long>")
 
 
-def fundamental_from_points(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """The normalised eight-point F with b' F a = 0."""
+def fundamentals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The normalised eight-point F (m, 3, 3) with b' F a = 0 of m stacks of points (m, k, 2); NaN where there is none."""
 
     def scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mid = p.mean(0)
-        s = np.sqrt(2) / max(np.sqrt(((p - mid) ** 2).sum(1)).mean(), 1e-12)
-        t = np.array([[s, 0, -s * mid[0]], [0, s, -s * mid[1]], [0, 0, 1]])
-        return np.c_[p, np.ones(len(p))] @ t.T, t
+        mid = p.mean(1, keepdims=True)
+        s = np.sqrt(2) / np.maximum(np.sqrt(((p - mid) ** 2).sum(2)).mean(1), 1e-12)
+        t = np.zeros((len(p), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = s
+        t[:, :2, 2], t[:, 2, 2] = -s[:, None] * mid[:, 0], 1
+        return np.concatenate([p, np.ones((*p.shape[:2], 1))], 2) @ t.transpose(0, 2, 1), t
 
     (p, tp), (q, tq) = scaled(a), scaled(b)
-    _, _, vt = np.linalg.svd((q[:, :, None] * p[:, None, :]).reshape(len(p), 9))
-    u, s, v = np.linalg.svd(vt[-1].reshape(3, 3))
-    f = tq.T @ (u @ np.diag([s[0], s[1], 0]) @ v) @ tp
-    return f if np.isfinite(f).all() else None
+    _, _, vt = np.linalg.svd((q[..., :, None] * p[..., None, :]).reshape(*p.shape[:2], 9))
+    u, s, v = np.linalg.svd(vt[:, -1].reshape(-1, 3, 3))
+    s[:, 2] = 0
+    return tq.transpose(0, 2, 1) @ (u * s[:, None, :] @ v) @ tp
 
 
-def verify_fundamental(pairs: DataFrame, threshold: float = 3.0, min_inliers: int = 20, draws: int = 300) -> DataFrame:
-    """frame_id, obj_id, support, f: F from object to frame by seeded draws of eight, best by inliers; the check is
-    object' F' frame below the threshold with F scaled to unit norm times the image scale."""
+def epipolar_distances(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(m, n): how far each b lies from the line that each F gives its a."""
+    line = f @ np.c_[a, np.ones(len(a))].T
+    off = np.einsum("mkn,nk->mn", line, np.c_[b, np.ones(len(b))])
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(np.abs(off) / np.maximum(np.hypot(line[:, 0], line[:, 1]), 1e-12), nan=np.inf)
+
+
+def best_fundamental(a: np.ndarray, b: np.ndarray, threshold: float, seed: int, draws: int, median: bool, batch: int = 128) -> tuple[np.ndarray | None, np.ndarray]:
+    """(F, inliers) out of `draws` from eight pairs: the most inliers below the threshold or, by `median`, the least
+    median of squared distances, which holds with nearly half of all pairs wrong; its inliers are those within 2.5
+    robust standard deviations, and at least within a rounding error."""
+    rng, best, top, inliers = np.random.default_rng(seed), None, -np.inf, np.zeros(len(a), bool)
+    for i in range(0, draws, batch):
+        draw = rng.random((min(batch, draws - i), len(a))).argsort(1)[:, :8]
+        f = fundamentals(a[draw], b[draw])
+        d = epipolar_distances(f, a, b)
+        score = -np.median(d * d, axis=1) if median else (d < threshold).sum(1)
+        k = int(score.argmax())
+        if score[k] > top and np.isfinite(f[k]).all():
+            best, top = f[k], float(score[k])
+            inliers = d[k] <= max(1e-6, 2.5 * 1.4826 * (1 + 5 / max(1, len(a) - 8)) * np.sqrt(-top)) if median else d[k] < threshold
+    return best, inliers
+
+
+def verify_fundamental(pairs: DataFrame, threshold: float = 3.0, min_inliers: int = 20, draws: int = 300, min_tracked: int = 16, median_draws: int = 1200) -> DataFrame:
+    """frame_id, obj_id, support, f: F from object to frame by seeded draws of eight, all at once in stacked
+    decompositions: by inliers, or by the least median with `min_tracked` tracked pairs (weight 100) or more. F is
+    given transposed, so that object' F' frame is the check; it stands with `min_inliers`."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=["frame_id", "obj_id", "support", "f"])
+        if len(g) < max(8, min_inliers):
+            return none
         g = g.sort_values("seq")
         a, b = g[["ox", "oy"]].to_numpy(float), g[["fx", "fy"]].to_numpy(float)
-        best, top, rng = None, 0, np.random.default_rng(abs(hash(tuple(int(k) for k in key))) % 2**32)
-        p, q = np.c_[a, np.ones(len(a))], np.c_[b, np.ones(len(b))]
-        for _ in range(draws if len(a) >= max(8, min_inliers) else 0):
-            f = fundamental_from_points(*(x[draw] for draw in [rng.choice(len(a), 8, replace=False)] for x in (a, b)))
-            if f is None:
-                continue
-            line = p @ f.T
-            d = np.abs((q * line).sum(1)) / np.maximum(np.hypot(line[:, 0], line[:, 1]), 1e-12)
-            n = int((d < threshold).sum())
-            if n > top:
-                best, top = f, n
-        if best is None or top < min_inliers:
-            return pd.DataFrame(columns=["frame_id", "obj_id", "support", "f"])
-        return pd.DataFrame({"frame_id": [key[0]], "obj_id": [key[1]], "support": [top], "f": [best.T.ravel().tolist()]})
+        median = int((g["weight"] >= 100).sum()) >= min_tracked
+        f, inliers = best_fundamental(a, b, threshold, group_seed(key), median_draws if median else draws, median)
+        if f is None or inliers.sum() < min_inliers:
+            return none
+        return pd.DataFrame({"frame_id": [key[0]], "obj_id": [key[1]], "support": [int(inliers.sum())], "f": [f.T.ravel().tolist()]})
 
     return pairs.groupBy("frame_id", "obj_id").applyInPandas(run, "frame_id long, obj_id long, support int, f array<double>")
 
@@ -190,7 +266,7 @@ def verify_ratio(pairs: DataFrame, threshold: float = 5.0, min_pairs: int = 16,
         f = f.sort_values("seq")
         ratio = 0.0
         if len(f) >= min_pairs:
-            _, _, inliers = ransac(f[["ox", "oy"]].to_numpy(float), f[["fx", "fy"]].to_numpy(float), iterations, threshold, 0.9 * len(f), abs(hash(tuple(int(k) for k in key))) % 2**32)
+            _, _, inliers = ransac(f[["ox", "oy"]].to_numpy(float), f[["fx", "fy"]].to_numpy(float), iterations, threshold, 0.9 * len(f), group_seed(key))
             ratio = float(inliers.mean())
         return pd.DataFrame({"frame_id": [key[0]], "obj_id": [key[1]], "ratio": [ratio]})
 

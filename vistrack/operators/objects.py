@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import histo
+from .numbering import numbered
 
 
 def create_objects(objects: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """`objects` (obj_id, comment, flags) with the rows of `new` (comment, flags) appended under the next ids.
 
-    The numbering needs the new rows in one order; they are few beside what is stored.
     """
     top = objects.agg(F.coalesce(F.max("obj_id"), F.lit(0)).alias("top"))
-    ids = new.withColumn("n", F.row_number().over(Window.orderBy(order))).join(F.broadcast(top))
+    ids = numbered(new, [], [order], "n", start=1).join(F.broadcast(top))
     return objects.unionByName(ids.select((F.col("top") + F.col("n")).alias("obj_id"), "comment", "flags"))
 
 
@@ -75,11 +75,11 @@ def unpack_key(key: Column) -> tuple[Column, Column]:
 def union_inputs(*collections: DataFrame) -> DataFrame:
     """Histograms (cid, word, cnt) of several sources as one collection with cids renumbered 1..n by source and cid.
 
-    The renumbering sorts the distinct ids only, and joins the new numbers back.
+    The distinct ids are numbered by ranges in many tasks, and the numbers joined back.
     """
     all_ = None
     for k, c in enumerate(collections):
         part = c.select(F.lit(k).alias("source"), "cid", "word", "cnt")
         all_ = part if all_ is None else all_.unionByName(part)
-    ids = all_.select("source", "cid").distinct().withColumn("new", F.row_number().over(Window.orderBy("source", "cid")).cast("long"))
+    ids = numbered(all_.select("source", "cid").distinct(), [], ["source", "cid"], "new", start=1)
     return all_.join(ids, ["source", "cid"]).select(F.col("new").alias("cid"), "word", "cnt")

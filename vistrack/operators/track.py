@@ -149,6 +149,35 @@ def running_histograms(points: DataFrame) -> DataFrame:
     return held.join(frames, [*of, "nth"]).select(*of, "frame_id", "word", "cnt")
 
 
+def track_clusters(points: DataFrame, db: DataFrame, ratio: float = 0.98) -> DataFrame:
+    """video_id, track_id, frame_id, rank, cid, cscore: what a track's words so far look most like, on every frame that
+    adds a valid word; of the collection `db` (cid, word, cnt) all whose score is strictly above `ratio` of the best.
+
+    The score is the plain product of counts over both totals. New words join the index as differences, whose running
+    sum is a cluster's product whenever it changes; it never falls. So the best so far is a running maximum, what is
+    below the ratio when it changes stays below until it changes again and goes at once, and only the few others are
+    carried on over the frames up to their next change.
+    """
+    of = ["video_id", "track_id"]
+    new = points.where("word <> 0").groupBy(*of, "frame_id", "word").agg(F.count("*").alias("c"))
+    totals = db.groupBy("cid").agg(F.sum("cnt").alias("size"))
+    along = Window.partitionBy(*of).orderBy("frame_id")
+    frames = new.groupBy(*of, "frame_id").agg(F.sum("c").alias("c")).withColumns({"total": F.sum("c").over(along), "nth": F.row_number().over(along)}).drop("c")
+    moves = new.join(db, "word").groupBy(*of, "frame_id", "cid").agg(F.sum(F.col("c") * F.col("cnt")).alias("more"))
+    own = Window.partitionBy(*of, "cid").orderBy("frame_id")
+    moves = moves.withColumns({"product": F.sum("more").over(own), "next": F.lead("frame_id").over(own)}).join(totals, "cid")
+    moves = moves.withColumn("raw", F.col("product") / F.col("size")).withColumn("best", F.max("raw").over(along.rangeBetween(Window.unboundedPreceding, 0)))
+    best = moves.groupBy(*of, "frame_id").agg(F.max("best").alias("best"))
+    frames = frames.join(best, [*of, "frame_id"], "left").withColumn("best", F.last("best", ignorenulls=True).over(along))
+    ends = frames.groupBy(*of).agg(F.max("nth").alias("last"))
+    kept = moves.where(F.col("raw") > ratio * F.col("best")).drop("best").join(frames.select(*of, "frame_id", "nth"), [*of, "frame_id"])
+    after = frames.select(*of, F.col("frame_id").alias("next"), (F.col("nth") - 1).alias("until"))
+    kept = kept.join(after, [*of, "next"], "left").join(ends, of).withColumn("until", F.coalesce("until", "last"))
+    held = kept.select(*of, "cid", "raw", F.explode(F.sequence("nth", "until")).alias("nth")).join(frames, [*of, "nth"]).where(F.col("raw") > ratio * F.col("best"))
+    order = Window.partitionBy(*of, "frame_id").orderBy(F.desc("raw"), "cid")
+    return held.select(*of, "frame_id", F.row_number().over(order).alias("rank"), "cid", (F.col("raw") / F.col("total")).alias("cscore"))
+
+
 def top_keypoints(points: DataFrame, n: int = 800, least: float = 5.0, *by: str) -> DataFrame:
     """The n strongest points with a score above `least` in each frame (and bin, with further columns `by`)."""
     order = Window.partitionBy("frame_id", *by).orderBy(F.desc("score"), "kpt_id")

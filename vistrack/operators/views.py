@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import apply_homography, homography_from_points
+from .numbering import numbered
+from .objects import pack_key
 
 
 def random_views(images: DataFrame, n: int = 1000, jitter: float = 0.2, low: float = 0.5, high: float = 2.0, seed: int = 1) -> DataFrame:
@@ -83,3 +85,11 @@ def prune_points(groups: DataFrame, views: int, rate: float = 0.3) -> DataFrame:
     """The groups seen in at least int(views * rate) views."""
     total = groups.groupBy("image_id", "group").agg(F.sum("cnt").alias("total")).where(F.col("total") >= int(views * rate))
     return groups.join(total.select("image_id", "group"), ["image_id", "group"], "left_semi")
+
+
+def point_clusters(groups: DataFrame) -> DataFrame:
+    """cid_val, cnt: the groups (image_id, group, word, cnt) as a collection, their cids numbered by image and group; a
+    row is keyed by cid and word together, as collections are stored. Word 0 is none."""
+    h = groups.where("word <> 0")
+    ids = numbered(h.select("image_id", "group").distinct(), [], ["image_id", "group"], "cid", start=1)
+    return h.join(ids, ["image_id", "group"]).select(pack_key(F.col("cid"), F.col("word")).alias("cid_val"), "cnt")

@@ -258,6 +258,18 @@ def k12(spark, sf):
     return track.running_histograms(keypoints(spark, sf)).drop("video_id")
 
 
+@query("k12_track_cid", f"""with {K}, db as (select kpt_id % 97 + 1 as cid, word, count(*) as cnt from pts where word <> 0 group by 1, 2), sz as (select cid, sum(cnt) as size from db group by 1),
+f as (select distinct track_id, frame_id from pts where word <> 0), q as (select f.track_id, f.frame_id, word, count(*) as c from f join pts p on p.track_id = f.track_id and p.frame_id <= f.frame_id where word <> 0 group by 1, 2, 3),
+t as (select track_id, frame_id, sum(c) as total from q group by 1, 2), s as (select track_id, frame_id, cid, sum(c * cnt) as product from q join db using (word) group by 1, 2, 3),
+r as (select s.*, cast(product as double) / size as raw from s join sz using (cid)), b as (select *, max(raw) over (partition by track_id, frame_id) as best from r)
+select track_id, frame_id, cast(row_number() over (partition by track_id, frame_id order by raw desc, cid) as integer) as rank, cid, round(raw / total, 9) as cscore from b join t using (track_id, frame_id) where raw > 0.98 * best""")
+def k12_cid(spark, sf):
+    """Clusters that points have by their number, and each track's best ones from frame to frame."""
+    p = keypoints(spark, sf)
+    db = histo.histograms(p.withColumn("cid", F.col("kpt_id") % 97 + 1), "cid")
+    return rounded(track.track_clusters(p, db).drop("video_id"), "cscore", digits=9)
+
+
 @query("k13_top_keypoints", f"with {K} select kpt_id, rank from (select kpt_id, cast(row_number() over (partition by frame_id order by score desc, kpt_id) as integer) as rank from pts where score > 5) where rank <= 8")
 def k13(spark, sf):
     return track.top_keypoints(keypoints(spark, sf), 8).select("kpt_id", "rank")
@@ -316,6 +328,27 @@ def e4(spark, sf):
     return rounded(events.speeds(detections(spark, sf), 600, "frame_id", "kpt_id").select("kpt_id", "vx", "vy"), "vx", "vy", digits=5)
 
 
+MOVED = f"""with {K}, {D}, m as (select *, {maps_sql('kpt_id')} as h from det), p as (select *, (h[1]*40+h[2]*30+h[3])/(h[7]*40+h[8]*30+h[9]) as px, (h[4]*40+h[5]*30+h[6])/(h[7]*40+h[8]*30+h[9]) as py from m),
+l as (select *, lag(frame_id) over w as pf, lag(t) over w as pt, lag(px) over w as qx, lag(py) over w as qy from p window w as (partition by obj_id order by frame_id, kpt_id))"""
+
+
+@query("e4_speed_under_maps", MOVED + """ select kpt_id, round(px, 6) as px, round(py, 6) as py, case when frame_id - pf <= 600 and t > pt then round((px - qx) / (t - pt), 6) end as vx,
+case when frame_id - pf <= 600 and t > pt then round((py - qy) / (t - pt), 6) end as vy from l""")
+def e4_maps(spark, sf):
+    """The point (40, 30) of each object, by a map of each detection's own."""
+    d = events.target_speeds(maps(detections(spark, sf), "kpt_id"), F.lit(40.0), F.lit(30.0), 600, "frame_id", "kpt_id")
+    return rounded(d.select("kpt_id", "px", "py", "vx", "vy"), "px", "py", "vx", "vy")
+
+
+@query("e6_screen_to_object", MAPPED + """, s as (select kpt_id, u, v, h, h[1]*(h[5]*h[9]-h[6]*h[8])-h[2]*(h[4]*h[9]-h[6]*h[7])+h[3]*(h[4]*h[8]-h[5]*h[7]) as d from m),
+i as (select kpt_id, ((h[5]*h[9]-h[6]*h[8])*u + (h[3]*h[8]-h[2]*h[9])*v + (h[2]*h[6]-h[3]*h[5]))/d as a, ((h[6]*h[7]-h[4]*h[9])*u + (h[1]*h[9]-h[3]*h[7])*v + (h[3]*h[4]-h[1]*h[6]))/d as b,
+ ((h[4]*h[8]-h[5]*h[7])*u + (h[2]*h[7]-h[1]*h[8])*v + (h[1]*h[5]-h[2]*h[4]))/d as c from s) select kpt_id, round(a / c, 5) as x, round(b / c, 5) as y from i""")
+def e6_inverse(spark, sf):
+    """Where each keypoint lies on the object whose map its track has."""
+    x, y = geometry.apply_homography(geometry.invert_homography(F.col("h")), F.col("u"), F.col("v"))
+    return rounded(maps(keypoints(spark, sf), "track_id").select("kpt_id", x.alias("x"), y.alias("y")), "x", "y", digits=5)
+
+
 @query("e5_motion_state", SPEED + """, m as (select *, case when vx > 0.05 then 'right' when vx < -0.05 then 'left' when vy > 0.05 then 'down' when vy < -0.05 then 'up' else 'none' end as state from v),
 c as (select *, lag(state) over (partition by obj_id order by frame_id, kpt_id) as before from m) select kpt_id, obj_id, state, before from c where state is distinct from before""")
 def e5(spark, sf):
@@ -590,14 +623,22 @@ def g6(spark, sf):
 
 
 def planted_pairs(spark, sf):
-    """Groups of points of a user, moved by a map of the user's; one in five goes elsewhere."""
-    p = maps(keypoints(spark, sf), "track_id")
+    """What is seen of an object on a frame: the points of fifty users on a day, moved by a map; one in five goes elsewhere."""
+    p = maps(keypoints(spark, sf).withColumn("obj_id", F.floor(F.col("track_id") / 50)), "obj_id")
     x, y = geometry.apply_homography(F.col("h"), F.col("u"), F.col("v"))
     off = F.when(F.col("kpt_id") % 5 == 0, 60.0 + F.col("k")).otherwise(0.0)
-    rows = p.select((F.col("track_id") * 0).alias("frame_id"), F.col("track_id").alias("obj_id"), "kpt_id", F.col("kpt_id").alias("seq"), F.lit(1.0).alias("weight"), F.col("u").alias("ox"), F.col("v").alias("oy"), (x + off).alias("fx"), (y - off).alias("fy"))
+    rows = p.select((F.floor(F.col("us") / 86400000000)).alias("frame_id"), "obj_id", "kpt_id", F.col("kpt_id").alias("seq"), F.when(F.col("kpt_id") % 3 == 0, 100.0).otherwise(1.0).alias("weight"), F.col("u").alias("ox"), F.col("v").alias("oy"), (x + off).alias("fx"), (y - off).alias("fy"))
     return rows
 
 
+@query("g7_ransac_homography")
+def g7(spark, sf):
+    from pyspark.sql import Window
+
+    p = planted_pairs(spark, sf).withColumn("seq", F.row_number().over(Window.partitionBy("frame_id", "obj_id").orderBy("seq")))
+    return match.consensus_homographies(p, iterations=100)
+
+
 @query("g8_verify_homography")
 def g8(spark, sf):
     return match.verify_homography(planted_pairs(spark, sf)).select("frame_id", "obj_id", "support", "h")

@@ -205,11 +205,5 @@ def c4(spark, sf):
 
 @query("c5_point_clusters", f"with {GROUPS} select (dense_rank() over (order by image_id, grp) << 32) | word as cid_val, cnt from g where word <> 0")
 def c5(spark, sf):
-    from pyspark.sql import Window
-
-    from ..operators.objects import pack_key
-
-    rows = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.col("l_linenumber").alias("word"))
-    h = histo.histograms(rows, "l_partkey", "l_suppkey")
-    ids = h.select("l_partkey", "l_suppkey").distinct().withColumn("cid", F.row_number().over(Window.orderBy("l_partkey", "l_suppkey")))
-    return h.join(ids, ["l_partkey", "l_suppkey"]).select(pack_key(F.col("cid"), F.col("word")).alias("cid_val"), "cnt")
+    rows = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("image_id"), F.col("l_suppkey").alias("group"), F.col("l_linenumber").alias("word"))
+    return views.point_clusters(histo.histograms(rows, "image_id", "group"))
