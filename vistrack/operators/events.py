@@ -7,11 +7,11 @@ partition by object, and gaps cut an object's life into sessions.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from . import scan
 
 
 def _life(*order: str):
@@ -83,45 +83,65 @@ def state_changes(rows: DataFrame, state: str = "state", *order: str) -> DataFra
     return rows.withColumn("before", before).where(~F.col(state).eqNullSafe(F.col("before")))
 
 
-def smoothed(poses: DataFrame, columns: list[str], alpha: float = 0.4) -> DataFrame:
+def smoothed(poses: DataFrame, columns: list[str], alpha: float = 0.4, chunk: int = scan.CHUNK) -> DataFrame:
     """Exponential smoothing of the columns per obj_id, started anew where the object was absent on the frame before.
 
-    Within a session value k is sum over j of alpha (1 - alpha)^(k-j) x_j, with weight (1 - alpha)^k on the first;
-    it is folded over the session's ordered list, so no row depends on a self-join.
+    A step is the map x -> (1 - alpha) x + alpha z, which scan.affine_scan() composes by chunks: a session may be of any
+    length. A row with a null among the columns counts as an absence and has null results.
     """
-    s = with_sessions(poses.withColumn("t", F.col("frame_id")), 1, "frame_id")
-    w = Window.partitionBy("obj_id", "session").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, 0)
-    fold = lambda c: F.aggregate(F.collect_list(c).over(w), F.lit(None).cast("double"), lambda a, x: F.coalesce(a + alpha * (x - a), x))
-    return s.withColumns({f"{c}_smooth": fold(F.col(c).cast("double")) for c in columns}).drop("session", "t")
 
+    def maps(k: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.where(k == 0, 0.0, 1 - alpha)[:, None]
+        return np.repeat(keep, z.shape[1], 1)[..., None, None], ((1 - keep) * z)[..., None]
 
-def kalman(poses: DataFrame, corrected: bool = False) -> DataFrame:
-    """obj_id, frame_id, x (array of 6): a constant-velocity filter of six pose numbers over each obj_id's frames, started
-    anew where the object was absent on the frame before. A task holds one session.
+    out = scan.affine_scan(poses, columns, maps, len(columns), 1, chunk)
+    return out.withColumns({f"{c}_smooth": F.col("__x")[i] for i, c in enumerate(columns)}).drop("__x", "__k")
 
-    Emits the state predicted for each frame (the first frame: its measurement), or the corrected one. Process noise
-    is 1 but 1e-7 for the first three numbers, measurement noise 10 but 1 for those.
-    """
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("frame_id")
-        z = np.array(f["pose"].tolist(), float)
-        a = np.eye(12) + np.eye(12, k=6)
-        h = np.eye(6, 12)
-        q = np.diag([1e-7] * 3 + [1.0] * 9)
-        r = np.diag([1.0] * 3 + [10.0] * 3)
-        x, p, out = np.r_[z[0], np.zeros(6)], np.eye(12), []
-        for k, m in enumerate(z):
-            if k:
-                x, p = a @ x, a @ p @ a.T + q
-            guess = x[:6].copy()
-            gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
-            x, p = x + gain @ (m - h @ x), (np.eye(12) - gain @ h) @ p
-            out.append((x[:6] if corrected else guess).tolist())
-        return pd.DataFrame({"obj_id": key[0], "frame_id": f["frame_id"], "x": out})
-
-    s = with_sessions(poses.select("obj_id", "frame_id", "pose").withColumn("t", F.col("frame_id")), 1, "frame_id").drop("t")
-    return s.groupBy("obj_id", "session").applyInPandas(run, "obj_id long, frame_id long, x array<double>")
+#: Noise of the filter: process noise of place and of speed, and measurement noise, for the first three pose numbers and the others.
+NOISE = ((1e-7, 1.0, 1.0), (1.0, 1.0, 10.0))
+
+
+def kalman_gains(place: float, speed: float, measured: float, most: int = 100_000) -> np.ndarray:
+    """(n, 2): the gains of place and speed at each step of a constant-velocity filter that starts from covariance 1, up
+    to the step from which they stay as they are. Gains depend on no measurement."""
+    p, a, gains = np.eye(2), np.array([[1.0, 1.0], [0.0, 1.0]]), []
+    for k in range(most):
+        if k:
+            p = a @ p @ a.T + np.diag([place, speed])
+        g = p[:, 0] / (p[0, 0] + measured)
+        p = p - np.outer(g, p[0])
+        gains.append(g)
+        if k > 1 and np.abs(gains[-1] - gains[-2]).max() < 1e-15:
+            return np.array(gains)
+    raise ValueError("the gains do not settle")
+
+
+def kalman(poses: DataFrame, corrected: bool = False, chunk: int = scan.CHUNK) -> DataFrame:
+    """obj_id, frame_id, x (array of 6): a constant-velocity filter of the six numbers of `pose` over each obj_id's frames,
+    started anew where the object was absent on the frame before.
+
+    Emits the state predicted for each frame (a session's first frame: its measurement), or the corrected one. Noise is
+    NOISE. The six numbers do not mix, and gains depend on the place in the session alone, so a step is an affine map of
+    (place, speed, the place that was
+    predicted) for each number, and sessions are scanned by chunks. A pose that is null or holds a null is an absence,
+    with null results.
+    """
+    gains = [kalman_gains(*n) for n in NOISE]
+
+    def maps(k: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = np.stack([gains[i >= 3][np.minimum(k, len(gains[i >= 3]) - 1)] for i in range(6)], 1)
+        g[k == 0] = (1, 0)  # a session starts with its measurement, at rest
+        a = np.zeros((*g.shape[:2], 3, 3))
+        a[..., 0, :2], a[..., 1, 0], a[..., 1, 1], a[..., 2, :2] = (1 - g[..., :1]), -g[..., 1], 1 - g[..., 1], 1
+        a[k == 0] = 0
+        return a, np.stack([g[..., 0] * z, g[..., 1] * z, np.where(k[:, None] == 0, z, 0)], -1)
+
+    numbers = [f"z{i}" for i in range(6)]
+    rows = poses.select("obj_id", "frame_id", *(F.col("pose")[i].alias(c) for i, c in enumerate(numbers)))
+    out = scan.affine_scan(rows, numbers, maps, 6, 3, chunk)
+    x = F.array(*(F.col("__x")[3 * i + (0 if corrected else 2)] for i in range(6)))
+    return out.select("obj_id", "frame_id", F.when(F.col("__x").isNotNull(), x).alias("x"))
 
 
 def windowed_counts(rows: DataFrame, t_us: Column, width_us: int = 500_000) -> DataFrame:
