@@ -158,39 +158,41 @@ def _plausible(h: np.ndarray) -> bool:
     return bool(np.isfinite(r).all() and (e >= 20).all() and (e <= 2000).all() and (r >= 0.4).all() and (r <= 2.5).all())
 
 
+def homography_of(pairs: pd.DataFrame, seed: int, threshold: float = 3.0, min_pairs: int = 10, min_support: float = 12.0) -> tuple[np.ndarray, np.ndarray] | None:
+    """(h, inliers) of pairs (weight, ox, oy, fx, fy) in their order for sampling, if a map stands up. With ten tracked
+    pairs 200 draws do, else 1000; a plausible map is fitted anew to its inliers until its support no longer rises."""
+    if len(pairs) < min_pairs:
+        return None
+    a, b = pairs[["ox", "oy"]].to_numpy(float), pairs[["fx", "fy"]].to_numpy(float)
+    kept = int((pairs["weight"] >= 100).sum())
+    iterations, stop = (200, max(30, kept + 2)) if kept >= 10 else (1000, 50)
+    h, support, inliers = ransac(a, b, iterations, threshold, stop, seed)
+    if h is None or support < min_support or not _plausible(h):
+        return None
+    for _ in range(10):
+        fit = homography_from_points(a[inliers][None], b[inliers][None])
+        if np.isnan(fit).any():
+            break
+        s, near = supports(fit, a, b, threshold)
+        if s[0] <= support:
+            break
+        h, support, inliers = fit[0], float(s[0]), near[0]
+    return (h, inliers) if inliers.sum() >= min_support else None
+
+
 def verify_homography(pairs: DataFrame, threshold: float = 3.0, min_pairs: int = 10, min_support: float = 12.0) -> DataFrame:
     """frame_id, obj_id, support, h, kpts: the objects that stand up to geometry on a frame, with the keypoints on them.
 
-    Pairs are (frame_id, obj_id, seq, kpt_id, weight, ox, oy, fx, fy). With ten tracked pairs 200 draws do, else
-    1000; a plausible map is fitted anew to its inliers until its support no longer rises. Draws are seeded by the
-    group's key, so a rerun agrees. A group is bounded by a frame's keypoints and an object's quota.
+    Pairs are (frame_id, obj_id, seq, kpt_id, weight, ox, oy, fx, fy); maps are found by homography_of(). Draws are
+    seeded by the group's key, so a rerun agrees. A group is bounded by a frame's keypoints and an object's quota.
     """
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=["frame_id", "obj_id", "support", "h", "kpts"])
-        if len(f) < min_pairs:
-            return none
         f = f.sort_values("seq")
-        a, b = f[["ox", "oy"]].to_numpy(float), f[["fx", "fy"]].to_numpy(float)
-        kept = int((f["weight"] >= 100).sum())
-        iterations, stop = (200, max(30, kept + 2)) if kept >= 10 else (1000, 50)
-        h, support, inliers = ransac(a, b, iterations, threshold, stop, group_seed(key))
-        if h is None or support < min_support or not _plausible(h):
-            return none
-        one = np.concatenate([a, np.ones((len(a), 1))], 1)
-        for _ in range(10):
-            fit = homography_from_points(a[inliers][None], b[inliers][None])[0]
-            if np.isnan(fit).any():
-                break
-            p = one @ fit.reshape(3, 3).T
-            d2 = ((p[:, :2] / p[:, 2:] - b) ** 2).sum(1)
-            near = d2 < threshold**2
-            s = float((1 - 0.1 * d2[near] / threshold**2).sum())
-            if s <= support:
-                break
-            h, support, inliers = fit, s, near
-        if inliers.sum() < min_support:
-            return none
+        found = homography_of(f, group_seed(key), threshold, min_pairs, min_support)
+        if found is None:
+            return pd.DataFrame(columns=["frame_id", "obj_id", "support", "h", "kpts"])
+        h, inliers = found
         return pd.DataFrame({"frame_id": [key[0]], "obj_id": [key[1]], "support": [int(inliers.sum())], "h": [h.tolist()], "kpts": [f["kpt_id"].to_numpy()[inliers].tolist()]})
 
     return pairs.groupBy("frame_id", "obj_id").applyInPandas(run, "frame_id long, obj_id long, support int, h array<double>, kpts array<long>")
@@ -239,21 +241,26 @@ def best_fundamental(a: np.ndarray, b: np.ndarray, threshold: float, seed: int,
     return best, inliers
 
 
+def fundamental_of(pairs: pd.DataFrame, seed: int, threshold: float = 3.0, min_inliers: int = 20, draws: int = 300, min_tracked: int = 16, median_draws: int = 1200) -> tuple[np.ndarray, np.ndarray] | None:
+    """(F, inliers) of pairs (weight, ox, oy, fx, fy), if `min_inliers` stand up: by inliers, or by the least median with
+    `min_tracked` tracked pairs (weight 100) or more."""
+    if len(pairs) < max(8, min_inliers):
+        return None
+    a, b = pairs[["ox", "oy"]].to_numpy(float), pairs[["fx", "fy"]].to_numpy(float)
+    median = int((pairs["weight"] >= 100).sum()) >= min_tracked
+    f, inliers = best_fundamental(a, b, threshold, seed, median_draws if median else draws, median)
+    return None if f is None or inliers.sum() < min_inliers else (f, inliers)
+
+
 def verify_fundamental(pairs: DataFrame, threshold: float = 3.0, min_inliers: int = 20, draws: int = 300, min_tracked: int = 16, median_draws: int = 1200) -> DataFrame:
-    """frame_id, obj_id, support, f: F from object to frame by seeded draws of eight, all at once in stacked
-    decompositions: by inliers, or by the least median with `min_tracked` tracked pairs (weight 100) or more. F is
-    given transposed, so that object' F' frame is the check; it stands with `min_inliers`."""
+    """frame_id, obj_id, support, f: F from object to frame by fundamental_of(), whose seeded draws of eight are taken all
+    at once in stacked decompositions. F is given transposed, so that object' F' frame is the check."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame(columns=["frame_id", "obj_id", "support", "f"])
-        if len(g) < max(8, min_inliers):
-            return none
-        g = g.sort_values("seq")
-        a, b = g[["ox", "oy"]].to_numpy(float), g[["fx", "fy"]].to_numpy(float)
-        median = int((g["weight"] >= 100).sum()) >= min_tracked
-        f, inliers = best_fundamental(a, b, threshold, group_seed(key), median_draws if median else draws, median)
-        if f is None or inliers.sum() < min_inliers:
-            return none
+        found = fundamental_of(g.sort_values("seq"), group_seed(key), threshold, min_inliers, draws, min_tracked, median_draws)
+        if found is None:
+            return pd.DataFrame(columns=["frame_id", "obj_id", "support", "f"])
+        f, inliers = found
         return pd.DataFrame({"frame_id": [key[0]], "obj_id": [key[1]], "support": [int(inliers.sum())], "f": [f.T.ravel().tolist()]})
 
     return pairs.groupBy("frame_id", "obj_id").applyInPandas(run, "frame_id long, obj_id long, support int, f array<double>")
