@@ -14,12 +14,12 @@ POINT = "video_id long, frame_id long, ts timestamp, kpt_id long, track_id long,
 
 @pytest.fixture(scope="module")
 def planted(spark):
-    """Two videos. Object 1 moves over all frames, its words are seen on the first three only; object 2, known by clusters,
-    comes on frame 10; object 3 is a solid one. Of object 1 nothing is there on frames 15 and 16 of video 1."""
+    """Two videos. Object 1 moves over all frames, its words are seen on the first three only; object 2, known by four
+    words and by clusters, comes on frame 10; object 3 is a solid one. Of object 1 nothing is there on frames 15 and 16 of video 1."""
     rng = np.random.default_rng(2)
     at = {o: rng.uniform(0, 300, (POINTS, 2)) for o in (1, 2, 3, 4)}
     depth = rng.uniform(1, 2, POINTS)
-    objects = [(o, 100 * o + i, 0 if o == 2 else 100 * o + i, *map(float, at[o][i]), 100 * o + i, 2 if o == 3 else 0) for o in at for i in range(POINTS)]
+    objects = [(o, 100 * o + i, 0 if o == 2 and i > 3 else 100 * o + i, *map(float, at[o][i]), 100 * o + i, 2 if o == 3 else 0) for o in at for i in range(POINTS)]
     rows = []
     for video in (0, 1):
         for t in range(FRAMES):
@@ -31,7 +31,7 @@ def planted(spark):
             if not (video == 1 and t in (15, 16)):
                 show(1, at[1] * (1 + 0.01 * t) + (3 * t, t), lambda i: 100 + i if t < 3 else 0)
             if t >= 10:
-                show(2, at[2] + (500, 2 * t), lambda i: 0, lambda i: [(200 + i, 0.9)])
+                show(2, at[2] + (500, 2 * t), lambda i: 200 + i if i < 4 else 0, lambda i: [(200 + i, 0.9)])
             uv = at[3] + np.c_[4 * (t + 1) / depth, 2 * (t + 1) / depth] + (0, 600)
             show(3, uv, lambda i: 300 + i)
     o = spark.createDataFrame(objects, "obj_id long, obj_kpt_id long, word long, x double, y double, cid long, flags int")
@@ -50,7 +50,8 @@ def test_planted_objects_are_followed(spark, planted):
     for video in (0, 1):
         for t in range(FRAMES):
             there = {1} if not (video == 1 and t >= 15) else set()
-            assert {x for v, f, x in got if (v, f) == (video, t)} == there | {3}, (video, t)
+            assert {x for v, f, x in got if (v, f) == (video, t)} == there | {3} | ({2} if t >= 10 else set()), (video, t)
+    assert follow.follow_objects(follow.correspondences(p.where("frame_id = 10"), o, words)).where("obj_id = 2").isEmpty(), "four words do not make an object"
     late = got[0, FRAMES - 1, 1]
     assert (late.support, late.age, late.tracked) == (POINTS, FRAMES - 1, POINTS)
     h = np.array(late.h) / late.h[8]

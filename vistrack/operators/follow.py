@@ -22,6 +22,7 @@ INSTANCES = "video_id long, frame_id long, obj_id long, support int, age int, tr
 #: What a frame's rows hold: a keypoint, and one of the object's keypoints that it may be, or nulls.
 ROWS = "frame_id long, kpt_id long, track_id long, u double, v double, obj_id long, obj_kpt_id long, ox double, oy double, weight double, gain double, flags int"
 COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
+PAIR = ["obj_id", "obj_kpt_id", "ox", "oy", "weight", "gain", "flags"]
 
 
 @dataclass
@@ -43,7 +44,7 @@ def correspondences(points: DataFrame, objects: DataFrame, words: DataFrame, cid
     """
     size = objects.groupBy("obj_id").agg(F.count("*").alias("size"))
     o = objects.join(size, "obj_id").withColumnsRenamed({"x": "ox", "y": "oy"})
-    pair = ["obj_id", "obj_kpt_id", "ox", "oy", "flags"]
+    pair = [c for c in PAIR if c not in ("weight", "gain")]
     by_word = o.where("word <> 0").join(words.where("idf > 0"), "word").select("word", *pair, F.lit(weight).alias("weight"), (F.col("idf") / F.col("size")).alias("gain"))
     keep = [c for c in points.columns if c not in ("word", "ranked")]
     out = points.join(by_word, "word", "left").select(*keep, *pair, "weight", "gain")
@@ -59,18 +60,19 @@ def step(memory: Memory, frame: int, rows: pd.DataFrame, k: int = 3, most: int =
 
     A point whose track lies on an object is that object's alone, with weight 100. Candidates are the objects in view
     on the frame before, then the k + (number of these) best by score; each is verified by its tracked pairs and those
-    by word and cluster, and claims its inliers before the next. At most `most` objects are in view. A tracked point
+    by word and cluster, if it is among the `k` + `most` best, and claims its inliers before the next. At most `most` objects are in view. A tracked point
     that is no inlier of its object on view is let go; tracks of an object that isn't found are kept for `keep` frames.
     """
-    rows = rows.drop_duplicates(["kpt_id", "obj_id", "obj_kpt_id"])
+    same = ["kpt_id", "obj_id", "obj_kpt_id"]
+    scores = rows[rows["gain"] > 0].drop_duplicates(same).groupby("obj_id")["gain"].sum().reset_index().sort_values(["gain", "obj_id"], ascending=[False, True])
+    rows = rows.sort_values("weight", ascending=False, kind="stable").drop_duplicates(same)
     points = rows.drop_duplicates("kpt_id").sort_values("kpt_id")
     tracks = {t: m for t, m in memory.tracks.items() if frame - m[5] <= keep}
     before = memory.seen if memory.frame is not None and frame - memory.frame == 1 else {}
     own = points[points["track_id"].isin(list(tracks))]
     fixed = pd.DataFrame([(*p, *tracks[p[1]][:4], 100.0, tracks[p[1]][4]) for p in own[["kpt_id", "track_id", "u", "v"]].itertuples(index=False, name=None)],
                          columns=["kpt_id", "track_id", "u", "v", "obj_id", "obj_kpt_id", "ox", "oy", "weight", "flags"])
-    free = rows[rows["obj_id"].notna() & ~rows["kpt_id"].isin(fixed["kpt_id"])]
-    scores = rows[rows["gain"] > 0].groupby("obj_id")["gain"].sum().reset_index().sort_values(["gain", "obj_id"], ascending=[False, True])
+    free = rows[rows["obj_id"].isin(scores["obj_id"].head(k + most)) & ~rows["kpt_id"].isin(fixed["kpt_id"])]
     order = [*before, *(int(o) for o in scores["obj_id"].head(k + len(before)) if int(o) not in before)]
     pairs = pd.concat([fixed, free[fixed.columns]]) if len(fixed) else free[list(fixed.columns)]
     claimed, out, seen, gone = set(), [], {}, set()
@@ -112,11 +114,8 @@ def follow_objects(rows: DataFrame, k: int = 3, most: int = 16, keep: int = 512)
     at = ["video_id", "frame_id"]
     scores = rows.where("gain > 0").groupBy(*at, "obj_id").agg(F.sum("gain").alias("score"))
     best = scores.groupBy(*at).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "obj_id"))), 1, k + most).obj_id.alias("best"))
-    near = rows.join(best, at, "left")
-    asked = F.coalesce(F.array_contains("best", F.col("obj_id")), F.lit(False))
-    for c in ("obj_id", "obj_kpt_id", "ox", "oy", "weight", "gain", "flags"):
-        near = near.withColumn(c, F.when(asked, F.col(c))) if c != "obj_id" else near.withColumn("__asked", asked)
-    near = near.withColumn("obj_id", F.when(F.col("__asked"), F.col("obj_id"))).select("video_id", *COLUMNS)
+    near = rows.join(best, at, "left").withColumn("asked", F.array_contains("best", F.col("obj_id")))
+    near = near.select("video_id", *(F.when(F.col("asked"), F.col(c)).alias(c) if c in PAIR else F.col(c) for c in COLUMNS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         video, memory, held = None, Memory(), None

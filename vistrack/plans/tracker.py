@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import histo, match, retrieve
+from ..operators import follow, histo, match, retrieve
 from .inputs import K, keypoints, maps, query
 from .state import checkpointed
 from .tracking import rounded
@@ -57,6 +57,24 @@ def g15(spark, sf):
     return track_objects(shown, objects)
 
 
+@query("g15_follow_objects")
+def g15_followed(spark, sf):
+    """Days as objects made of their events, each shown on six frames of one of 32 videos, moved by a map of the day's; words
+    are seen on the first two of the frames, then tracks alone carry it. Every third object is verified as a solid one."""
+    p = keypoints(spark, sf).withColumn("day", F.floor(F.col("us") / 86400000000))
+    objects = p.select(
+        F.col("day").alias("obj_id"), F.col("kpt_id").alias("obj_kpt_id"), (F.col("kpt_id") + 1).alias("word"), F.col("u").alias("x"), F.col("v").alias("y"),
+        F.when(F.col("day") % 3 == 0, follow.SOLID).otherwise(0).alias("flags"),
+    )
+    x, y = geometry.apply_homography(F.col("h"), F.col("u"), F.col("v"))
+    shown = maps(p, "day").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        (F.col("day") % 32).alias("video_id"), (F.col("day") * 6 + F.col("i")).alias("frame_id"), (F.col("kpt_id") * 6 + F.col("i")).alias("kpt_id"),
+        F.col("kpt_id").alias("track_id"), (x + 5 * F.col("i")).alias("u"), (y + 2 * F.col("i")).alias("v"), F.when(F.col("i") < 2, F.col("kpt_id") + 1).otherwise(0).alias("word"),
+    )
+    words = objects.select("word", F.lit(1.0).alias("idf"))
+    return follow.follow_objects(follow.correspondences(shown, objects, words)).drop("h", "kpts")
+
+
 @query("g13_incremental_learning", f"""with {K}, p as (select track_id, track_id % 5 as obj_id, cast(floor(us / 86400000000) as bigint) as frame_id, u, v from pts where word <> 0),
 a as (select *, avg(u) over w as ox, avg(v) over w as oy from p window w as (partition by track_id)),
 g as (select obj_id, track_id, any_value(ox) as ox, any_value(oy) as oy, count(*) as n, bool_and(pow(u - ox, 2) + pow(v - oy, 2) <= 160000 and (frame_id + obj_id) % 29 <> 0) as ok from a group by 1, 2)
