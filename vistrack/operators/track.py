@@ -109,9 +109,10 @@ def link_tracks(points: DataFrame, matches: DataFrame, max_rounds: int = 40) ->
     return points.join(at.withColumnRenamed("p", "track_id"), "kpt_id")
 
 
-def remove_unmatched(points: DataFrame, frame: int) -> DataFrame:
-    """Drops the tracks with a point in `frame` but none in the next frame."""
-    ends = points.where(F.col("frame_id") == frame).select("track_id").distinct()
+def remove_unmatched(points: DataFrame, frame: int, predicate: Column | None = None) -> DataFrame:
+    """Drops the tracks with a point in `frame` (that meets `predicate`: others were not to be matched) but none in the
+    next frame."""
+    ends = points.where(F.col("frame_id") == frame if predicate is None else (F.col("frame_id") == frame) & predicate).select("track_id").distinct()
     goes_on = points.where(F.col("frame_id") == frame + 1).select("track_id").distinct()
     return points.join(ends.join(goes_on, "track_id", "left_anti"), "track_id", "left_anti")
 
@@ -122,11 +123,11 @@ def retain_frames(points: DataFrame, keep: int = 512) -> DataFrame:
     return points.join(last, "video_id").where(F.col("frame_id") > F.col("last") - keep).drop("last")
 
 
-def lost_tracks(points: DataFrame, min_len: int = 4) -> DataFrame:
-    """Points of the tracks that ended two frames before their video's end or earlier and have `min_len` points,
-    newest first: seq from 0, ptr -1 for the first and the sequence number of the newer point for the others."""
+def lost_tracks(points: DataFrame, min_len: int = 4, predicate: Column | None = None) -> DataFrame:
+    """Points of the tracks that ended two frames before their video's end or earlier and have `min_len` points (that meet
+    `predicate`), newest first: seq from 0, ptr -1 for the first and the sequence number of the newer point for the others."""
     last = points.groupBy("video_id").agg(F.max("frame_id").alias("last"))
-    ended = points.groupBy("video_id", "track_id").agg(F.max("frame_id").alias("end"), F.count("*").alias("n")).join(last, "video_id")
+    ended = points.groupBy("video_id", "track_id").agg(F.max("frame_id").alias("end"), (F.count("*") if predicate is None else F.count_if(predicate)).alias("n")).join(last, "video_id")
     ended = ended.where((F.col("end") <= F.col("last") - 2) & (F.col("n") >= min_len)).select("video_id", "track_id")
     order = Window.partitionBy("video_id", "track_id").orderBy(F.desc("frame_id"), F.desc("kpt_id"))
     out = points.join(ended, ["video_id", "track_id"]).withColumn("seq", (F.row_number().over(order) - 1).cast("long"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry, vectors
-from ..operators import evaluate, events, histo, match, objects, track
+from ..operators import evaluate, events, histo, listen, match, objects, track
 from ..sources import tables
 from .inputs import PACKETS, D, K, detections, keypoints, maps, maps_sql, packets, query, read
 
@@ -252,6 +254,49 @@ def k11(spark, sf):
     return track.lost_tracks(keypoints(spark, sf)).select("track_id", "kpt_id", "seq", "ptr")
 
 
+@query("u1_lost_tracks_of_words", f"""with {K}, e as (select track_id from pts group by 1 having max(frame_id) <= {LAST} - 2 and count(*) filter (where word <> 0 and scale < 3) >= 4)
+select track_id, count(*) as n from pts where track_id in (from e) group by 1""")
+def u1_lost(spark, sf):
+    """K11 of tracks with four points that have a word and a fine scale."""
+    lost = track.lost_tracks(keypoints(spark, sf), predicate=(F.col("word") != 0) & (F.col("scale") < 3))
+    return lost.groupBy("track_id").agg(F.count("*").alias("n"))
+
+
+@query("u1_matched_or_not_to_be", f"""with {K} select kpt_id from pts where track_id not in (select track_id from pts where frame_id = {LAST} - 2 and word % 2 = 1
+ and track_id not in (select track_id from pts where frame_id = {LAST} - 1))""")
+def u1_kept(spark, sf):
+    """K9 of points with an odd word; a track whose point has another one stays."""
+    p = keypoints(spark, sf)
+    last = p.agg(F.max("frame_id")).first()[0]
+    return track.remove_unmatched(p, last - 2, F.col("word") % 2 == 1).select("kpt_id")
+
+
+class Travelled(listen.Listener):
+    """How far a track has gone, told at its end."""
+
+    def __init__(self):
+        self.n, self.path, self.at = 0, 0.0, None
+
+    def point_added(self, point):
+        here = (point["u"], point["v"])
+        if self.at is not None:
+            self.path += math.dist(self.at, here)
+        self.n, self.at = self.n + 1, here
+        return ()
+
+    def point_removed(self, point):
+        yield point["track_id"], self.n, round(self.path, 4), point["kpt_id"]
+
+
+@query("u2_listeners_of_tracks", f"""with {K}, s as (select track_id, kpt_id, frame_id, sqrt(pow(u - lag(u) over w, 2) + pow(v - lag(v) over w, 2)) as d from pts window w as (partition by track_id order by frame_id, kpt_id))
+select track_id, count(*) as n, round(coalesce(sum(d), 0), 4) as path, arg_max(kpt_id, (frame_id, kpt_id)) as last_kpt_id from s group by 1""")
+def u2(spark, sf):
+    """A table function over the tracks, called through SQL."""
+    keypoints(spark, sf).select("video_id", "track_id", "frame_id", "kpt_id", "u", "v").createOrReplaceTempView("u2_points")
+    listen.register(spark, "travelled", Travelled, "track_id long, n long, path double, last_kpt_id long")
+    return spark.sql("select * from travelled(table(u2_points))")
+
+
 @query("k12_track_words_so_far", f"""with {K}, f as (select distinct track_id, frame_id from pts)
 select f.track_id, f.frame_id, word, count(*) as cnt from f join pts p on p.track_id = f.track_id and p.frame_id <= f.frame_id where word <> 0 group by 1, 2, 3""")
 def k12(spark, sf):
