@@ -196,6 +196,39 @@ def test_fewer_distinct_rows_than_branches(spark):
     assert len(vocab.build_tree(same, k=4, min_elem=5)) == 1
 
 
+def test_trees_built_over_tasks_and_in_one_are_the_same(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.round(rng.normal(size=(150, 4)) * 3 + 40 * rng.normal(size=4)) for _ in range(8)])  # whole numbers: sums are exact
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, vector array<double>").repartition(6)
+    spark.sparkContext.setJobGroup("whole", "")
+    whole = vocab.build_tree(d, k=3, max_level=6, min_elem=20)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 10 and max(n.level for n in whole) > 3
+    told = lambda t: [(n.id, n.parent, n.ordinal, n.level, n.word, n.size, n.mean.tolist()) for n in t]
+    assert told(vocab.build_tree(d, k=3, max_level=6, min_elem=20, at_hand=300)) == told(whole)
+    for n in whole:
+        assert not n.kids or n.size == sum(c.size for c in n.kids)
+    sizes = {r["node"]: r["count"] for r in vocab.quantise(d.where("vector is not null"), whole).groupBy("node").count().collect()}
+    assert sizes == {n.id: n.size for n in whole if not n.kids}
+    vocab.save_tree(vocab.tree_table(spark, whole), str(tmp_path / "t"))
+    vocab.save_tree(vocab.tree_table(spark, whole), str(tmp_path / "t"))
+    assert told(vocab.tree_from_table(vocab.load_tree(spark, str(tmp_path / "t")))) == told(whole)
+
+
+def test_a_split_against_plain_k_means(spark):
+    x = np.round(np.random.default_rng(9).normal(size=(400, 3)) * 20)
+    d = spark.createDataFrame([(1, v.tolist()) for v in x], "node long, vector array<double>").repartition(5)
+    means, sizes = vocab.split_nodes(d, [1], 4, 32)[1]
+    c = vocab._starts(x, 1, 4)[1]
+    assert len({tuple(v) for v in c}) == 4
+    for _ in range(32):
+        own = np.array([min(range(4), key=lambda j: (((v - c[j]) ** 2).sum(), j)) for v in x])
+        c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(4)])
+    assert np.allclose(means, c) and sizes.tolist() == np.bincount(own, minlength=4).tolist()
+    assert vocab.split_nodes(d.where("false"), [1]) == {} and len(vocab.build_tree(d.select(F.lit(0).alias("id"), "vector").where("false"))) == 1
+
+
 def test_pca_with_all_modes_is_lossless(spark):
     x = np.random.default_rng(5).normal(size=(80, 6)) @ np.random.default_rng(6).normal(size=(6, 6)) + 3
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")

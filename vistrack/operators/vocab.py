@@ -1,20 +1,22 @@
 """The vocabulary tree: hierarchical k-means over descriptors, and quantisation by descent.
 
 A tree is a list of nodes (node_id, parent_id, ordinal, level, word, mean): one row a node, bounded by
-branches ** depth, so it travels to every task. Rows of descriptors never move while it is built: a level's nodes are
-all refined in one pass, and only partial sums per (node, child) are shuffled.
+branches ** depth, so it travels to every task. While nodes are large, rows of descriptors don't move: a level's nodes
+are all refined in one pass, and only sums per task, node and child are shuffled. Rows of a node that fits a task move
+once, to the task that builds all below it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.state import checkpointed
+from ..plans.state import written
 
 SCHEMA = "node_id long, parent_id long, ordinal int, level int, word int, size long, mean array<double>"
 
@@ -37,81 +39,154 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return d.argmin(1)
 
 
+def _marks(x: np.ndarray, node: int) -> np.ndarray:
+    """A number per row, from its values and a node's id: rows that are equal have the same one."""
+    odd = np.random.default_rng(node).integers(0, 1 << 63, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)  # -0.0 and 0.0 are one value
+    mark = ((bits ^ (bits >> np.uint64(32))) * odd).sum(1)
+    return ((mark ^ (mark >> np.uint64(31))) * odd[0] >> np.uint64(1)).astype(np.int64)
+
+
+def _starts(x: np.ndarray, node: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k lowest marks of different rows, and those rows."""
+    marks, at = np.unique(_marks(x, node), return_index=True)
+    return marks[:k], x[at[:k]]
+
+
+def _sums(x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """For each of k clusters the number of its rows, and their sum."""
+    member = (own[None, :] == np.arange(k)[:, None]).astype(float)
+    return np.c_[member.sum(1), member @ x]
+
+
+def _moved(centres: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Clusters without rows keep their centre."""
+    return np.where(sums[:, :1] > 0, sums[:, 1:] / np.maximum(sums[:, :1], 1), centres)
+
+
 def split_nodes(rows: DataFrame, nodes: list[int], k: int = 4, iterations: int = 32) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """k-means of every listed node's rows (node, id, vector) at once: node -> (means, sizes) of its clusters.
+    """k-means of every listed node's rows (node, vector) at once: node -> (means, sizes) of its clusters.
 
-    Starts from the rows with the smallest hashes that differ (so fewer rows than k give fewer clusters); a cluster
-    that loses all rows keeps its mean, and goes if it is empty in the last pass.
+    Starts from the rows with the lowest marks that differ (so fewer rows than k give fewer clusters), of which each
+    task sends k a node; a cluster that loses all rows keeps its mean, and goes if it is empty in the last pass. A pass
+    moves one sum of vectors per task, node and child.
     """
-    keyed = rows.where(F.col("node").isin(nodes))
-    order = F.xxhash64("id", "node")
-    first = keyed.groupBy("node", "vector").agg(F.min(order).alias("h"))
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("h"))).where(F.col("r") <= k)
-    centres: dict[int, np.ndarray] = {}
+    keyed = rows.where(F.col("node").isin(nodes)).select("node", "vector")
+
+    def lowest(frames):
+        best: dict[int, np.ndarray] = {}
+        for f in frames:
+            for n, part in f.groupby("node"):
+                x = np.array(part["vector"].tolist(), float)
+                best[n] = _starts(np.concatenate([best[n], x]) if n in best else x, n, k)[1]
+        for n, x in best.items():
+            yield pd.DataFrame({"node": n, "mark": _marks(x, n), "vector": list(x)})
+
+    first = keyed.mapInPandas(lowest, "node long, mark long, vector array<double>").groupBy("node", "mark").agg(F.first("vector").alias("vector"))
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("mark"))).where(F.col("r") <= k)
+    picked: dict[int, list] = {}
     for r in first.orderBy("node", "r").collect():  # k rows a node
-        centres.setdefault(r["node"], []).append(r["vector"])
-    centres = {n: np.array(c, float) for n, c in centres.items()}
-    sizes: dict[int, np.ndarray] = {}
+        picked.setdefault(r["node"], []).append(r["vector"])
+    centres = {n: np.array(c, float) for n, c in picked.items()}
+    if not centres:
+        return {}
+    width = 1 + next(iter(centres.values())).shape[1]
+    total: dict[int, np.ndarray] = {}
     for _ in range(iterations):
         now = centres
 
         def sums(frames, now=now):
-            total: dict[tuple[int, int], np.ndarray] = {}
+            total: dict[int, np.ndarray] = {}
             for f in frames:
                 for n, part in f.groupby("node"):
                     x = np.array(part["vector"].tolist(), float)
-                    own = _nearest(x, now[n])
-                    for c in np.unique(own).tolist():
-                        s = np.r_[(own == c).sum(), x[own == c].sum(0)]
-                        total[n, c] = total.get((n, c), 0) + s
-            if total:
-                yield pd.DataFrame({"node": [a for a, _ in total], "child": [b for _, b in total], "s": list(total.values())})
-
-        part = keyed.select("node", "vector").mapInPandas(sums, "node long, child int, s array<double>")
-        got = part.select("node", "child", F.posexplode("s")).groupBy("node", "child", "pos").agg(F.sum("col").alias("x"))
-        got = got.groupBy("node", "child").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("s")).collect()
-        centres, moved = {n: c.copy() for n, c in now.items()}, 0.0
-        sizes = {n: np.zeros(len(c), int) for n, c in now.items()}
-        for r in got:
-            s = np.array([p["x"] for p in r["s"]])
-            mean = s[1:] / s[0]
-            moved = max(moved, float(np.abs(mean - centres[r["node"]][r["child"]]).max()))
-            centres[r["node"]][r["child"]], sizes[r["node"]][r["child"]] = mean, int(s[0])
-        if moved == 0:  # further passes would change nothing
+                    total[n] = total.get(n, 0) + _sums(x, _nearest(x, now[n]), len(now[n]))
+            for n, s in total.items():
+                yield pd.DataFrame({"node": n, "child": np.arange(len(s)), "s": list(s)})
+
+        part = keyed.mapInPandas(sums, "node long, child int, s array<double>")
+        got = part.groupBy("node", "child").agg(F.array(*(F.sum(F.col("s")[i]) for i in range(width))).alias("s"))
+        total = {n: np.zeros((len(c), width)) for n, c in now.items()}
+        for r in got.collect():  # k rows a node
+            total[r["node"]][r["child"]] = r["s"]
+        centres = {n: _moved(c, total[n]) for n, c in now.items()}
+        if all(np.array_equal(c, now[n]) for n, c in centres.items()):  # further passes would change nothing
             break
-    return {n: (c[sizes[n] > 0], sizes[n][sizes[n] > 0]) for n, c in centres.items() if n in sizes}
+    return {n: (c[total[n][:, 0] > 0], total[n][total[n][:, 0] > 0, 0].astype(int)) for n, c in centres.items()}
 
 
-def build_tree(vectors: DataFrame, k: int = 4, max_level: int = 8, min_elem: int = 1000, iterations: int = 32) -> list[Node]:
-    """Splits leaves below `max_level` with more than `min_elem` (and more than four) rows, level by level.
+def _kid(node: int, ordinal: int, k: int) -> int:
+    """Nodes of a full k-ary tree, numbered level by level from 1."""
+    return k * (node - 1) + ordinal + 2
 
-    `vectors` has (id, vector). A split into a single cluster leaves the node a leaf.
+
+def _grown(x: np.ndarray, node: int, level: int, k: int, max_level: int, min_elem: int, iterations: int):
+    """(node, level, size, mean) of all nodes below one whose rows are at hand."""
+    todo = [(node, level, x)]
+    while todo:
+        node, level, x = todo.pop()
+        if level >= max_level or len(x) <= max(4, min_elem):
+            continue
+        centres = _starts(x, node, k)[1]
+        for _ in range(iterations):
+            sums, last = _sums(x, _nearest(x, centres), len(centres)), centres
+            centres = _moved(centres, sums)
+            if np.array_equal(centres, last):
+                break
+        centres = centres[sums[:, 0] > 0]
+        if len(centres) < 2:
+            continue
+        own = _nearest(x, centres)
+        for i, mean in enumerate(centres):
+            part = x[own == i]
+            yield _kid(node, i, k), level + 1, len(part), mean
+            todo.append((_kid(node, i, k), level + 1, part))
+
+
+def build_tree(vectors: DataFrame, k: int = 4, max_level: int = 8, min_elem: int = 1000, iterations: int = 32, at_hand: int = 100_000) -> list[Node]:
+    """Splits leaves below `max_level` with more than `min_elem` (and more than four) rows.
+
+    `vectors` has (id, vector); rows without a vector take no part. Nodes of more than `at_hand` rows are split level
+    by level over all tasks; what is left of the tree below a smaller node is built whole in one task, which its rows
+    are sent to once. Both ways start from the same rows and give the same tree, up to rounding. A node's size is the
+    number of rows that a descent leaves there or passes on. A split into a single cluster leaves the node a leaf.
     """
-    rows = checkpointed(vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).withColumn("node", F.lit(1).cast("long")))
-    n = rows.count()
-    root = Node(1, 0, 0, 0, np.zeros(0), n)
-    nodes, level = {1: root}, [root]
-    while level:
-        todo = [x for x in level if x.level < max_level and x.size > max(4, min_elem)]
-        if not todo:
+    rows = written(vectors.where("vector is not null").select(F.lit(1).cast("long").alias("node"), F.col("vector").cast("array<double>").alias("vector")), "vectors")
+    found = {1: (0, rows.count(), np.zeros(0))}
+    level, fresh, handed = 0, [1], []
+    while True:
+        open_ = [n for n in fresh if level < max_level and found[n][1] > max(4, min_elem)]
+        small, big = [n for n in open_ if found[n][1] <= at_hand], [n for n in open_ if found[n][1] > at_hand]
+        if small:
+            handed.append(rows.where(F.col("node").isin(small)).withColumn("level", F.lit(level)))
+        if not big:
             break
-        level, split = [], split_nodes(rows, [x.id for x in todo], k, iterations)
-        for x in todo:
-            means, sizes = split.get(x.id, (np.zeros((0, 0)), np.zeros(0)))
-            if len(means) < 2:
-                continue
-            for i, (m, s) in enumerate(zip(means, sizes)):
-                kid = Node(len(nodes) + 1, x.id, i, x.level + 1, m, int(s))
-                nodes[kid.id] = kid
-                x.kids.append(kid)
-                level.append(kid)
-        rows = checkpointed(rows.withColumn("node", _step(nodes)(F.col("node"), F.col("vector"))))
-    number_leaves(root)
-    return [nodes[i] for i in sorted(nodes)]
-
-
-def _step(nodes: dict[int, Node]):
-    kids = {i: (np.array([k.mean for k in x.kids]), np.array([k.id for k in x.kids])) for i, x in nodes.items() if x.kids}
+        means = {n: m for n, (m, _) in split_nodes(rows, big, k, iterations).items() if len(m) > 1}
+        kids = {n: (m, np.array([_kid(n, i, k) for i in range(len(m))])) for n, m in means.items()}
+        rows = written(rows.where(F.col("node").isin(list(kids))).withColumn("node", _step(kids)("node", "vector")), "vectors")
+        sizes = {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()}  # a row for each node of the level
+        level, fresh = level + 1, [int(i) for _, ids in kids.values() for i in ids]
+        for m, ids in kids.values():
+            found |= {int(i): (level, sizes.get(int(i), 0), mean) for i, mean in zip(ids, m)}
+    if handed:
+
+        def below(f: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(f["vector"].tolist(), float)
+            got = list(_grown(x, int(f["node"].iloc[0]), int(f["level"].iloc[0]), k, max_level, min_elem, iterations))
+            return pd.DataFrame(got, columns=["node", "level", "size", "mean"])
+
+        parts = reduce(DataFrame.unionByName, handed).groupBy("node").applyInPandas(below, "node long, level int, size long, mean array<double>")
+        found |= {r["node"]: (r["level"], r["size"], np.array(r["mean"])) for r in parts.collect()}  # the tree
+    ids = {n: i for i, n in enumerate(sorted(found), 1)}
+    tree = [Node(ids[n], ids.get((n - 2) // k + 1, 0) if n > 1 else 0, (n - 2) % k if n > 1 else 0, found[n][0], found[n][2], found[n][1]) for n in ids]
+    for x in tree[1:]:
+        tree[x.parent - 1].kids.append(x)
+    number_leaves(tree[0])
+    return tree
+
+
+def _step(kids: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """From a node to its nearest child, by the children's means and ids."""
 
     @F.pandas_udf("long")
     def run(node: pd.Series, vector: pd.Series) -> pd.Series:

@@ -84,13 +84,13 @@ def v11(spark, sf):
 
 
 def tree(spark, sf):
-    return vocab.build_tree(descriptors(spark, sf), k=4, max_level=3, min_elem=64, iterations=8)
+    return vocab.build_tree(descriptors(spark, sf), k=4, max_level=8, min_elem=64, iterations=32)
 
 
 @query("t1_kmeans_split")
 def t1(spark, sf):
     rows = descriptors(spark, sf).withColumn("node", F.lit(1).cast("long"))
-    means, sizes = vocab.split_nodes(rows, [1], 4, 8)[1]
+    means, sizes = vocab.split_nodes(rows, [1], 4, 32)[1]
     return spark.createDataFrame([(i, int(s), m.tolist()) for i, (m, s) in enumerate(zip(means, sizes))], "cluster int, size long, mean array<double>")
 
 
