@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.objects import pack_key, unpack_key
+from .files import FrameSource, PacketSource
 
-PACKETS = "source string, packet_no long, ptr long, descriptor array<float>"
-
-
-def read_packets(spark: SparkSession, path: str, dim: int) -> DataFrame:
+def read_packets(spark: SparkSession, path: str, dim: int, split_bytes: int = 64 << 20) -> DataFrame:
     """Files of fixed records, an 8-byte pointer and `dim` floats, little-endian: source, packet_no (file order), ptr,
-    descriptor. A trailing part of a record is an error. A file is read by one task; many files spread."""
+    descriptor. A trailing part of a record is an error. A file is cut into ranges of at most `split_bytes`."""
+    spark.dataSource.register(PacketSource)
+    return spark.read.format("packets").option("dim", dim).option("splitBytes", split_bytes).load(path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        record = np.dtype([("ptr", "<i8"), ("x", "<f4", (dim,))])
-        for f in frames:
-            for path_, content in zip(f["path"], f["content"]):
-                if len(content) % record.itemsize:
-                    raise ValueError(f"{path_}: not a whole number of packets of {dim} floats")
-                rows = np.frombuffer(content, record)
-                for i in range(0, len(rows), 8192):
-                    part = rows[i : i + 8192]
-                    yield pd.DataFrame({"source": path_, "packet_no": np.arange(i, i + len(part)), "ptr": part["ptr"], "descriptor": list(part["x"])})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PACKETS)
+def write_packets(packets: DataFrame, path: str, dim: int) -> None:
+    """Appends files of packets to a folder, one for each source (source, packet_no, ptr, descriptor), in order of
+    packet_no. As packets point into their file, a source is written by one task."""
+    packets.sparkSession.dataSource.register(PacketSource)
+    rows = packets.repartition("source").sortWithinPartitions("source", "packet_no")
+    rows = rows.select("source", F.col("packet_no").cast("long"), F.col("ptr").cast("long"), F.col("descriptor").cast("array<float>"))
+    rows.write.format("packets").option("dim", dim).mode("append").save(path)
 
 
 def bad_coordinates(packets: DataFrame) -> DataFrame:
@@ -65,9 +58,16 @@ def load_clusters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(cid.alias("cid"), word.alias("word"), F.col("cnt").cast("long").alias("cnt"))
 
 
+ANNOTATION = ("obj", "x", "y", "type", "descr")
+
+
 def add_annotation(rows: DataFrame, path: str) -> None:
     """Appends (obj, x, y, type, descr)."""
-    rows.select("obj", "x", "y", "type", "descr").write.mode("append").parquet(path)
+    rows.select(*ANNOTATION).write.mode("append").parquet(path)
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*ANNOTATION)
 
 
 def read_images(spark: SparkSession, path: str, shape: DataFrame) -> DataFrame:
@@ -87,10 +87,12 @@ def get_images(images: DataFrame, ids: DataFrame) -> DataFrame:
 
 def read_frames(spark: SparkSession, folder: str, prefix: str, suffix: str = "bmp", first: int = 0, last: int | None = None, stream: bool = False) -> DataFrame:
     """frame_id, path, data of numbered files prefix + digits + suffix, from the first existing number at or above
-    `first` up to `last`; as a stream of new files with `stream`."""
-    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("pathGlobFilter", f"{prefix}*.{suffix}")
+    `first` up to `last`. With `stream` a stream of them, where a frame comes once all numbers before it are there."""
     if stream:
-        reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
+        spark.dataSource.register(FrameSource)
+        options = {"prefix": prefix, "suffix": suffix, "first": first} | ({} if last is None else {"last": last})
+        return spark.readStream.format("frames").options(**options).load(folder)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.{suffix}")
     number = F.regexp_extract("path", rf"{prefix}([0-9]+)\.{suffix}$", 1)
     out = reader.load(folder).where(number != "").select(number.cast("long").alias("frame_id"), "path", F.col("content").alias("data"))
     out = out.where(F.col("frame_id") >= first)
