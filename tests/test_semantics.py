@@ -45,14 +45,14 @@ def test_min_ratio_is_strict(spark):
     assert [tuple(r)[:2] for r in retrieve.min_ratio(s, 0.98).collect()] == [(1, 1)]
 
 
-@pytest.mark.parametrize("binary", [False, True])
-def test_incremental_scores_equal_those_from_scratch(spark, binary):
+@pytest.mark.parametrize("flags", [(), ("NORM",), ("IDF", "NORM"), ("MIN", "IDF", "NORM"), ("BIN", "IDF", "NORM")])
+def test_incremental_scores_equal_those_from_scratch(spark, flags):
     rng = np.random.default_rng(3)
     make = lambda n, c: hist(spark, {i: {int(w): int(rng.integers(1, 5)) for w in rng.integers(1, 40, c)} for i in range(n)})
     db, old, new = make(20, 6), make(6, 8).withColumnRenamed("cid", "query_id"), make(6, 8).withColumnRenamed("cid", "query_id")
-    flags = {"BIN" if binary else "MIN", "IDF", "NORM"}
+    flags = set(flags)
     stored = retrieve.query_scores(old, db, flags)
-    got, want = scores(retrieve.update_scores(stored, old, new, db, binary)), scores(retrieve.query_scores(new, db, flags))
+    got, want = scores(retrieve.update_scores(stored, old, new, db, flags)), scores(retrieve.query_scores(new, db, flags))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 

@@ -70,3 +70,12 @@ def test_annotations_are_appended(spark, tmp_path):
     tables.add_annotation(one, str(tmp_path / "a"))
     tables.add_annotation(one.selectExpr("obj + 1 as obj", "x", "y", "type", "descr"), str(tmp_path / "a"))
     assert sorted(map(tuple, tables.annotations(spark, str(tmp_path / "a")).collect())) == [(1, 2.0, 3.0, "text", "a"), (2, 2.0, 3.0, "text", "a")]
+
+
+def test_only_whole_images_are_added(spark, tmp_path):
+    kind = "img_id long, width int, height int, step int, channels int, data binary"
+    tables.add_images(spark.createDataFrame([(1, 2, 2, 2, 1, b"abcd"), (2, 1, 1, 1, 1, b"x")], kind), str(tmp_path / "i"))
+    with pytest.raises(ValueError, match=r"\[3, 4\]"):
+        tables.add_images(spark.createDataFrame([(3, 2, 2, 2, 1, b"abc"), (4, 2, 2, 2, 1, None)], kind).coalesce(1), str(tmp_path / "i"))
+    images = spark.read.parquet(str(tmp_path / "i"))
+    assert [bytes(r["data"]) for r in tables.get_images(images, spark.createDataFrame([(1,), (1,), (9,)], "img_id long")).collect()] == [b"abcd"]

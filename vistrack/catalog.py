@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import inputs, retrieval, tracker, tracking, vocabulary  # noqa: F401  the plans register themselves
+from .plans import files, inputs, retrieval, tracker, tracking, vocabulary  # noqa: F401  the plans register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

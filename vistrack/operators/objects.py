@@ -24,6 +24,17 @@ def frame_keypoints(points: DataFrame, with_clusters: bool = True) -> DataFrame:
     return points.withColumn("cid", cid).where(histo.is_valid(F.col("cid")))
 
 
+def added_keypoints(points: DataFrame, with_clusters: bool = True) -> DataFrame:
+    """obj_id, img_id, kpt_id, cid, u, v of the points of frames (obj_id, img_id) that are added to objects. The image
+    itself goes to the table of images, its counts to the objects' histograms."""
+    return frame_keypoints(points, with_clusters).select("obj_id", "img_id", "kpt_id", "cid", "u", "v")
+
+
+def added_counts(keypoints: DataFrame) -> DataFrame:
+    """cid, word, cnt: what keypoints add to the histograms of their objects, for `histo.update_histograms`."""
+    return keypoints.groupBy(F.col("obj_id").alias("cid"), F.col("cid").alias("word")).agg(F.count("*").alias("cnt"))
+
+
 def train_from_video(points: DataFrame, obj: str = "video_id") -> tuple[DataFrame, DataFrame]:
     """One object per video: (obj_id, frame_id of the latest frame) and the histogram of all its keypoints."""
     image = points.groupBy(F.col(obj).alias("obj_id")).agg(F.max("frame_id").alias("frame_id"))

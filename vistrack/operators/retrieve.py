@@ -36,6 +36,13 @@ def double_normalised_product(q: DataFrame, c: DataFrame) -> DataFrame:
     return a.join(b, "word").groupBy("query_id", "cid").agg(F.sum(x).alias("score"))
 
 
+def _common(cnt: Column, tf: Column, flags: frozenset[str] | set[str]) -> Column:
+    """What a bin of a query and one of a cluster have in common."""
+    if "BIN" in flags:
+        return F.least(cnt, F.lit(1)) * F.least(tf, F.lit(1))
+    return F.least(cnt, tf) if "MIN" in flags else cnt * tf
+
+
 def query_scores(q: DataFrame, db: DataFrame, flags: frozenset[str] | set[str] = frozenset({"IDF", "NORM"})) -> DataFrame:
     """query_id, cid, score > 0 under a set of flags out of IDF, NORM, MIN, BIN (none: plain counts).
 
@@ -49,12 +56,7 @@ def query_scores(q: DataFrame, db: DataFrame, flags: frozenset[str] | set[str] =
         b = b.join(histo.weighted_sums(db, w, "BIN" in flags), "cid").where("weighted_sum > 0")
     if w is not None:
         b = b.join(w, "word")
-    x = F.col("cnt") * F.col("tf")
-    if "MIN" in flags:
-        x = F.least("cnt", "tf")
-    if "BIN" in flags:
-        x = F.least("cnt", F.lit(1)) * F.least("tf", F.lit(1))
-    x = x.cast("double")
+    x = _common(F.col("cnt"), F.col("tf"), flags).cast("double")
     x = x * F.col("idf") if w is not None else x
     x = x / F.col("weighted_sum") if "NORM" in flags else x
     x = x / F.col("total") if "NORM" in flags and not flags & {"MIN", "BIN"} else x
@@ -69,19 +71,29 @@ def histogram_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("query_id", "word", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("before", "after"))).where("before <> after")
 
 
-def update_scores(scores: DataFrame, old: DataFrame, new: DataFrame, db: DataFrame, binary: bool = False) -> DataFrame:
-    """query_id, cid, score: stored MIN (or BIN) scores with idf and norm, moved by the changed bins only.
+def update_scores(scores: DataFrame, old: DataFrame, new: DataFrame, db: DataFrame, flags: frozenset[str] | set[str] = frozenset({"MIN", "IDF", "NORM"})) -> DataFrame:
+    """query_id, cid, score: stored scores under `flags` (those of query_scores), moved by the changed bins only.
 
-    Equals query_scores of the new histograms; rows that fall back to zero go. A changed collection changes the
-    weights, so its scores are computed anew instead.
+    Equals query_scores of the new histograms; rows that fall back to zero go. Where scores are shares of the query's
+    total, they are brought from the old total to the new one. A changed collection changes the weights, so its scores
+    are computed anew instead.
     """
-    w = histo.idf(db).where("idf > 0").select("word", "idf")
-    b = db.select("cid", "word", F.col("cnt").alias("tf")).join(histo.weighted_sums(db, w, binary), "cid").where("weighted_sum > 0").join(w, "word")
-    f = lambda c: F.least(c, F.lit(1)) * F.least(F.col("tf"), F.lit(1)) if binary else F.least(c, F.col("tf"))
-    moved = (f(F.col("after")) - f(F.col("before"))) * F.col("idf") / F.col("weighted_sum")
+    w = histo.idf(db).where("idf > 0").select("word", "idf") if "IDF" in flags else None
+    b = db.select("cid", "word", F.col("cnt").alias("tf"))
+    if "NORM" in flags:
+        b = b.join(histo.weighted_sums(db, w, "BIN" in flags), "cid").where("weighted_sum > 0")
+    if w is not None:
+        b = b.join(w, "word")
+    moved = (_common(F.col("after"), F.col("tf"), flags) - _common(F.col("before"), F.col("tf"), flags)).cast("double")
+    moved = moved * F.col("idf") if w is not None else moved
+    moved = moved / F.col("weighted_sum") if "NORM" in flags else moved
     delta = histogram_diff(old, new).join(b, "word").select("query_id", "cid", moved.alias("score"))
-    out = scores.select("query_id", "cid", "score").unionByName(delta).groupBy("query_id", "cid").agg(F.sum("score").alias("score"))
-    return out.where("score > 1e-12")
+    stored = scores.select("query_id", "cid", "score")
+    if shares := "NORM" in flags and not flags & {"MIN", "BIN"}:
+        total = lambda h, name: h.groupBy("query_id").agg(F.sum("cnt").alias(name))
+        stored = stored.join(total(old, "was"), "query_id").select("query_id", "cid", (F.col("score") * F.col("was")).alias("score"))
+    out = stored.unionByName(delta).groupBy("query_id", "cid").agg(F.sum("score").alias("score")).where("score > 1e-12")
+    return out.join(total(new, "is_now"), "query_id").select("query_id", "cid", (F.col("score") / F.col("is_now")).alias("score")) if shares else out
 
 
 def top_k(scores: DataFrame, k: int = 1) -> DataFrame:

@@ -185,6 +185,14 @@ def r5(spark, sf):
     return retrieve.update_scores(stored, old, new, db).select("query_id", "cid", r6("score"))
 
 
+for _flags in ((), ("IDF", "NORM")):
+
+    @query("r5_incremental_" + ("_".join(_flags).lower() or "freq"), _r4(set(_flags)))
+    def r5_flags(spark, sf, flags=frozenset(_flags)):
+        db, old, new = clusters(spark, sf), older(spark, sf), frame_histograms(spark, sf)
+        return retrieve.update_scores(retrieve.query_scores(old, db, flags), old, new, db, flags).select("query_id", "cid", r6("score"))
+
+
 @query("r6_histogram_diff", f"""with {Q}, o as (select o_custkey as query_id, {WORD_SQL} as word, count(*) as cnt from lineitem join orders on l_orderkey = o_orderkey where l_linenumber < 5 group by 1, 2)
 select query_id, word, coalesce(o.cnt, 0) as before, coalesce(q.cnt, 0) as after from o full join q using (query_id, word) where coalesce(o.cnt, 0) <> coalesce(q.cnt, 0)""")
 def r6_(spark, sf):

@@ -81,6 +81,16 @@ def valid_images(images: DataFrame) -> DataFrame:
     return images.where(F.octet_length("data") == F.col("step") * F.col("height"))
 
 
+def add_images(images: DataFrame, path: str) -> None:
+    """Appends images (img_id, width, height, step, channels, data), if all are whole; else an error that names the
+    first ones that aren't."""
+    whole = F.coalesce(F.octet_length("data") == F.col("step") * F.col("height"), F.lit(False))
+    bad = [r["img_id"] for r in images.where(~whole).select("img_id").take(5)]
+    if bad:
+        raise ValueError(f"images without step x height bytes: {bad}")
+    images.select("img_id", "width", "height", "step", "channels", "data").write.mode("append").parquet(path)
+
+
 def get_images(images: DataFrame, ids: DataFrame) -> DataFrame:
     return valid_images(images).join(ids.select("img_id").distinct(), "img_id")
 
