@@ -308,6 +308,13 @@ def test_ranks_equal_brute_force_pagerank(spark):
     assert {r["good"] for r in urls.propagate(hosts.withColumn("good", F.lit(0.0)), links, {"good": False}).collect()} == {0.0}
 
 
+def test_ranks_of_the_least_links_are_kept(spark):
+    hosts = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.0)], "host string, good double")
+    links = spark.createDataFrame([("a", "b", 1e17), ("a", "c", 1.0)], "src string, dst string, weight double")
+    got = {r["host"]: r["good"] for r in urls.propagate(hosts, links, {"good": False}).collect()}
+    assert got["b"] == pytest.approx(0.85 / 1.85) and got["c"] == pytest.approx(0.85e-17 / 1.85)
+
+
 def test_url_filter_keeps_rows_without_an_id(spark):
     d = spark.createDataFrame([(None, "http://a.com/de/1", None, "x"), (None, "http://a.com/fr/1", None, "y"), (3, "http://a.com/fr/1", "z" * 2_000_000, "z"), (3, None, None, "w")], PAGES)
     assert sorted(r[d.columns[-1]] for r in urls.allowed_pages(d).collect()) == ["w", "y", "z"]
