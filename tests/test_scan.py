@@ -1,8 +1,11 @@
 """Running maps over sessions against folds of one row at a time."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from vistrack.operators import events, scan
+from vistrack.streaming import poses
 
 
 def by_hand(rows, step, start):
@@ -73,3 +76,23 @@ def test_nulls_repeats_and_no_rows(spark):
     want = [(1, 1, 10.0, 10.0), (1, 2, None, None), (1, 3, 20.0, 20.0), (1, 3, 30.0, 24.0), (None, 3, 1.0, None), (1, None, 1.0, None)]
     assert got == sorted(want, key=str)
     assert events.smoothed(spark.createDataFrame([], schema), ["x"]).count() == 0
+
+
+@pytest.mark.parametrize("form", ["smoothed", "kalman"])
+def test_streams_equal_batch(spark, rows, tmp_path, form):
+    """Rows come late and again; sessions go on over micro-batches, and end at gaps."""
+    kind = "obj_id long, frame_id long, ts timestamp, x double, y double, pose array<double>"
+    make = lambda rs: spark.createDataFrame([(o, f, datetime(2024, 1, 1) + timedelta(seconds=f), x, y, [x, y, x * y, y - x, 3.0, x]) for o, f, x, y in rs], kind)
+    for a, b in ((-20, 40), (70, 120), (30, 90), (110, 200), (200, 301)):
+        make([r for r in rows if a <= r[1] < b]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for day in (1, 2):
+        make([(o, day * 86_400, 0.0, 0.0) for o in range(6)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(make(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = poses.smoothed(stream, ["x", "y"], late="60 seconds") if form == "smoothed" else poses.kalman(stream, late="60 seconds")
+    q = out.writeStream.format("memory").queryName(form).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    batch = events.smoothed(make(rows), ["x", "y"], chunk=64) if form == "smoothed" else events.kalman(make(rows), chunk=64)
+    of = lambda df: {(r["obj_id"], r["frame_id"]): [r["x_smooth"], r["y_smooth"]] if form == "smoothed" else r["x"] for r in df.collect()}
+    got, want = of(spark.table(form).where("frame_id < 1000")), of(batch)
+    assert spark.table(form).where("frame_id < 1000").count() == len(want) and set(got) == set(want)
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-7) for k in want)

@@ -83,18 +83,23 @@ def state_changes(rows: DataFrame, state: str = "state", *order: str) -> DataFra
     return rows.withColumn("before", before).where(~F.col(state).eqNullSafe(F.col("before")))
 
 
-def smoothed(poses: DataFrame, columns: list[str], alpha: float = 0.4, chunk: int = scan.CHUNK) -> DataFrame:
-    """Exponential smoothing of the columns per obj_id, started anew where the object was absent on the frame before.
-
-    A step is the map x -> (1 - alpha) x + alpha z, which scan.affine_scan() composes by chunks: a session may be of any
-    length. A row with a null among the columns counts as an absence and has null results.
-    """
+def smoothing_maps(alpha: float) -> scan.Maps:
+    """A step is x -> (1 - alpha) x + alpha z for each number; a session starts with its measurement."""
 
     def maps(k: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keep = np.where(k == 0, 0.0, 1 - alpha)[:, None]
         return np.repeat(keep, z.shape[1], 1)[..., None, None], ((1 - keep) * z)[..., None]
 
-    out = scan.affine_scan(poses, columns, maps, len(columns), 1, chunk)
+    return maps
+
+
+def smoothed(poses: DataFrame, columns: list[str], alpha: float = 0.4, chunk: int = scan.CHUNK) -> DataFrame:
+    """Exponential smoothing of the columns per obj_id, started anew where the object was absent on the frame before.
+
+    scan.affine_scan() composes the steps by chunks: a session may be of any length. A row with a null among the columns
+    counts as an absence and has null results. Stream form: streaming.poses.smoothed().
+    """
+    out = scan.affine_scan(poses, columns, smoothing_maps(alpha), len(columns), 1, chunk)
     return out.withColumns({f"{c}_smooth": F.col("__x")[i] for i, c in enumerate(columns)}).drop("__x", "__k")
 
 
@@ -117,16 +122,9 @@ def kalman_gains(place: float, speed: float, measured: float, most: int = 100_00
     raise ValueError("the gains do not settle")
 
 
-def kalman(poses: DataFrame, corrected: bool = False, chunk: int = scan.CHUNK) -> DataFrame:
-    """obj_id, frame_id, x (array of 6): a constant-velocity filter of the six numbers of `pose` over each obj_id's frames,
-    started anew where the object was absent on the frame before.
-
-    Emits the state predicted for each frame (a session's first frame: its measurement), or the corrected one. Noise is
-    NOISE. The six numbers do not mix, and gains depend on the place in the session alone, so a step is an affine map of
-    (place, speed, the place that was
-    predicted) for each number, and sessions are scanned by chunks. A pose that is null or holds a null is an absence,
-    with null results.
-    """
+def kalman_maps() -> scan.Maps:
+    """Maps of (place, speed, the place that was predicted) for each of six numbers. The numbers do not mix, and gains
+    depend on the place in the session alone."""
     gains = [kalman_gains(*n) for n in NOISE]
 
     def maps(k: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +135,20 @@ def kalman(poses: DataFrame, corrected: bool = False, chunk: int = scan.CHUNK) -
         a[k == 0] = 0
         return a, np.stack([g[..., 0] * z, g[..., 1] * z, np.where(k[:, None] == 0, z, 0)], -1)
 
+    return maps
+
+
+def kalman(poses: DataFrame, corrected: bool = False, chunk: int = scan.CHUNK) -> DataFrame:
+    """obj_id, frame_id, x (array of 6): a constant-velocity filter of the six numbers of `pose` over each obj_id's frames,
+    started anew where the object was absent on the frame before.
+
+    Emits the state predicted for each frame (a session's first frame: its measurement), or the corrected one. Noise is
+    NOISE. A step is an affine map, and sessions are scanned by chunks. A pose that is null or holds a null is an absence,
+    with null results. Stream form: streaming.poses.kalman().
+    """
     numbers = [f"z{i}" for i in range(6)]
     rows = poses.select("obj_id", "frame_id", *(F.col("pose")[i].alias(c) for i, c in enumerate(numbers)))
-    out = scan.affine_scan(rows, numbers, maps, 6, 3, chunk)
+    out = scan.affine_scan(rows, numbers, kalman_maps(), 6, 3, chunk)
     x = F.array(*(F.col("__x")[3 * i + (0 if corrected else 2)] for i in range(6)))
     return out.select("obj_id", "frame_id", F.when(F.col("__x").isNotNull(), x).alias("x"))
 
