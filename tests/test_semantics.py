@@ -88,11 +88,11 @@ def naive_agglomerate(h, t):
         own[a] |= own.pop(b)
 
 
-@pytest.mark.parametrize("seed,t", [(1, 0.1), (2, 0.2)])
-def test_agglomeration_equals_one_merge_at_a_time(spark, seed, t):
+@pytest.mark.parametrize("seed,t,members", [(1, 0.1, 2000), (2, 0.2, 2000), (2, 0.2, 3)])
+def test_agglomeration_equals_one_merge_at_a_time(spark, seed, t, members):
     rng = np.random.default_rng(seed)
     h = {i: {int(w): int(rng.integers(1, 50)) for w in rng.integers(1, 9, 3)} for i in range(16)}
-    out, mapping = cluster.agglomerate(hist(spark, h), t)
+    out, mapping = cluster.agglomerate(hist(spark, h), t, members=members)
     groups = {}
     for r in mapping.collect():
         groups.setdefault(r["cluster"], set()).add(r["cid"])
@@ -100,6 +100,26 @@ def test_agglomeration_equals_one_merge_at_a_time(spark, seed, t):
     assert out.agg(F.sum("cnt")).first()[0] == sum(n for w in h.values() for n in w.values())
 
 
+def test_chains_equal_one_merge_at_a_time():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        h = {i: {int(w): int(rng.integers(1, 50)) for w in rng.integers(1, 30, 5)} for i in range(40)}
+        cnt = np.array([[h[i].get(w, 0) for w in range(30)] for i in h], float)
+        p = cnt / cnt.sum(1, keepdims=True)
+        root = cluster.chained(p @ p.T, cnt.sum(1), 0.12)
+        assert {frozenset(np.flatnonzero(root == r).tolist()) for r in set(root)} == naive_agglomerate(h, 0.12)
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = np.random.default_rng(11)
+    name = rng.permutation(1000)
+    links = [(i, i + 1) for i in range(200)] + [(300, 301 + i) for i in range(200)] + [(600 + 2 * i, 601 + 2 * i) for i in range(50)] + [(0, 1), (900, 900)]
+    pairs = spark.createDataFrame([(int(name[a]), int(name[b])) for a, b in links], "a long, b long").repartition(3)
+    got = {r["cid"]: r["component"] for r in cluster.components(pairs).collect()}
+    sets = [range(201), range(300, 501)] + [(600 + 2 * i, 601 + 2 * i) for i in range(50)]
+    assert got == {int(name[i]): int(min(name[list(s)])) for s in sets for i in s}
+
+
 def test_events_at_the_timeout(spark):
     d = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 2.001)], "obj_id long, t double")
     got = [(round(r["t"], 3), r["event"]) for r in events.appearance_events(d, 1.0).collect()]
