@@ -3,6 +3,8 @@
 import hashlib
 import importlib.util
 import random
+import tracemalloc
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -121,6 +123,24 @@ def test_labels_and_ids_are_no_inputs(spark):
     assert kept.columns == docs(spark, rows).columns and {r["doc_id"] for r in kept.collect()} >= {1, 3, 1000, 2001}
 
 
+def test_a_full_sample_is_small_on_the_driver(spark):
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'BAD!!'}{(i * j) % 97}" for j in range(12))) for i in range(3300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    tracemalloc.start()
+    try:
+        model = quality.fit(docs(spark, rows), labels)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    n = len(model["y"])
+    known = sorted(i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert n == len(known) > 2000 and (model["y"] == [i % 2 for i in known]).all()
+    x = quality.features((rows[i][1] for i in known), model["idf"])
+    assert np.allclose(model["vectors"], quality.unit(x @ model["basis"]), atol=1e-5)
+    # a row of features has 4 KB; as Python's floats it takes eight times as much
+    assert peak < 40 + 3 * n * x.shape[1] * 4 / 1e6
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs(spark, [(1, "a"), (2, None)]), none).collect()

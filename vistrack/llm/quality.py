@@ -121,24 +121,24 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, rank: int = 48) -> dict:
     """idf, basis, labelled vectors and labels: the model that every task gets (some 2 MB at the default bound).
 
-    At most 2 * `bound` texts become features, on the executors; the driver holds these rows and decomposes their
-    Gram matrix. Only the sample is bounded: document frequencies are those of all documents.
+    At most 2 * `bound` texts become features, on the executors; the driver holds these rows, 4 KB of bytes each, and
+    decomposes their Gram matrix. Only the sample is bounded: document frequencies are those of all documents.
     """
     idf = document_frequencies(docs)
     sample = labelled_sample(docs, labels, bound)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"y": f["y"], "x": list(features(f["text"], idf))})
+            yield pd.DataFrame({"y": f["y"], "x": [x.tobytes() for x in features(f["text"], idf)]})
 
     ids = [(r["doc_id"], r["y"]) for r in sample.collect()]
     if not ids:
         return {"idf": idf, "basis": np.zeros((WORDS + SHAPES, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "y": np.zeros(0)}
     known = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    got = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").mapInPandas(rows, "y int, x array<float>").toPandas()
-    x, y = np.array(got["x"].tolist(), np.float32), got["y"].to_numpy(np.float64)
-    del got  # the driver holds the rows once
+    got = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").mapInPandas(rows, "y int, x binary").collect()
+    x, y = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, WORDS + SHAPES), np.array([r["y"] for r in got], np.float64)
+    del got
     values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     basis = vectors[:, np.argsort(values)[::-1][:rank]].astype(np.float32)
     return {"idf": idf, "basis": basis, "vectors": unit(x @ basis), "y": y}
