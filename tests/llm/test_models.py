@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
-from vistrack.llm import bpe, minhash, quality
+from vistrack.llm import bpe, common, minhash, quality
 from vistrack.llm.entry import byte_bpe, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -141,6 +141,25 @@ def test_a_full_sample_is_small_on_the_driver(spark):
     assert peak < 40 + 3 * n * x.shape[1] * 4 / 1e6
 
 
+def test_a_worker_keeps_the_words_of_one_operator():
+    def tables():
+        return [len(quality._buckets), len(minhash._hashes), len(bpe._codecs)]
+
+    text, (path, pattern) = "some words that each operator learns", byte_bpe()
+    ranks = bpe.read_ranks(path)
+    common.alone()
+    for _ in range(2):
+        first = quality.bags(text)
+        quality.bags("another text")
+        assert tables() == [8, 0, 0]
+        minhash.shingle_set(text)
+        assert tables() == [0, 6, 0]
+        assert bpe.codec(ranks, pattern, 9) is bpe.codec(ranks, pattern, 9) and tables() == [0, 0, 1]
+        assert all((x == y).all() for x, y in zip(first, quality.bags(text)))
+        common.alone()
+        assert tables() == [0, 0, 0]
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs(spark, [(1, "a"), (2, None)]), none).collect()

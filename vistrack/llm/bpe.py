@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: lines of base64 token and rank."""
@@ -170,6 +172,7 @@ _codecs: dict[tuple, Codec] = {}
 def codec(ranks: dict[bytes, int], pattern: str, kept: int) -> Codec:
     """The Python worker's codec: built once and kept between its tasks."""
     key = (hash(frozenset(ranks.items())), pattern, kept)
+    alone(_codecs)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(ranks, pattern, kept)

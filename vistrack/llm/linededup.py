@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import alone, written
 
 _digit = re.compile(r"\d")
 
@@ -48,6 +48,7 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
     its way down the tree and of all its tokens, and its tokens as four bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()  # this operator's own table comes and goes with the task
         for b in batches:
             doc, line, n, leaf, own, sig = [], [], [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import alone, components, written
 
 WORDS_PER_SHINGLE, K = 5, 64
 #: Members of a block of a list, and the values of full sets in one, at most (a single larger set aside).
@@ -52,6 +52,7 @@ def shingle_set(text: str | None, width: int = WORDS_PER_SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.int64)
+    alone(_hashes)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = min(width, len(words))
     x = np.full(len(words) - n + 1, n, np.uint64)

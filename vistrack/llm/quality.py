@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import alone
+
 #: Buckets of words and of shapes; the weight of the words beside the shapes.
 WORDS, SHAPES, WORD_WEIGHT = 768, 256, 0.35
 #: Characters of the pieces that a longer word is counted in, as words and as shapes.
@@ -48,6 +50,7 @@ _buckets = _Buckets()
 
 def bags(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Counts of a text's word buckets and of its shapes and marks. Every text, empty or null too, has a mark."""
+    alone(_buckets)
     words = (text or "").split()
     codes = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
     w = np.bincount(codes // SHAPES, minlength=WORDS)
