@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from vistrack.llm import covertree, hnsw, linededup, minhash
 from vistrack.llm.common import components
 
@@ -102,6 +104,60 @@ def test_one_row_of_each_group_is_left(spark):
     assert minhash.distinct_documents(docs(spark, [])).count() == 0
 
 
+def _lists(spark, rows):
+    return spark.createDataFrame(rows, "v long, id long, c long, lead long, minor boolean")
+
+
+def test_what_lists_share_is_sent_to_a_block_once(spark, monkeypatch):
+    """Twenty lists of the same thirty ids, cut into blocks together: each pair of a minor member with any other one
+    meets in every list, and a block gets an id once, whatever the number of lists."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    ids = range(30)
+    members = _lists(spark, [(1000 + v, i, i, 0, i > 0) for v in range(20) for i in ids] + [(5000, i, i, 0, i > 0) for i in (0, 3)])
+    known = spark.createDataFrame([(i, 2, [i, i + 1]) for i in ids], "id long, n long, sketch array<long>")
+
+    def run(lists):
+        got = [(v, *p) for v, x, y in lists for p in [(a, b, len(x), len(y)) for a in x["id"] for b in y["id"]]]
+        return pd.DataFrame(got, columns=["v", "a", "b", "x", "y"]).astype("int64")
+
+    seen = minhash._meeting(members, known, known.select("id", F.col("n").alias("w")), run, "v long, a long, b long, x long, y long")
+    got = sorted((r["v"], r["a"], r["b"]) for r in seen.collect())
+    assert got == sorted([(1000 + v, a, b) for v in range(20) for a in ids if a for b in ids] + [(5000, 3, b) for b in (0, 3)])
+
+    def sent(lists):
+        return pd.DataFrame({"n": [len({i for _, x, y in lists for i in [*x["id"], *y["id"]]})]})
+
+    apart = minhash._dealt(members, known.select("id", F.col("n").alias("w"))).where("kind = 2").count()
+    cells = minhash._meeting(members.where("v < 5000"), known, known.select("id", F.col("n").alias("w")), sent, "n long")
+    assert apart == 0 and sum(r["n"] for r in cells.collect()) <= 30 * 4 + 29 * 4  # not 20 times as many
+
+
+def test_lists_without_common_members_are_cut_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(v, 1 + v * 100 + i, 1 + v * 100 + i, 0, True) for v in range(6) for i in range(20)] + [(v, 0, 0, 0, False) for v in range(6)]
+    members = _lists(spark, rows)
+    kinds = minhash._dealt(members, members.select("id").distinct().withColumn("w", F.lit(1).cast("long"))).select("kind").distinct().collect()
+    assert [r["kind"] for r in kinds] == [2]
+
+
+def test_small_blocks_find_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rows = corpus(3, groups=5, members=20)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_shuffles_of_written_tables_are_freed(spark):
+    """No shuffle file of the tables that are written on the way is left, and the setting is as it was before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    left = lambda: tracker.shuffleStatuses().size()
+    rows, before, was = corpus(4, groups=3, members=10), left(), spark.conf.get(key)
+    got = minhash.near_duplicates(docs(spark, rows))
+    assert left() - before <= 3 and spark.conf.get(key) == was
+    assert got.count() == len(rows)
+
+
 def test_needed_overlap_is_met_by_pairs_at_the_bound(spark):
     """Sets that share exactly 85 % share far more retained values than the prefixes ask for."""
     rng = np.random.default_rng(1)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, components, written
+from .common import alone, components, freed, written
 
 WORDS_PER_SHINGLE, K = 5, 64
 #: Members of a block of a list, and the values of full sets in one, at most (a single larger set aside).
@@ -156,7 +156,8 @@ def labelled(lists: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def open_members(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """v, id, c, minor: members of the lists that still hold several components; `minor` outside the largest."""
+    """v, id, c, lead, minor: members of the lists that still hold several components; `lead` is the list's largest one,
+    `minor` are those outside it."""
     at = written(labelled(lists, parts), "labelled")
     sizes = at.groupBy("v", "c").count()
     lead = sizes.groupBy("v").agg(F.max(F.struct("count", "c")).alias("top"), F.sum("count").alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
@@ -165,7 +166,7 @@ def open_members(lists: DataFrame, parts: DataFrame) -> DataFrame:
     digest = at.groupBy("v").agg(F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"))
     lead = lead.join(digest, "v").groupBy("m", "few", "lead", "x", "y").agg(F.min("v").alias("v")).drop("x", "y")
     lead = written(lead, "lead")
-    return at.join(lead, "v").select("v", "id", "c", (F.col("c") != F.col("lead")).alias("minor"))
+    return at.join(lead, "v").select("v", "id", "c", "lead", (F.col("c") != F.col("lead")).alias("minor"))
 
 
 def _marks(sketches: list[np.ndarray], values: np.ndarray) -> np.ndarray:
@@ -224,41 +225,75 @@ def _list_links(v: int, x: pd.DataFrame, y: pd.DataFrame, k: int, percent: int,
     return out
 
 
-def _meeting(members: DataFrame, values: str, run: Callable, schema: str) -> DataFrame:
-    """`run` on the minor members and on all members of each list that meet in a block.
+def _dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """v, kind, g, qs, ds: the group that each list is looked at in, and the blocks of its minor and of all its members.
 
-    Minor members meet every block of their list. A list has as many blocks as its members or its `values` (an array
-    column) need, so a block is of bounded size whatever the table's; lists of one block share calls.
+    A list that needs one block is looked at in a call with others of its largest component (kind 0). Near copies share
+    many larger lists: those of one largest component are cut into blocks together (kind 1), unless that sends more
+    rows than each by itself (kind 2). `sizes` has the values (w) that each id is sent with.
     """
-    size = F.size(values).cast("long")
-    per = written(members.groupBy("v").agg(F.count("*").alias("m"), F.count(F.when(F.col("minor"), 1)).alias("few"), F.sum(size).alias("all"), F.sum(F.when(F.col("minor"), size)).alias("part")), "per")
+    minor = lambda c: F.when(F.col("minor"), c)
+    load = [F.count("*").alias("m"), F.count(minor(F.col("w"))).alias("few"), F.sum("w").alias("all"), F.coalesce(F.sum(minor(F.col("w"))), F.lit(0)).alias("part")]
     blocks = lambda n, w: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(w) / BLOCK_VALUES)).cast("int")
-    per = per.select("v", blocks("few", "part").alias("qs"), blocks("m", "all").alias("ds"), "m", "all")
-    load = per.where("qs = 1 and ds = 1").agg(F.sum("m").alias("m"), F.sum("all").alias("all")).first()
-    calls = max(1, (load["m"] or 0) // (16 * BLOCK), (load["all"] or 0) // BLOCK_VALUES)
-    rows = members.join(per.select("v", "qs", "ds"), "v")
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    call = F.when((F.col("qs") == 1) & (F.col("ds") == 1), -1 - F.pmod(F.xxhash64("v"), F.lit(calls))).otherwise(F.col("v")).alias("g")
-    ask = rows.where("minor").withColumn("q", spread(F.col("qs"), "q")).withColumn("d", every("ds")).select(*members.columns, "q", "d", call)
-    data = rows.withColumn("d", spread(F.col("ds"), "d")).withColumn("q", every("qs")).select(*members.columns, "q", "d", call)
-    data = data.select(*(F.col(c).alias(c) for c in data.columns))  # both sides come from one table: names of its own
+    cut = ["*", blocks("few", "part").alias("qs"), blocks("m", "all").alias("ds")]
+    sent = (F.col("m") * F.col("qs") + F.col("few") * F.col("ds")).alias("sent")
+
+    sized = members.join(sizes, "id")
+    per = written(sized.groupBy("v", "lead").agg(*load).select(*cut).select("*", sent), "per")
+    one = per.where("qs <= 1 and ds <= 1")
+    total = one.agg(F.sum("m").alias("m"), F.sum("all").alias("all")).first()
+    calls = max(1, (total["m"] or 0) // (4 * BLOCK), (total["all"] or 0) // BLOCK_VALUES)
+    pieces = one.groupBy("lead").agg(F.sum("m").alias("m"), F.sum("all").alias("all")).select("lead", blocks("m", "all").alias("pieces"))
+    piece = F.pmod(F.xxhash64("v"), F.col("pieces"))
+    one = one.join(pieces, "lead").select("v", F.lit(0).alias("kind"), F.pmod(F.xxhash64("lead", piece), F.lit(calls)).alias("g"), F.lit(1).alias("qs"), F.lit(1).alias("ds"))
+
+    large = per.where("qs > 1 or ds > 1")
+    family = sized.join(large.select("v"), "v").select("lead", "id", "minor", "w").distinct().groupBy("lead").agg(*load).select(*cut).select("lead", "qs", "ds", sent)
+    family = family.join(large.groupBy("lead").agg(F.sum("sent").alias("apart")), "lead").select("lead", F.struct("qs", "ds").alias("cut"), (F.col("sent") <= F.col("apart")).alias("together"))
+    pick = lambda yes, no: F.when(F.col("together"), yes).otherwise(no)
+    large = large.join(family, "lead").select("v", pick(1, 2).alias("kind"), pick(F.col("lead"), F.col("v")).alias("g"), pick(F.col("cut.qs"), F.col("qs")).alias("qs"), pick(F.col("cut.ds"), F.col("ds")).alias("ds"))
+    return written(one.unionByName(large), "dealt")
+
+
+def _by_list(lists: pd.Series, asked: np.ndarray) -> dict[int, list[int]]:
+    """The places of the rows that each list has, of those that are `asked`."""
+    out: dict[int, list[int]] = {}
+    for i in np.flatnonzero(asked).tolist():
+        for v in lists.iat[i]:
+            out.setdefault(int(v), []).append(i)
+    return out
+
+
+def _meeting(members: DataFrame, known: DataFrame, sizes: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """`run` on the minor members and on all members of each list that meet in a block, with what is `known` of their ids.
+
+    Minor members meet every block of their group of lists (`_dealt`). A group has as many blocks as its members or
+    their values need, so a block is of bounded size whatever the table's. What is known of an id is sent to a block
+    once, for all lists that the block looks at.
+    """
+    rows = members.join(_dealt(members, sizes), "v").groupBy("kind", "g", "id").agg(F.first("c").alias("c"), F.first("qs").alias("qs"), F.first("ds").alias("ds"), F.collect_list("v").alias("vs"), F.collect_list(F.when(F.col("minor"), F.col("v"))).alias("few"))
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int").alias(salt)
+    rows = rows.select("*", spread("qs", "q"), spread("ds", "d")).join(known, "id")
+    minor, n = F.size("few") > 0, F.lit(1)
+    data = F.transform(F.sequence(n, F.col("qs")), lambda i: F.struct((i - 1).alias("q"), F.col("d").alias("d"), (minor & (i - 1 == F.col("q"))).alias("x"), F.lit(True).alias("y")))
+    asks = F.transform(F.filter(F.sequence(n, F.col("ds")), lambda i: minor & (i - 1 != F.col("d"))), lambda i: F.struct(F.col("q").alias("q"), (i - 1).alias("d"), F.lit(True).alias("x"), F.lit(False).alias("y")))
+    rows = rows.withColumn("cell", F.explode(F.concat(data, asks))).select("kind", "g", F.col("cell.q").alias("q"), F.col("cell.d").alias("d"), F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), "c", "vs", "few", *known.columns)
 
-    def lists(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        groups = dict(list(y.groupby("v"))) if len(x) and len(y) else {}
-        return run([(v, part, groups[v]) for v, part in x.groupby("v") if v in groups])
+    def lists(p: pd.DataFrame) -> pd.DataFrame:
+        minors = _by_list(p["few"], np.ones(len(p), bool))
+        ask, every = _by_list(p["few"], p["x"].to_numpy()), _by_list(p["vs"], p["y"].to_numpy())
+        part = lambda v, at: p.iloc[at].assign(minor=np.isin(at, minors[v]))
+        return run((v, part(v, ask[v]), part(v, every[v])) for v in sorted(ask) if v in every)
 
-    by = ["g", "q", "d"]
-    return ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(lists, schema)
+    return rows.groupBy("kind", "g", "q", "d").applyInPandas(lists, schema)
 
 
 def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, prefix: DataFrame, k: int, percent: int) -> DataFrame:
     """src, dst: links that connect the components which lists still hold apart; enough of them to do so."""
     known = classes.select("id", "n", "sketch").join(prefix.select("id", "prefix"), "id")
-    rows = members.join(known, "id").select("v", "id", "c", "n", "minor", "sketch", "prefix")
-    rows = written(rows, "members")
+    known = written(known.join(members.select("id").distinct(), "id", "left_semi"), "known")
 
-    def near(lists: list) -> pd.DataFrame:
+    def near(lists: Iterable) -> pd.DataFrame:
         out = []
         for v, x, y in lists:
             i, j, _ = _candidates(v, x, y, k, percent)
@@ -266,24 +301,24 @@ def cross_links(members: DataFrame, docs: DataFrame, classes: DataFrame, prefix:
             out.append(pd.DataFrame({"v": np.full(len(ids), v), "id": ids}))
         return pd.concat(out) if out else pd.DataFrame({"v": np.zeros(0, np.int64), "id": np.zeros(0, np.int64)})
 
-    flagged = written(_meeting(rows, "sketch", near, "v long, id long").distinct(), "flagged")
+    flagged = written(_meeting(members, known, known.select("id", F.least("n", F.lit(k)).alias("w")), near, "v long, id long").distinct(), "flagged")
     if flagged.isEmpty():
         return flagged.select(F.col("v").alias("src"), F.col("id").alias("dst"))
     sets = written(full_sets(docs, classes, flagged), "sets")
 
-    def links(lists: list) -> pd.DataFrame:
+    def links(lists: Iterable) -> pd.DataFrame:
         root: dict[int, int] = {}
-        found = [p for v, x, y in lists for p in _list_links(v, x, y, k, percent, root)]
+        cut = lambda x: x.assign(sketch=[s[:k] for s in x["set"]])
+        found = [p for v, x, y in lists for p in _list_links(v, cut(x), cut(y), k, percent, root)]
         return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
-    rows = rows.join(flagged, ["v", "id"]).join(sets.select("id", "set"), "id")
-    return _meeting(rows, "set", links, "src long, dst long")
+    members = written(members.join(flagged, ["v", "id"], "left_semi"), "members")
+    whole = known.select("id", "prefix").join(sets, "id")
+    return _meeting(members, whole, known.select("id", F.col("n").alias("w")), links, "src long, dst long")
 
 
-def grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """row, doc_id, n, component, first of every row of `docs` (row, doc_id, text): the smallest doc_id of the row's
-    component (null if no row of it has one), and whether the row is the component's first by (doc_id, row), null last.
-    """
+def _classes_found(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and key, best of their classes of equal sets: the first row of the class's component."""
     all_ = written(sketches(docs, k), "sketches")
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     classes = all_.where("n > 0").groupBy("key").agg(lead.alias("lead"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -309,7 +344,15 @@ def grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     node = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "lead", F.coalesce("component", "id").alias("part"))
     node = written(node, "nodes")
     best = written(node.groupBy("part").agg(F.min("lead").alias("best")), "best")
-    found = written(node.join(best, "part").select("key", "best"), "found")
+    return all_, written(node.join(best, "part").select("key", "best"), "found")
+
+
+def grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """row, doc_id, n, component, first of every row of `docs` (row, doc_id, text): the smallest doc_id of the row's
+    component (null if no row of it has one), and whether the row is the component's first by (doc_id, row), null last.
+    """
+    with freed(docs.sparkSession):
+        all_, found = _classes_found(docs, percent, k)
     out = all_.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(found, "key", "left")
     component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return out.select("row", "doc_id", "n", component.alias("component"), (F.coalesce(F.col("best.row"), F.col("row")) == F.col("row")).alias("first"))
