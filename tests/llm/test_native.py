@@ -339,3 +339,17 @@ def test_kd_splits_equal_sorted_medians(spark):
 
     assert got == split(rows, 0, 7)
     assert kdshard.kd_partition(df.where("i < 0"), "w", ["a", "b", "c"], 7).count() == 0
+
+
+def test_kd_walk_stays_small(spark, monkeypatch):
+    """No pass, and no plan that asks for a row's shard more than once, holds the walk more than a few times: a condition on
+    the node or shard once drew the walk into itself, 121 comparisons for five levels."""
+    df = spark.createDataFrame([(i, 1 + i % 7, (i * 37 % 101) / 101, (i * 53 % 997) / 997) for i in range(1000)], "i long, w long, a double, b double")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda d: plans.append(plan(d)) or collect(d))
+    got = kdshard.kd_partition(df, "w", ["a", "b"], 24)
+    plans += [plan(kdshard.numbered(got, "shard", ["i"], 4)), plan(got.where("shard < 5"))]
+    assert len(plans) > 6 and max(p.count(">=") for p in plans) <= 6
+    by = [r["sum(w)"] for r in got.groupBy("shard").sum("w").collect()]
+    assert len(by) == 24 and sum(by) == sum(1 + i % 7 for i in range(1000)) and max(by) - min(by) <= 30

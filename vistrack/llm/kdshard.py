@@ -38,19 +38,21 @@ class _Node:
     hi: float = 1.0
 
 
-def _of(nodes: list[_Node], what: str, node: Column | str) -> Column:
-    """Field `what` of each row's node. Fields go in as literal arrays, so all passes share one compiled plan."""
-    kind = "D" if what in ("cut", "lo", "hi") else ""
-    return F.get(F.expr(f"array({', '.join(f'{getattr(x, what)!r}{kind}' for x in nodes)})"), F.col(node) if isinstance(node, str) else node)
+def _of(values: list, node: Column | str) -> Column:
+    """Each row's value by its node. Values go in as a literal array, so all passes share one compiled plan."""
+    kind = "D" if isinstance(values[0], float) else ""
+    return F.get(F.expr(f"array({', '.join(f'{x!r}{kind}' for x in values)})"), F.col(node) if isinstance(node, str) else node)
 
 
 def _placed(rows: DataFrame, nodes: list[_Node], depth: int) -> DataFrame:
-    """Adds `node`: the leaf each row falls into. Takes `depth` steps from the root, the last of them in place."""
-    rows = rows.withColumn("node", F.lit(0))
-    for _ in range(depth):
-        right = (F.get("dims", _of(nodes, "dim", "node")) >= _of(nodes, "cut", "node")).cast("int")
-        rows = rows.withColumn("node", _of(nodes, "left", "node") + right)
-    return rows
+    """Adds `node`: the leaf each row falls into. Takes `depth` steps from the root, the last of them in place.
+
+    The steps are a fold: as columns of their own, each of which names the one before three times, they would grow to
+    3 ** depth terms wherever the optimizer moves a condition on `node`, or on what is made from it, before them.
+    """
+    left, dim, cut = ([getattr(x, what) for x in nodes] for what in ("left", "dim", "cut"))
+    step = lambda node, _: _of(left, node) + (F.get("dims", _of(dim, node)) >= _of(cut, node)).cast("int")
+    return rows.withColumn("node", F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step))
 
 
 def document_dimensions() -> dict[str, Column]:
@@ -70,14 +72,16 @@ def document_dimensions() -> dict[str, Column]:
 def _histograms(placed: DataFrame, nodes: list[_Node], ids: list[int], bins: int, bounds: list[Column]) -> dict[int, list]:
     """By node of `ids` its bins in order (bin, w, lo_*, hi_*): weight and bounds of the values of the node's dimension
     in its range; what lies below or above is in bins -1 and `bins`."""
-    lo, hi, d = _of(nodes, "lo", "node"), _of(nodes, "hi", "node"), F.get("dims", _of(nodes, "dim", "node"))
+    # no condition on the node, as it would be worked out twice: nodes that aren't asked have all rows in bin -1
+    lo, hi = _of([x.lo if x.id in ids else NOWHERE for x in nodes], "node"), _of([x.hi for x in nodes], "node")
+    d = F.get("dims", _of([x.dim for x in nodes], "node"))
     inside = F.least(F.floor((d - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     bin_ = F.when(d < lo, -1).when(d >= hi, bins).otherwise(inside)
-    asked = F.expr(f"array({', '.join(str(x.id in ids).lower() for x in nodes)})")
-    found = placed.where(F.get(asked, F.col("node"))).groupBy("node", bin_.alias("bin")).agg(F.sum("w").cast("double").alias("w"), *bounds)
+    found = placed.groupBy("node", bin_.alias("bin")).agg(F.sum("w").cast("double").alias("w"), *bounds)
     out: dict[int, list] = {i: [] for i in ids}
     for r in found.collect():  # at most nodes x bins
-        out[r["node"]].append(r)
+        if r["node"] in out:
+            out[r["node"]].append(r)
     return {i: sorted(x, key=lambda r: r["bin"]) for i, x in out.items()}
 
 
@@ -132,7 +136,7 @@ def kd_partition(rows: DataFrame, weight: str, dims: list[str], shards: int, bin
             x.left = len(nodes)
             nodes += [_Node(x.left, x.first, half, x.left), _Node(x.left + 1, x.first + half, x.shards - half, x.left + 1)]
             stats[x.left], stats[x.left + 1] = _stats(left, n), _stats(right, n)
-    return _placed(rows.withColumn("dims", F.array(*dims)), nodes, depth).withColumn("shard", _of(nodes, "first", "node")).drop("node", "dims")
+    return _placed(rows.withColumn("dims", F.array(*dims)), nodes, depth).withColumn("shard", _of([x.first for x in nodes], "node")).drop("node", "dims")
 
 
 def numbered(rows: DataFrame, shard: str, order: list[str], chunks: int) -> DataFrame:
