@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone
+from .common import alone, tidy
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -219,7 +219,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fal
                 yield out if with_ids else out.drop(columns="ids")
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(run), schema)
 
 
 def decoded(ids: DataFrame, ranks_path: str) -> DataFrame:

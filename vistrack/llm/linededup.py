@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, written
+from .common import alone, pieces, tidy, written
 
 _digit = re.compile(r"\d")
 
@@ -49,7 +49,7 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone()  # this operator's own table comes and goes with the task
-        for b in batches:
+        for b in pieces(batches):
             doc, line, n, leaf, own, sig = [], [], [], [], [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 for k, x in enumerate((t or "").split("\n")):
@@ -67,7 +67,7 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "n", "leaf", "own", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, line int, n int, leaf long, own long, sig binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, line int, n int, leaf long, own long, sig binary")
 
 
 def fields(lines: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def fields(lines: DataFrame) -> DataFrame:
             per, pos, token = _flat(b.column("sig").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("g").to_numpy(), per)), pa.array(pos.astype(np.int32)), pa.array(token)], ["g", "pos", "token"])
 
-    return lines.select("g", "sig").mapInArrow(run, "g long, pos int, token long")
+    return lines.select("g", "sig").mapInArrow(tidy(run), "g long, pos int, token long")
 
 
 def _flat(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def keys(lines: DataFrame, depth: int) -> DataFrame:
             x ^= x >> np.uint64(31)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("own").to_numpy(), per)[below]), pa.array(x.astype(np.int64))], ["own", "key"])
 
-    return lines.select("leaf", "own", "sig").mapInArrow(run, "own long, key long")
+    return lines.select("leaf", "own", "sig").mapInArrow(tidy(run), "own long, key long")
 
 
 def regrouped(rest: DataFrame, depth: int, same: float, salt: int) -> DataFrame:

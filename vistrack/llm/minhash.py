@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, components, freed, written
+from .common import alone, components, freed, give_back, pieces, tidy, written
 
 WORDS_PER_SHINGLE, K = 5, 64
 #: Members of a block of a list, and the values of full sets in one, at most (a single larger set aside).
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     """row, doc_id, n, key, sketch of every document: size and digest of its set, and the set's k smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             n, key, low = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t)
@@ -85,14 +85,14 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
                 low.append(s[:k])
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key), _lists(low)], ["row", "doc_id", "n", "key", "sketch"])
 
-    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n long, key string, sketch array<long>")
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "row long, doc_id long, n long, key string, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n, set (sorted) of the classes in `ids` (id), made anew from the text of a document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingle_set(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets]), _lists(sets)], ["key", "set"])
 
@@ -101,7 +101,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     doc = F.col("doc_id").cast("long")
     rows = docs.select(doc.alias("doc"), "text").join(asked.select("doc").where("doc is not null").distinct(), "doc", "left_semi").select("text")
     rows = rows.unionByName(docs.where(doc.isNull()).select("text"))  # these are known by their sets only
-    made = rows.mapInArrow(run, "key string, set array<long>")
+    made = rows.mapInArrow(tidy(run), "key string, set array<long>")
     return made.join(asked.drop("doc"), "key").select("id", "n", "set").dropDuplicates(["id"])
 
 
@@ -283,7 +283,9 @@ def _meeting(members: DataFrame, known: DataFrame, sizes: DataFrame, run: Callab
         minors = _by_list(p["few"], np.ones(len(p), bool))
         ask, every = _by_list(p["few"], p["x"].to_numpy()), _by_list(p["vs"], p["y"].to_numpy())
         part = lambda v, at: p.iloc[at].assign(minor=np.isin(at, minors[v]))
-        return run((v, part(v, ask[v]), part(v, every[v])) for v in sorted(ask) if v in every)
+        out = run((v, part(v, ask[v]), part(v, every[v])) for v in sorted(ask) if v in every)
+        give_back()  # the marks and sets of a block are large
+        return out
 
     return rows.groupBy("kind", "g", "q", "d").applyInPandas(lists, schema)
 

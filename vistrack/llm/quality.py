@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone
+from .common import alone, pieces, tidy
 
 #: Buckets of words and of shapes; the weight of the words beside the shapes.
 WORDS, SHAPES, WORD_WEIGHT = 768, 256, 0.35
@@ -95,7 +95,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
                 n += 1
         yield pd.DataFrame({"k": np.arange(-1, WORDS + SHAPES), "n": np.r_[n, df]})
 
-    got = docs.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    got = docs.select("text").mapInPandas(tidy(count), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(WORDS + SHAPES + 1)
     for r in got:
         df[r["k"] + 1] = r["n"]
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, rank: int = 48) -
         return {"idf": idf, "basis": np.zeros((WORDS + SHAPES, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "y": np.zeros(0)}
     known = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    got = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").mapInPandas(rows, "y int, x binary").collect()
+    got = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").mapInPandas(tidy(rows), "y int, x binary").collect()
     x, y = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, WORDS + SHAPES), np.array([r["y"] for r in got], np.float64)
     del got
     values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
@@ -173,14 +173,12 @@ def scored(docs: DataFrame, model: dict, with_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            score = [vote(features(texts[i : i + 1024], m["idf"]), m) for i in range(0, len(texts), 1024)]
+        for b in pieces(batches, 1024):
+            score = vote(features(b.column("text").to_pylist(), m["idf"]), m)
             kept = [(n, c) for n, c in zip(b.schema.names, b.columns) if with_text or n != "text"]
-            score = pa.array(np.concatenate(score) if score else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [score], [n for n, _ in kept] + ["__score"])
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(score, pa.float64())], [n for n, _ in kept] + ["__score"])
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
