@@ -23,3 +23,14 @@ def test_pairs_of_a_common_word_are_dealt_to_tasks(spark):
     assert rows(got, "frame_id", "obj_id", "kpt_id", "obj_kpt_id") == sorted(want)
     held = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("t")).count().collect()]
     assert len(held) > 8 and max(held) < len(want) / 4
+
+
+def test_weights_by_cluster_are_rounded_before_they_fan_out(spark):
+    points, objects = crossed(spark)
+    ranked = spark.createDataFrame([(0, 1, 0.5), (1, 1, 1 / 3), (1, 4, 1.0), (2, 5, 0.25)], "track_id long, cid long, score double")
+    weights = spark.createDataFrame([(1, 0.1), (4, 2 / 3), (5, 0.0)], "word long, idf double")
+    points = points.withColumn("track_id", points.kpt_id % 4)
+    got = match.by_cid(points, ranked, objects.withColumnRenamed("word", "cid"), weights, digits=6, rows=100)
+    idf = {r.word: r.idf for r in weights.collect()}
+    want = [(p.frame_id, o.obj_id, p.kpt_id, o.obj_kpt_id, round(r.score * idf[r.cid], 6)) for p in points.collect() for r in ranked.collect() if p.track_id == r.track_id for o in objects.collect() if o.word == r.cid]
+    assert rows(got, "frame_id", "obj_id", "kpt_id", "obj_kpt_id", "weight") == sorted(want)
