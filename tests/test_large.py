@@ -34,3 +34,49 @@ def test_weights_by_cluster_are_rounded_before_they_fan_out(spark):
     idf = {r.word: r.idf for r in weights.collect()}
     want = [(p.frame_id, o.obj_id, p.kpt_id, o.obj_kpt_id, round(r.score * idf[r.cid], 6)) for p in points.collect() for r in ranked.collect() if p.track_id == r.track_id for o in objects.collect() if o.word == r.cid]
     assert rows(got, "frame_id", "obj_id", "kpt_id", "obj_kpt_id", "weight") == sorted(want)
+
+
+def test_coverage_by_the_words_that_frames_show(spark):
+    points, objects = crossed(spark)
+    o = objects.withColumn("cid", objects.word)
+    weights = spark.createDataFrame([(w, w * 0.25) for w in range(9)], "word long, idf double")
+    matched = points.where("word <> 0").join(o, "word").select("frame_id", "obj_id", "cid")
+    want = rows(match.coverage(matched, o, weights), "frame_id", "obj_id", "coverage")
+    seen = points.where("word <> 0").withColumn("cid", points.word)
+    got = rows(match.seen_coverage(seen, o, weights, rows=20), "frame_id", "obj_id", "coverage")
+    assert len(got) > 50 and [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_only_the_first_object_keypoint_of_a_word_is_asked(spark):
+    points, objects = crossed(spark)
+    o = objects.withColumn("place", objects.obj_id * 5 % 7)
+    first = match.first_of_word(o)
+    assert first.count() == objects.select("word").distinct().count()
+    place = {r.obj_id: r.place for r in o.collect()}
+    c = match.by_word(points, first)
+    got = rows(match.assign_keypoints(c.withColumn("place", c.obj_id * 5 % 7)), "kpt_id", "obj_id", "obj_kpt_id")
+    met = [(p.kpt_id, (place[q.obj_id], q.obj_id, q.obj_kpt_id)) for p in points.collect() for q in objects.collect() if p.word == q.word != 0]
+    assert got == sorted((k, *min(x for i, x in met if i == k)[1:]) for k in {k for k, _ in met})
+
+
+def brute_closest(q, p, r, but_itself):
+    out = []
+    for f, i, x, y in q:
+        near = [((u - x) ** 2 + (v - y) ** 2, k) for g, k, u, v in p if g == f and not (but_itself and k == i)]
+        out += [(f, i, k, d) for d, k in [min(near)] if d < r * r] if near else []
+    return sorted(out)
+
+
+def test_closest_points_among_many_at_one_place(spark):
+    """Two hundred points on four places, and others apart; a join on cells would meet 200 * 200 pairs."""
+    rng = np.random.default_rng(5)
+    p = [(0, i, float(i % 4), 7.0) for i in range(200)] + [(k % 3, 200 + k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-60, 400, (150, 2)))]
+    points = spark.createDataFrame(p, "frame_id long, kpt_id long, u double, v double")
+    queries = points.selectExpr("frame_id", "kpt_id as q_id", "u as qu", "v as qv")
+    for but_itself in (True, False):
+        got = rows(track.closest_point(queries, points, 20.0, but_itself), "frame_id", "q_id", "kpt_id", "d2")
+        want = brute_closest(p, p, 20.0, but_itself)
+        assert len(got) == len(want) > 200 and [g[:3] for g in got] == [w[:3] for w in want]
+    got, few = track.closest_point(queries.where("q_id % 3 = 0"), points.where("kpt_id % 3 <> 0"), 30.0), [x for x in p if x[1] % 3]
+    assert [g[:3] for g in rows(got, "frame_id", "q_id", "kpt_id")] == [w[:3] for w in brute_closest([x for x in p if x[1] % 3 == 0], few, 30.0, False)]
+    assert track.closest_point(queries, points, 20.0, True).inputFiles(), "the places are written once"

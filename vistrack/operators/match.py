@@ -61,6 +61,16 @@ def coverage(matched: DataFrame, db: DataFrame, weights: DataFrame) -> DataFrame
     return got.join(whole, "obj_id").where(F.col("all") > 0).select("frame_id", "obj_id", (F.col("got") / F.col("all")).alias("coverage"))
 
 
+def seen_coverage(seen: DataFrame, db: DataFrame, weights: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """coverage() of all objects with a bin among the cids that a frame's points have (frame_id, cid): a frame meets an
+    object's bin once, however many points show it."""
+    bins = db.select("obj_id", "cid").distinct().join(weights.select(F.col("word").alias("cid"), "idf"), "cid")
+    whole = bins.groupBy("obj_id").agg(F.sum("idf").alias("all")).where(F.col("all") > 0)
+    bins = written(bins.join(whole, "obj_id").select("cid", "obj_id", "idf", "all"), "bins")
+    met = fanned(written(seen.select("frame_id", "cid").distinct(), "seen"), bins, "cid", rows)
+    return met.groupBy("frame_id", "obj_id").agg((F.sum("idf") / F.max("all")).alias("coverage"))
+
+
 def tracked(points: DataFrame, assigned: DataFrame, min_track: int = 2) -> DataFrame:
     """frame_id, kpt_id, obj_id, obj_kpt_id, weight, use of points (frame_id, kpt_id, prev_kpt_id, length).
 
