@@ -1,6 +1,7 @@
 """Jobs whose pairs outgrow their input: the same rows by fewer or better dealt pairs."""
 
-from vistrack.operators import match
+import numpy as np
+from vistrack.operators import match, track
 
 
 def rows(df, *cols):
