@@ -314,10 +314,17 @@ def verify_ratio(pairs: DataFrame, threshold: float = 5.0, min_pairs: int = 16,
     return pairs.groupBy("frame_id", "obj_id").applyInPandas(run, "frame_id long, obj_id long, ratio double")
 
 
+def first_of_word(objects: DataFrame) -> DataFrame:
+    """obj_id, obj_kpt_id, word: of the object keypoints with a word the one that comes first in `place`; no other can be
+    assigned where all points of the word may be."""
+    first = objects.groupBy("word").agg(F.min(F.struct("place", "obj_id", "obj_kpt_id")).alias("o"))
+    return first.select("o.obj_id", "o.obj_kpt_id", "word")
+
+
 def assign_keypoints(inliers: DataFrame) -> DataFrame:
     """One (obj_id, obj_kpt_id) per frame keypoint: the object that comes first in `place` claims it."""
-    order = Window.partitionBy("frame_id", "kpt_id").orderBy("place", "obj_id", "obj_kpt_id")
-    return inliers.withColumn("k", F.row_number().over(order)).where("k = 1").select("frame_id", "kpt_id", "obj_id", "obj_kpt_id")
+    first = inliers.groupBy("frame_id", "kpt_id").agg(F.min(F.struct("place", "obj_id", "obj_kpt_id")).alias("o"))
+    return first.select("frame_id", "kpt_id", "o.obj_id", "o.obj_kpt_id")
 
 
 def closest_assigned(points: DataFrame, assigned: DataFrame, r: float = 30.0) -> DataFrame:
