@@ -81,3 +81,26 @@ def test_closest_points_among_many_at_one_place(spark):
     got, few = track.closest_point(queries.where("q_id % 3 = 0"), points.where("kpt_id % 3 <> 0"), 30.0), [x for x in p if x[1] % 3]
     assert [g[:3] for g in rows(got, "frame_id", "q_id", "kpt_id")] == [w[:3] for w in brute_closest([x for x in p if x[1] % 3 == 0], few, 30.0, False)]
     assert track.closest_point(queries, points, 20.0, True).inputFiles(), "the places are written once"
+
+
+def test_claims_of_crowded_frames(spark):
+    """Many points, copies of patches and common words; tiles, and chunks of them, against all pairs one by one."""
+    rng = np.random.default_rng(8)
+    n, kinds = 360, np.random.default_rng(1).normal(100, 30, (9, 16))
+    at, word = rng.uniform(-5, 600, (n, 2)), rng.integers(0, 12, n) % 4
+    patch = kinds[rng.integers(0, 9, n)] + rng.normal(0, 8, (n, 16)) * (rng.random(n) < 0.5)[:, None]
+    p = [(i % 3, i, float(at[i, 0]), float(at[i, 1] / 4), int(word[i]), patch[i].tolist() if i % 29 else None) for i in range(n)]
+    df = spark.createDataFrame(p, "frame_id long, kpt_id long, u double, v double, word long, patch array<double>")
+    q = df.selectExpr("frame_id + 1 as frame_id", "kpt_id as q_id", "u as qu", "v as qv", "word as qword", "patch as b")
+    met = {}
+    for r in track.range_join(q, df, 20.0).collect():
+        ncc = 0.95 if r.word == r.qword != 0 else 0.0
+        if not ncc and r.patch and r.b:
+            x, y = (np.array(v) - np.floor(np.mean(v)) for v in (r.patch, r.b))
+            ncc = float(x @ y) / np.sqrt(((np.array(r.patch) - np.mean(r.patch)) ** 2).sum() * ((np.array(r.b) - np.mean(r.b)) ** 2).sum())
+        if ncc > 0.88:
+            met.setdefault(r.q_id, []).append((0 if ncc > 0.9 else 1, r.kpt_id if ncc > 0.9 else -round(ncc, 9), r.kpt_id))
+    want = sorted((i, min(m)[2]) for i, m in met.items())
+    assert len(want) > 100
+    for chunk in (8192, 20):
+        assert rows(track.claimed(df, 20.0, chunk=chunk), "q_id", "kpt_id") == want
