@@ -1,7 +1,8 @@
 """Jobs whose pairs outgrow their input: the same rows by fewer or better dealt pairs."""
 
 import numpy as np
-from vistrack.operators import match, track
+from vistrack.functions import geometry
+from vistrack.operators import match, track, views
 
 
 def rows(df, *cols):
@@ -104,3 +105,31 @@ def test_claims_of_crowded_frames(spark):
     assert len(want) > 100
     for chunk in (8192, 20):
         assert rows(track.claimed(df, 20.0, chunk=chunk), "q_id", "kpt_id") == want
+
+
+def test_quads_in_closed_form():
+    rng = np.random.default_rng(2)
+    side = rng.uniform(100, 400, (50, 2))
+    corners = np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float)[None] * side[:, None]
+    quad = (corners + rng.uniform(-20, 20, (50, 4, 2))) * rng.uniform(0.5, 2, (50, 1, 1)) + 9
+    assert np.allclose(geometry.homography_from_quads(quad, side), geometry.homography_from_points(quad, corners), rtol=1e-9, atol=1e-9)
+    quad[3] = 1.0
+    assert np.isnan(geometry.homography_from_quads(quad, side)[3]).all()
+
+
+def test_groups_of_many_images_at_once(spark):
+    """Images of up to forty points, and one of three hundred, as one by one; small groups left out in the task."""
+    rng = np.random.default_rng(6)
+    p = [(i, int(s), float(x), float(y), int(s) % 3) for i in range(30) for s, (x, y) in enumerate(rng.uniform(0, 25, (300 if i == 7 else i + 10, 2)))]
+    df = spark.createDataFrame(p, "image_id long, seq long, x double, y double, word long").repartition(5, "x")
+    want = {}
+    for i in range(30):
+        own = [r for r in p if r[0] == i]
+        of, cx, cy = views.leaders(np.array([r[2] for r in own]), np.array([r[3] for r in own]), 3.0)
+        for r, g in zip(own, of):
+            key = (i, int(g) + 1, float(cx[g]), float(cy[g]), r[4])
+            want[key] = want.get(key, 0) + 1
+    cols = ("image_id", "group", "x", "y", "word", "cnt")
+    all_ = sorted((*k, c) for k, c in want.items())
+    assert rows(views.group_points(df), *cols) == all_
+    assert rows(views.group_points(df, least=4), *cols) == rows(views.prune_points(spark.createDataFrame(all_, ", ".join(f"{c} {'double' if c in 'xy' else 'long'}" for c in cols)), 4, 1.0), *cols)

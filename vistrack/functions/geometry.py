@@ -143,3 +143,18 @@ def homography_from_4(points: Column) -> Column:
         return pd.Series([None if np.isnan(r).any() else r.tolist() for r in h], dtype=object)
 
     return run(points)
+
+
+def homography_from_quads(quad: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The maps (m, 9) of quads (m, 4, 2) to rectangles of `side` (m, 2) whose corners are (0, 0), (w, 0), (w, h), (0, h):
+    homography_from_points() of four pairs in closed form. Degenerate quads give NaN."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = quad.astype(float).transpose(1, 2, 0)
+    with np.errstate(all="ignore"):
+        sx, sy, den = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)
+        g, h = (sx * (y3 - y2) - (x3 - x2) * sy) / den, ((x1 - x2) * sy - sx * (y1 - y2)) / den
+        a, b, c, d, e, f = x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0
+        w, t = side.astype(float).T
+        out = np.stack([w * (e - f * h), w * (c * h - b), w * (b * f - c * e), t * (f * g - d), t * (a - c * g), t * (c * d - a * f), d * h - e * g, b * g - a * h, a * e - b * d], 1)
+        out /= out[:, 8:]
+    out[~np.isfinite(out).all(1)] = np.nan
+    return out
