@@ -113,6 +113,8 @@ def test_quads_in_closed_form():
     corners = np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float)[None] * side[:, None]
     quad = (corners + rng.uniform(-20, 20, (50, 4, 2))) * rng.uniform(0.5, 2, (50, 1, 1)) + 9
     assert np.allclose(geometry.homography_from_quads(quad, side), geometry.homography_from_points(quad, corners), rtol=1e-9, atol=1e-9)
+    other = rng.uniform(0, 300, (50, 4, 2))
+    assert np.allclose(geometry.homography_from_fours(quad, other), geometry.homography_from_points(quad, other), rtol=1e-5, atol=1e-6)
     quad[3] = 1.0
     assert np.isnan(geometry.homography_from_quads(quad, side)[3]).all()
 
@@ -133,3 +135,38 @@ def test_groups_of_many_images_at_once(spark):
     all_ = sorted((*k, c) for k, c in want.items())
     assert rows(views.group_points(df), *cols) == all_
     assert rows(views.group_points(df, least=4), *cols) == rows(views.prune_points(spark.createDataFrame(all_, ", ".join(f"{c} {'double' if c in 'xy' else 'long'}" for c in cols)), 4, 1.0), *cols)
+
+
+def test_track_clusters_by_a_collection_that_tasks_hold(spark):
+    """The same as by the index, with small batches, tracks of many frames and words that no cluster has."""
+    rng = np.random.default_rng(3)
+    p = [(int(v), int(t), int(f), int(w)) for v, t, f, w in zip(rng.integers(0, 2, 900), rng.integers(0, 9, 900), rng.integers(0, 60, 900), rng.integers(0, 14, 900))]
+    points = spark.createDataFrame(p, "video_id long, track_id long, frame_id long, word long")
+    db = spark.createDataFrame([(int(c), int(w), int(n)) for c, w, n in zip(rng.integers(1, 8, 40), rng.integers(1, 11, 40), rng.integers(1, 9, 40))], "cid long, word long, cnt long")
+    cols = ("video_id", "track_id", "frame_id", "rank", "cid")
+    want = track.track_clusters(points, db, 0.9, cells=0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        got = track.track_clusters(points, db, 0.9)
+        assert "MapInPandas" in got._jdf.queryExecution().toString()
+        a, b = rows(got, *cols, "cscore"), rows(want, *cols, "cscore")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(a) > 500 and [x[:5] for x in a] == [x[:5] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b])
+
+
+def test_supports_of_many_pairs_hold_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a, h = rng.uniform(0, 300, (60_000, 2)), np.array([1.0, 0, 5, 0, 1, -3, 0, 0, 1]) + rng.normal(0, 1e-6, (64, 9))
+    b = a + [5, -3] + rng.normal(0, 2, a.shape)
+    tracemalloc.start()
+    support, near = match.supports(h, a, b, 3.0)
+    f = match.epipolar_distances(rng.normal(size=(64, 3, 3)), a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    p = np.c_[a, np.ones(len(a))] @ h[9].reshape(3, 3).T
+    d2 = ((p[:, :2] / p[:, 2:] - b) ** 2).sum(1)
+    assert np.array_equal(near[9], d2 < 9) and np.isclose(support[9], (1 - 0.1 * d2[d2 < 9] / 9).sum()) and f.shape == (64, 60_000)
+    assert most < 80e6
