@@ -2,7 +2,7 @@
 
 import numpy as np
 from vistrack.functions import geometry
-from vistrack.operators import match, track, views
+from vistrack.operators import cluster, match, track, views
 
 
 def rows(df, *cols):
@@ -170,3 +170,10 @@ def test_supports_of_many_pairs_hold_little_memory():
     d2 = ((p[:, :2] / p[:, 2:] - b) ** 2).sum(1)
     assert np.array_equal(near[9], d2 < 9) and np.isclose(support[9], (1 - 0.1 * d2[d2 < 9] / 9).sum()) and f.shape == (64, 60_000)
     assert most < 80e6
+
+
+def test_dense_histograms_are_multiplied_by_blocks(spark):
+    rng = np.random.default_rng(7)
+    h = spark.createDataFrame([(c, w, int(rng.integers(1, 9))) for c in range(60) for w in range(12) if rng.random() < 0.7], "cid long, word long, cnt long")
+    got, want = (rows(cluster.similarity_join(h, 0.07, block=b), "a", "b", "score") for b in (16, 1024))
+    assert 100 < len(want) < 1770 and [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
